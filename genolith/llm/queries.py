@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from genolith.llm.common import table
+from genolith.llm.neardup import near_duplicates
 from genolith.llm.quality import quality
+from genolith.llm.urls import ORACLE as URL_SQL
+from genolith.llm.urls import RULES, rule_table, url_filter
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +18,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality}
+    return {"op1_quality": op1_quality, "op2_url_filter": op2_url_filter, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": URL_SQL}
