@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from genolith.llm import bpe
 from genolith.llm.common import table
 from genolith.llm.neardup import near_duplicates
 from genolith.llm.quality import quality
@@ -22,12 +24,24 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files are installed; they are never copied."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), decode=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_url_filter": op2_url_filter, "op9_minhash": op9_minhash}
+    return {"op1_quality": op1_quality, "op2_url_filter": op2_url_filter, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
