@@ -56,16 +56,21 @@ def _remove(jvm, conf, path: str) -> None:
         pass
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the driver's interpreter ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/genolith-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+    return path
+
+
 def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs no recomputation beyond this table. The folder is
     removed when the driver's interpreter ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/genolith-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.partitionBy(*partition_by).parquet(path)
-    atexit.register(_remove, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genolith.llm import bpe
-from genolith.llm.common import table
+from genolith.llm import bpe, tokenstore
+from genolith.llm.common import shared_path, table
 from genolith.llm.neardup import near_duplicates
 from genolith.llm.quality import quality
 from genolith.llm.urls import ORACLE as URL_SQL
@@ -36,12 +36,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark)
+    tokenstore.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    out = tokenstore.read_tokens(spark, path)
+    return out.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_url_filter": op2_url_filter, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe}
+    return {"op1_quality": op1_quality, "op2_url_filter": op2_url_filter, "op8_token_store": op8_token_store, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
