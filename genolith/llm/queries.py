@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genolith.llm import bpe, tokenstore
+from genolith.llm import bpe, licenses, tokenstore
 from genolith.llm.common import shared_path, table
 from genolith.llm.embeddings import near_vectors
 from genolith.llm.html import extract
@@ -27,6 +27,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -63,8 +67,8 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_url_filter": op2_url_filter, "op4_html": op4_html, "op5_embeddings": op5_embeddings, "op6_line_dedup": op6_line_dedup, "op8_token_store": op8_token_store, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe}
+    return {"op1_quality": op1_quality, "op2_url_filter": op2_url_filter, "op3_licenses": op3_licenses, "op4_html": op4_html, "op5_embeddings": op5_embeddings, "op6_line_dedup": op6_line_dedup, "op8_token_store": op8_token_store, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": URL_SQL}
+    return {"op2_url_filter": URL_SQL, "op3_licenses": licenses.oracle()}
