@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from genolith.llm.common import table
+from genolith.llm import bpe
+from genolith.llm.common import stored, table
+from genolith.llm.lines import dedup_lines
+from genolith.llm.mixing import mix
+from genolith.llm.neardup import near_duplicates
 from genolith.llm.quality import quality
+from genolith.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +21,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their later repeated runs of lines; those of which nothing but blanks is left go."""
+    out = dedup_lines(docs)
+    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    verdict = near_duplicates(docs.select("doc_id", "text"))
+    gone = stored(verdict.where("not kept").select("doc_id").distinct())
+    few = gone.count() <= 1_000_000  # 8 bytes each; more are matched by a shuffled join
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled by calibrated probabilities."""
+    return mix(docs).where("kept").select(*docs.columns)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document and digests of them and of the decoded text."""
+    out = bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), decode=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality_stage),
+    ("line dedup", line_stage),
+    ("near dedup", near_stage),
+    ("mixing", mix_stage),
+    ("bpe", bpe_stage),
 ]
 #: BPE ids can't be expressed in SQL; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
@@ -24,6 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
     return docs

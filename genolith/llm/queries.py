@@ -12,6 +12,7 @@ from genolith.llm.common import shared_path, table
 from genolith.llm.embeddings import near_vectors
 from genolith.llm.html import extract
 from genolith.llm.lines import dedup_lines
+from genolith.llm.mixing import mix
 from genolith.llm.neardup import near_duplicates
 from genolith.llm.quality import quality
 from genolith.llm.urls import ORACLE as URL_SQL
@@ -43,6 +44,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public tokenizer files are installed; they are never copied."""
     import public_tokenizers
@@ -67,7 +72,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_url_filter": op2_url_filter, "op3_licenses": op3_licenses, "op4_html": op4_html, "op5_embeddings": op5_embeddings, "op6_line_dedup": op6_line_dedup, "op8_token_store": op8_token_store, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe}
+    return {"op1_quality": op1_quality, "op2_url_filter": op2_url_filter, "op3_licenses": op3_licenses, "op4_html": op4_html, "op5_embeddings": op5_embeddings, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_token_store": op8_token_store, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
