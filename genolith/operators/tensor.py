@@ -87,7 +87,9 @@ def fetch_features(meta: DataFrame, values: DataFrame, patterns: Sequence[str],
         raise KeyError(f"no feature fits {list(patterns)}")
     if len(kinds) > 1:
         raise TypeError("the features are of different kinds")
-    return chosen.select("rank", "source", "name").join(values, (F.coalesce(chosen["source"], F.lit("")) == F.coalesce(values["source"], F.lit(""))) & (chosen["name"] == values["name"])).select("rank", chosen["source"], chosen["name"], "locus", "num")
+    wanted = chosen.select("rank", F.col("source").alias("source_"), F.col("name").alias("name_"))
+    same = F.col("source_").eqNullSafe(F.col("source")) & (F.col("name_") == F.col("name"))
+    return wanted.join(values, same).select("rank", "source", "name", "locus", "num")
 
 
 def fetch_source(features: DataFrame, source: str) -> DataFrame:
