@@ -329,3 +329,27 @@ def row_order(matrix: np.ndarray) -> list[int]:
         p, q = groups[a], groups.pop(b)
         groups[a] = min((u + v for u in (p, p[::-1]) for v in (q, q[::-1])), key=lambda o: d[o[len(p) - 1], o[len(p)]])
     return next(iter(groups.values()), [])
+
+
+def mixture_estep(alpha: np.ndarray, tau: np.ndarray, like: np.ndarray, w: np.ndarray, iters: int = TRAIN[0], tol: float = TRAIN[1]) -> np.ndarray:
+    """Shared-exposure fixed point over D sources and K components; like is D x K x I, the result D x K.
+
+    The prior weight of (d, k) is exp(psi(alpha_k + sum over d) + psi(tau_d + sum over k)).
+    """
+    d, k, _ = like.shape
+    nk = np.full((d, k), w.sum() / (d * k))
+    for _ in range(iters):
+        e = np.exp(digamma(alpha + nk.sum(axis=0))[None, :] + digamma(tau + nk.sum(axis=1))[:, None])
+        new = e * np.einsum("dki,i->dk", like, w / np.maximum(np.einsum("dk,dki->i", e, like), 1e-300))
+        moved = np.abs(new - nk).sum() / max(nk.sum(), 1e-300)
+        nk = new
+        if moved < tol:
+            break
+    return nk
+
+
+def linear_attribution(rows: DataFrame, coefficients: dict[str, float], key: str = "locus") -> DataFrame:
+    """(key, feature, effect): coefficient times the deviation of the feature from its mean."""
+    means = rows.agg(*[F.avg(f).alias(f) for f in coefficients]).first()
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), ((F.col(f) - means[f]) * c).alias("effect")) for f, c in coefficients.items()])
+    return rows.select(key, F.explode(each).alias("x")).select(key, "x.feature", "x.effect")
