@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genolith.llm.common import bound_batches
+
 #: Pre-tokens kept per worker at most; the cache is emptied when it is full.
 CACHE = 400_000
 FLUSH = 8 << 20
@@ -195,6 +197,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     A null or empty text has no ids and decodes to an empty string. Keys may be null or repeated; other columns are ignored, rows stay
     as they are, and no row depends on another, so nothing is shuffled.
     """
+    bound_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(Path(path).read_text())
     names = ["key", "n_tokens", "ids", *["decoded"] * decode]
 

@@ -37,6 +37,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+#: Rows of an Arrow batch: whole texts and shingle sets pass through Python, and a batch of them must stay small.
+BATCH_ROWS = 500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS, so a Python worker never holds thousands of whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

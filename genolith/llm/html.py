@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genolith.llm.common import stored
+from genolith.llm.common import bound_batches, stored
 from genolith.llm.urls import url_parts
 
 #: Winning paths broadcast at most; beyond that pages meet them in a shuffled join.
@@ -200,6 +200,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", key: str = "
     Null or empty html: empty text. Pages without a host have no consensus. Keys may be null or repeated: each row gives one row.
     Other columns are ignored; an empty table gives an empty result.
     """
+    bound_batches(pages.sparkSession)
     winners = stored(host_paths(pages, url, html))
     small = winners.count() <= max_broadcast
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), url_parts(F.col(url))[0].alias("host"))
