@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from genolith.llm.common import bound_batches
 
-#: Pre-tokens kept per worker at most; the cache is emptied when it is full.
-CACHE = 400_000
-FLUSH = 8 << 20
+#: Runs and pre-tokens kept per worker at most (about 200 bytes each), and compatible pairs (about 100 bytes each); a full cache of runs steps back into a second
+#: one, from which frequent runs return.
+CACHE, PAIRS = 100_000, 300_000
+FLUSH = 2 << 20
 _SPACE = r"\t-\r\x20\x85\p{Z}"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
 _ODD, _RUNS = regex.compile(r"[\x1c-\x1f]"), regex.compile(rf"[^{_SPACE}]+")
@@ -83,8 +84,9 @@ class Vocabulary(dict):
                 if s[:k] in inside:
                     self.shorter[i] = inside[s[:k]]
                     break
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # decoding: the written form of entry i is blob[offset[i]:offset[i + 1]], with a space before it
         names = [""] * n
         for t, i in (ids | special).items():
@@ -145,16 +147,20 @@ class Vocabulary(dict):
         return out
 
     def __missing__(self, run: str) -> bytes:
+        found = self.older.get(run)
+        if found is None:
+            out = []
+            for piece in _PIECES.findall(run):
+                if piece not in self.pieces:
+                    if len(self.pieces) >= CACHE:
+                        self.pieces.clear()
+                    self.pieces[piece] = np.array(self.encode(piece), "<u4").tobytes()
+                out.append(self.pieces[piece])
+            found = b"".join(out)
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        found = []
-        for piece in _PIECES.findall(run):
-            if piece not in self.pieces:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[piece] = np.array(self.encode(piece), "<u4").tobytes()
-            found.append(self.pieces[piece])
-        found = self[run] = b"".join(found)
+        self[run] = found
         return found
 
     def ids(self, text: str) -> bytes:
