@@ -13,44 +13,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genolith.llm.common import stored
+from genolith.llm.common import bound_batches, stored
 from genolith.llm.graph import components
 from genolith.llm.shingles import common, mix, shingle_sets, sketches
 
-#: 128 coordinates in 32 bands of 4: a pair of similarity 0.75 shares no band with probability 5e-6.
-COORDINATES, ROWS = 128, 4
-LEADERS = 3
+#: The first 128 of 256 coordinates form 32 bands of 4: a pair of similarity 0.75 shares no band with probability 5e-6.
+COORDINATES, BANDS, ROWS = 256, 32, 4
+#: Leaders of a band by hashes, beside the most central document (the one with the most company over all its bands).
+LEADERS = 2
 #: Ids broadcast at most (8 bytes each); beyond that the texts of candidates come by a shuffled join.
 MAX_BROADCAST = 1_000_000
-#: Of 128 coordinates, a pair of similarity 0.75 agrees in 96 on average, with a deviation of 5; below this it is not verified (about 1e-9 of the pairs at 0.75).
-MIN_AGREE = 66
+#: Four bits of each coordinate are kept; a pair of similarity 0.75 differs in 60 coordinates on average, with a deviation
+#: of 6.8. A pair that differs in more than this is not verified (about 1e-8 of the pairs at 0.75).
+MAX_DIFFER = 101
 
-_SKETCH = pa.schema([("key", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("key", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def _nibbles(s: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates to a 64-bit integer."""
+    low = (s & np.uint64(15)).reshape(len(s), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return _signed(low.sum(axis=2, dtype=np.uint64))
+
+
+def _differ(x: Column, y: Column) -> Column:
+    """Number of coordinates in which two packed sketches differ."""
+
+    def word(i: int) -> Column:
+        d = F.get(x, i).bitwiseXOR(F.get(y, i))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return sum((word(i) for i in range(1, COORDINATES // 16)), word(0))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set size, two set fingerprints, one byte of each coordinate, and band hashes of each text."""
-    salts = mix(np.arange(1, COORDINATES // ROWS + 1, dtype=np.uint64))[None, :]
+    """Set size, two set fingerprints, four bits of each coordinate, and band hashes of each text."""
+    salts = mix(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :]
     for batch in batches:
         key, tie, sets, done = batch.column(0), batch.column(1), [], 0
 
         def flush(done=0, sets=sets, key=key, tie=tie):
             s = sketches(sets, COORDINATES)
-            bands = np.zeros((len(sets), COORDINATES // ROWS), np.uint64) + salts
+            bands = np.zeros((len(sets), BANDS), np.uint64) + salts
             for r in range(ROWS):
-                bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + s[:, r::ROWS])
+                bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + s[:, r : BANDS * ROWS : ROWS])
             prints = [_signed(np.array([mix(x + np.uint64(c)).sum(dtype=np.uint64) for x in sets], np.uint64)) for c in (1, 2**40 + 7)]
             full = [len(x) > 0 for x in sets]
             return pa.record_batch([
                 key.slice(done, len(sets)), tie.slice(done, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints[0]), pa.array(prints[1]),
-                pa.array([x.tobytes() for x in (s & np.uint64(255)).astype(np.uint8)], pa.binary()),
+                pa.array(list(_nibbles(s)), pa.list_(pa.int64())),
                 pa.array([x if f else [] for x, f in zip(_signed(bands), full, strict=True)], pa.list_(pa.int64())),
             ], schema=_SKETCH)
 
@@ -58,7 +78,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in shingle_sets(batch.column(2)):
             sets.append(x)
             size += len(x) + COORDINATES
-            if size > 1_000_000:
+            if size > 250_000:
                 yield flush(done)
                 done += len(sets)
                 sets.clear()
@@ -94,15 +114,6 @@ def _verify(share: int):
     return run
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches agree often enough to be worth an exact comparison."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array((s == t).sum(axis=1) >= MIN_AGREE))
-
-
 def _with(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
     """pairs with the column of both ends, from side (id, column)."""
     one = side.select(F.col("id").alias("a"), F.col(column).alias("x"))
@@ -121,18 +132,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     each is compared with its own text, they share the smallest component_id of all of them, and of equal keys the row with the smallest text hash is
     kept (of identical rows, all). Other columns are ignored. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = stored(base.mapInArrow(_sketch, "key long, tie long, n long, f1 long, f2 long, sketch binary, bands array<long>"))
+    found = stored(base.mapInArrow(_sketch, "key long, tie long, n long, f1 long, f2 long, bits array<long>, bands array<long>"))
     real = found.where("key is not null and n > 0")
     # a class: equal sets; its smallest key stands for it
-    classes = real.groupBy("f1", "f2", "n").agg(F.min_by(F.struct("sketch", "bands"), F.struct("key", "tie")).alias("s"), F.min(F.struct("key", "tie")).alias("k"))
-    reps = stored(classes.select(F.xxhash64("f1", "f2", "n").alias("id"), "f1", "f2", F.col("k.key").alias("key"), F.col("k.tie").alias("tie"), "s.sketch", "s.bands"))
+    classes = real.groupBy("f1", "f2", "n").agg(F.min_by(F.struct("bits", "bands"), F.struct("key", "tie")).alias("s"), F.min(F.struct("key", "tie")).alias("k"))
+    reps = stored(classes.select(F.xxhash64("f1", "f2", "n").alias("id"), "f1", "f2", F.col("k.key").alias("key"), F.col("k.tie").alias("tie"), "s.bits", "s.bands"))
 
     buckets = reps.select("id", F.explode("bands").alias("band"))
-    lead = [F.min_by("id", F.xxhash64(F.col("id"), F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]
-    crowds = stored(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("size"), *lead).where("size > 1").drop("size"))
+    crowds = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     crowded = stored(buckets.join(crowds, "band"))
-    stars = crowded.select(F.col("id").alias("p"), F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("q")).where("p <> q")
+    central = crowded.groupBy("id").agg(F.sum("size").alias("company"))
+    lead = [F.max_by("id", F.struct("company", "id")).alias("l"), *[F.min_by("id", F.xxhash64(F.col("id"), F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]]
+    leaders = stored(crowded.join(central, "id").groupBy("band").agg(*lead))
+    stars = crowded.select("band", F.col("id").alias("p")).join(leaders, "band").select("p", F.explode(F.array_distinct(F.array("l", *[f"l{i}" for i in range(LEADERS)]))).alias("q")).where("p <> q")
     links = _confirm(stars, reps, base, share, max_broadcast)
     joined = stored(components(links)) if links is not None else None
 
@@ -142,10 +156,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     # pairs in one band that are still apart
     apart = of(crowded.select("band", "id"))
     mixed = apart.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    left = stored(apart.join(mixed, "band").select("band", "id", "c"))
-    x, y = left.select("band", F.col("id").alias("p"), F.col("c").alias("cp")), left.select("band", F.col("id").alias("q"), F.col("c").alias("cq"))
+    left = stored(apart.join(mixed, "band").select("band", "id", "c").join(reps.select("id", "bits", "bands"), "id"))
+    x, y = (left.select("band", F.col("id").alias(i), F.col("c").alias(c), F.col("bits").alias(b), F.col("bands").alias(s)) for i, c, b, s in (("p", "cp", "bp", "sp"), ("q", "cq", "bq", "sq")))
+    once = F.get(F.array_intersect("sp", "sq"), 0) == F.col("band")  # a pair counts in its first common band
     tried = _ordered(stars)
-    rest = _ordered(x.join(y, "band").where("p < q and cp <> cq").select("p", "q")).join(tried, ["a", "b"], "left_anti")
+    rest = _ordered(x.join(y, "band").where((F.col("p") < F.col("q")) & (F.col("cp") != F.col("cq")) & (_differ(F.col("bp"), F.col("bq")) <= MAX_DIFFER) & once).select("p", "q")).join(tried, ["a", "b"], "left_anti")
     more = _confirm(rest, reps, base, share, max_broadcast, ordered=True)
     if more is not None:
         both = more if links is None else links.unionByName(more)
@@ -171,9 +186,10 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, reps: DataFrame, base: DataFrame, share: int, max_broadcast: int, ordered: bool = False) -> DataFrame | None:
-    """The pairs that hold on full sets; None if there are no candidates."""
-    pairs = pairs if ordered else _ordered(pairs)
-    likely = stored(_with(pairs, reps.select("id", "sketch"), "sketch").mapInArrow(_agree, "a long, b long"))
+    """The pairs that hold on full sets; None if there are no candidates. ordered: distinct pairs (a, b) whose sketches were compared."""
+    if not ordered:
+        pairs = _with(_ordered(pairs), reps.select("id", "bits"), "bits").where(_differ(F.col("x"), F.col("y")) <= MAX_DIFFER).select("a", "b")
+    likely = stored(pairs)
     ids = stored(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "key", "tie"), "id"))
     n = ids.count()
     if not n:

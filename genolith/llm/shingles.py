@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -105,7 +105,7 @@ def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
             break
         h = mix(x + np.uint64((i * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)))
         at = h & np.uint64(t - 1) if i < t else np.uint64(i - t)
-        np.minimum.at(flat, row * t + np.asarray(at).astype(np.int64), (h >> np.uint64(9)) | np.uint64(i << 55))
+        np.minimum.at(flat, row * t + np.asarray(at).astype(np.int64), (h >> np.uint64(12)) | np.uint64(i << 52))
         busy = (out == np.iinfo(np.uint64).max).any(axis=1)
         if not busy[row].all():
             stay = busy[row]
