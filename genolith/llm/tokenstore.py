@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 from pathlib import Path
@@ -24,17 +25,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genolith.llm.common import stored
+from genolith.llm.common import bound_batches, stored
 
 #: The dictionary is trained on this many documents at most, of at most SAMPLE_CHARS characters each.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 2_000, 20_000, 65_536
-BLOCK, LEVEL, CACHE, FLUSH = 1 << 20, 3, 400_000, 2_000_000
+BLOCK, LEVEL, CACHE, FLUSH = 1 << 20, 3, 300_000, 2_000_000
 _SPACE = r"\t-\r\x20\x85\p{Z}"
+#: White space with the run behind it: pre-tokens never depend on anything beyond.
+_BLANK = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNITS = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library, each distinct pre-token once; ids come as little-endian 32-bit bytes."""
+    """Encodes texts with the tokenizers library, each distinct run with the blanks before it once; ids come as little-endian 32-bit bytes."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,19 +47,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, units: list[str]) -> None:
+        """Ids of units that aren't known yet, from their pre-tokens."""
+        if len(self.known) + len(units) > CACHE:
+            self.known.clear()
+            self.pieces.clear()
+        split = [_PIECES.findall(u) for u in units]
+        new = list(set().union(*split).difference(self.pieces))
+        self.pieces.update(zip(new, self._plain(new), strict=True))
+        self.known.update((u, b"".join([self.pieces[p] for p in ps])) for u, ps in zip(units, split, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [any(s in t for s in self.special) for t in texts]  # they cut across pre-tokens
-        pieces = [[] if w else _PIECES.findall(t) for t, w in zip(texts, whole, strict=True)]
-        new = list(set().union(*pieces).difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(set().union(*pieces))
-        self.known.update(zip(new, self._plain(new), strict=True))
-        return [self._plain([t])[0] if w else b"".join(map(self.known.__getitem__, p)) for t, w, p in zip(texts, whole, pieces, strict=True)]
+        units = [[] if w else _UNITS.findall(t) for t, w in zip(texts, whole, strict=True)]
+        seen = set().union(*units)
+        if len(self.known) + len(seen) > CACHE:
+            self._learn(list(seen))
+        else:
+            self._learn(list(seen.difference(self.known)))
+        return [self._plain([t])[0] if w else b"".join(map(self.known.__getitem__, u)) for t, w, u in zip(texts, whole, units, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -90,6 +105,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
     empty table gives an empty store.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     spec = Path(tokenizer).read_text()
     short = docs.where(F.col(key).isNotNull() & F.length(text).between(1, SAMPLE_CHARS))
     chosen = short.select(key).orderBy(F.xxhash64(key), key).limit(SAMPLE)
