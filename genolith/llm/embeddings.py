@@ -62,16 +62,13 @@ def _tile(threshold: float):
                 links[b] += sizes[part] @ near
             i, j = near.nonzero()
             p, q = part[i], b[j]
-            while True:  # smallest label along the links, with pointer jumping
-                low = np.minimum(label[p], label[q])
-                old = label.copy()
-                np.minimum.at(label, p, low)
-                np.minimum.at(label, q, low)
-                label = np.minimum(label, label[label])
-                if (label == old).all():
-                    break
-        for _ in range(64):
-            label = label[label]
+            while len(p):  # the roots of a link's ends are united, so what earlier parts joined moves along; label stays flat
+                r, s = label[p], label[q]
+                apart = r != s
+                p, q = p[apart], q[apart]
+                np.minimum.at(label, np.maximum(r, s)[apart], np.minimum(r, s)[apart])
+                while (label[label] != label).any():
+                    label = label[label]
         some = np.flatnonzero((links > 0) | (label != np.arange(len(ids))))
         return pa.table({"id": ids[some], "links": links[some], "root": ids[label[some]]})
 

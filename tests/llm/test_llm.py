@@ -137,6 +137,22 @@ def test_embeddings(spark):
     assert near_vectors(df.where("false")).count() == 0
 
 
+def test_embedding_chains(spark):
+    # 30 arcs in planes of their own, each a chain of 20 vectors of which only neighbours link; tiles have over 256 rows on side a
+    order = np.random.default_rng(4).permutation(600).tolist()
+    rows, want = [], {}
+    for k in range(30):
+        ids = order[20 * k : 20 * k + 20]
+        for n, i in enumerate(ids):
+            v = [0.0] * 60
+            v[2 * k], v[2 * k + 1] = float(np.cos(0.16 * n)), float(np.sin(0.16 * n))
+            rows.append((i, v))
+            want[i] = (1 if n in (0, 19) else 2, min(ids), i == min(ids))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (2048, 300):  # one tile of its own rows; tiles with two sides
+        assert {r.vec_id: tuple(r)[1:] for r in near_vectors(df, block=block).collect()} == want
+
+
 def brute_lines(docs, least=50):
     """(key, text) in order -> text without later runs."""
     cut = {d: [(i, x.strip(" \t\r\x0b\x0c"), len(x.split())) for i, x in enumerate(t.split("\n"))] for d, t in docs}
