@@ -1,10 +1,11 @@
-"""Line dedup: winnowing over line hashes, joined positions, matches extended both ways, later runs deleted.
+"""Line dedup: windows of lines, found again by their content, later ones deleted.
 
-A window is the shortest run of lines from a given line on that has `min_words` words. Its smallest line hash is its fingerprint,
-so two documents that share a run of that many words are guaranteed to share one. Windows whose fingerprint occurs at
-one place only are left out; the others are compared with the earliest window of equal content. A match fixes a diagonal (document, earlier
-document, shift); along it equal lines are joined both ways into maximal runs, and runs of `min_words` words or more are deleted
-from the later document. All steps are joins, windows and map-side combined aggregates over narrow rows.
+A run of `min_words` words or more that occurred before is the union of small windows that occurred before, so only these are compared: from each
+line the shortest run on that has `min_words` words, the shortest run back from it, and, where a line of `min_words` words follows another, the two
+together (for blank lines between them). Proof: let t be a line of such a run [lo, hi]. If [t, hi] has `min_words` words, the window on from t lies in the run; if
+[lo, t] has, the window back from t does; if neither has, the window on from the last line s with `min_words` words in [s, hi] does, and it reaches beyond t. The same holds for
+a gap between two lines. How long a window is depends on its lines alone, so equal runs have equal windows, and every earlier place counts,
+not just one: a window is deleted where its content occurs at an earlier place. All steps are windows, joins and map-side combined aggregates over narrow rows.
 """
 
 from __future__ import annotations
@@ -31,31 +32,31 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text
     rows = each.select("d", F.posexplode("x").alias("at", "x")).select("d", "at", "x.h", "x.n").where("n > 0")
     order = Window.partitionBy("d").orderBy("at")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"pos": F.row_number().over(order), "s": (F.sum("n").over(so_far) - F.col("n")).cast("long"), "total": F.sum("n").over(Window.partitionBy("d"))})
+    rows = rows.withColumns({"s": (F.sum("n").over(so_far) - F.col("n")).cast("long"), "total": F.sum("n").over(Window.partitionBy("d"))})
+    rows = rows.withColumn("e", F.col("s") + F.col("n"))
     ahead = Window.partitionBy("d").orderBy("s").rangeBetween(0, min_words - 1)  # lines that start within min_words words
-    lines = stored(rows.select("d", "at", "pos", "h", "n", F.when(F.col("total") - F.col("s") >= min_words, F.struct(
-        F.min("h").over(ahead).alias("print"), F.xxhash64(F.collect_list("h").over(ahead)).alias("all"))).alias("w")))
+    back = Window.partitionBy("d").orderBy("e").rangeBetween(1 - min_words, 0)  # lines that end within min_words words
+    on = F.when(F.col("total") - F.col("s") >= min_words, F.struct(F.col("at").alias("lo"), F.max("at").over(ahead).alias("hi"), F.xxhash64(F.collect_list("h").over(ahead)).alias("whole")))
+    # a window back whose last line is needed for the words of its first is the window on from there
+    to = F.when((F.col("e") >= min_words) & (F.col("s") - F.min("s").over(back) >= min_words), F.struct(F.min("at").over(back).alias("lo"), F.col("at").alias("hi"), F.xxhash64(F.collect_list("h").over(back)).alias("whole")))
+    two = F.when((F.col("n") >= min_words) & (F.lead("n").over(order) >= min_words), F.struct(F.col("at").alias("lo"), F.lead("at").over(order).alias("hi"), F.xxhash64(F.array("h", F.lead("h").over(order))).alias("whole")))
+    found = rows.select("d", on.alias("on"), to.alias("to"), two.alias("two"))
+    windows = stored(found.select("d", F.explode(F.array_compact(F.array("on", "to", "two"))).alias("w")).select("d", "w.*"))
 
-    windows = lines.where("w is not null").select("d", "pos", F.col("w.print").alias("print"), F.col("w.all").alias("whole"))
-    # fingerprints that occur at two places or more; neighbouring windows share most of theirs
-    often = windows.groupBy("print").agg(F.min(F.struct("d", "pos")).alias("lo"), F.max(F.struct("d", "pos")).alias("hi")).where("lo <> hi").select("print")
-    kept = windows.join(often, "print")
-    first = kept.groupBy("print", "whole").agg(F.min(F.struct("d", "pos")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    same = kept.join(first, ["print", "whole"]).where(F.struct("d", "pos") > F.col("first"))
-    diagonals = stored(same.select("d", F.col("first.d").alias("a"), (F.col("first.pos") - F.col("pos")).alias("shift")).distinct())
-
-    mine = lines.select("d", "at", "pos", "h", "n").join(diagonals, "d").withColumn("there", F.col("pos") + F.col("shift"))
-    theirs = lines.select(F.col("d").alias("a"), F.col("pos").alias("there"), F.col("h").alias("h2"))
-    equal = mine.join(theirs, ["a", "there"]).where("h = h2")
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("d", "a", "shift").orderBy("pos"))
-    runs = equal.withColumn("island", island).groupBy("d", "a", "shift", "island").agg(F.sum("n").alias("words"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    return runs.where(F.col("words") >= min_words).select("d", "lo", "hi").distinct()
+    place = F.struct("d", "lo")
+    first = windows.groupBy("whole").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    same = windows.join(first, "whole").where(place > F.col("first")).groupBy("d", "lo").agg(F.max("hi").alias("hi"))
+    # overlapping and adjoining windows become one run
+    before = F.max("hi").over(Window.partitionBy("d").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))
+    starts = same.withColumn("new", F.coalesce(F.col("lo") > before + 1, F.lit(True)).cast("int"))
+    island = F.sum("new").over(Window.partitionBy("d").orderBy("lo").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return starts.withColumn("island", island).groupBy("d", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("d", "lo", "hi")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs with the text less its later repeated runs, plus n_lines and n_removed (long).
 
-    A run of consecutive lines, blank lines and outer blanks aside, with at least min_words words is deleted where it occurred before: in a document with a smaller
+    A run of consecutive lines, blank lines and outer blanks aside, with at least min_words words is deleted where it occurred before: in any document with a smaller
     key (then smaller text hash; null keys last) or higher up in the same one. The first occurrence always stays.
     Every other line stays as it is. Rows with equal key and text are one document and get the same result. A null text stays null with no lines;
     an empty text has one blank line. Columns of docs named n_lines or n_removed are replaced. An empty table gives an empty result.

@@ -200,6 +200,40 @@ def test_line_dedup(spark, corpus):
     assert dedup_lines(corpus.where("false")).count() == 0
 
 
+def brute_runs(docs, least=50):
+    """(key, text) in order -> text without the runs of least words that occurred at any earlier place."""
+    cut = {d: [(i, x.strip(" \t\r\x0b\x0c"), len(x.split())) for i, x in enumerate(t.split("\n")) if x.split()] for d, t in docs}
+    starts = collections.defaultdict(list)  # line -> earlier places
+    out = {}
+    for d, t in docs:
+        mine, gone = cut[d], set()
+        for i, line in enumerate(mine):
+            for a, j in starts[line[1]]:
+                n = 0
+                while i + n < len(mine) and j + n < len(cut[a]) and mine[i + n][1] == cut[a][j + n][1]:
+                    n += 1
+                if sum(x[2] for x in mine[i : i + n]) >= least:
+                    gone.update(range(mine[i][0], mine[i + n - 1][0] + 1))
+            starts[line[1]].append((d, i))
+        out[d] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+    return out
+
+
+def test_line_dedup_meets_every_earlier_document(spark):
+    p, t, a, b, c = words(55, 201), words(40, 202), words(60, 203), words(60, 204), words(60, 205)
+    docs = [(1, f"{p}\n{a}"), (2, f"{p}\n{t}\n{b}"), (3, f"{p}\n\n{t}\n{c}"), (4, f"{t}\n{p}\n \n{a}"), (5, f"{b}\n{t}\n{p}\n\n{a}\n{c}")]
+    want = brute_runs(docs)
+    assert want[3] == c and want[2] == f"{t}\n{b}"
+    assert {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+    rng = random.Random(8)
+    pool = [words(n, 300 + n) for n in (1, 5, 9, 14, 20, 26, 33, 40, 48, 50, 55, 70)] + ["", " \t"]
+    docs = [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 14)))) for i in range(150)]
+    for least in (50, 90):
+        got = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), min_words=least).collect()
+        assert {r.doc_id: r.text for r in got} == brute_runs(docs, least)
+        assert all(r.n_removed == r.n_lines - len(r.text.split("\n")) or r.text == "" for r in got)
+
+
 def brute_near(docs):
     t = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     sets = {}
