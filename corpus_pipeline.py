@@ -28,11 +28,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    verdict = near_duplicates(docs.select("doc_id", "text"))
-    gone = stored(verdict.where("not kept").select("doc_id").distinct())
-    few = gone.count() <= 1_000_000  # 8 bytes each; more are matched by a shuffled join
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that near-dedup keeps: one document of each group of near-duplicates. Of rows that repeat a key each has its own verdict, found by the text's hash."""
+    verdict = near_duplicates(docs.select("doc_id", "text"), tie="_tie")
+    gone = stored(verdict.where("not kept").select(F.col("doc_id").alias("_gone"), "_tie").distinct())  # null keys are kept, hashes are never null
+    few = gone.count() <= 1_000_000  # 16 bytes each; more are matched by a shuffled join
+    same = (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_tie"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

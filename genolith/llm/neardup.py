@@ -121,8 +121,8 @@ def _with(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", share: int = 75, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """One row per row of docs: key, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", share: int = 75, max_broadcast: int = MAX_BROADCAST, tie: str | None = None) -> DataFrame:
+    """One row per row of docs: key, n_shingles, component_id, kept, and the 64-bit hash of the row's text under the name `tie`, if given.
 
     Documents are linked if 100 * |A & B| >= share * |A | B| for their sets of distinct 5-word shingles
     (A-Z lower-cased; fewer words: the whole sequence); component_id is the smallest key that a document
@@ -170,15 +170,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     lowest = named.groupBy("c").agg(F.min("key").alias("component_id"))
     each = named.join(lowest, "c").select("f1", "f2", "component_id")
     out = found.select("key", "tie", "n", "f1", "f2").join(each, ["f1", "f2"], "left").withColumn("component_id", F.when(F.col("key").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "key")))
-    return _settle(out, key)
+    return _settle(out, key, tie)
 
 
-def _settle(out: DataFrame, key: str) -> DataFrame:
+def _settle(out: DataFrame, key: str, tie: str | None = None) -> DataFrame:
     """Rows that repeat a key get one component; keys without repeats pass through a map-side combined count."""
     again = out.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("least"), F.min("tie").alias("first")).where("rows > 1")
     return out.join(again, "key", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "component_id").alias("component_id"),
-        (F.col("key").isNull() | ((F.col("key") == F.coalesce("least", "component_id")) & (F.col("tie") == F.coalesce("first", "tie")))).alias("kept"))
+        (F.col("key").isNull() | ((F.col("key") == F.coalesce("least", "component_id")) & (F.col("tie") == F.coalesce("first", "tie")))).alias("kept"),
+        *([F.col("tie").alias(tie)] if tie else []))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from genolith.llm import bpe, html, licenses, mixing, queries, shingles, tokenstore
 from genolith.llm.embeddings import near_vectors
@@ -370,3 +371,16 @@ def test_pipeline_against_brute_force(spark, tmp_path, labels):
         want[d] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())
     got = {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want and 26 not in got and 23 not in got and zlib is not None
+
+
+def test_near_stage_keeps_the_rows_marked_kept(spark):
+    import corpus_pipeline
+
+    one, two, three, four = (words(80, 700 + i) for i in range(4))
+    rows = [(1, one), (1, two), (2, one + " end"), (3, three), (3, three), (4, three + " end"), (5, four), (6, None), (6, four + " other words"), (None, one), (7, None), (7, "")]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], DOCS)
+    verdict = near_duplicates(docs, tie="h").join(docs.selectExpr("doc_id as k", "xxhash64(text) as x", "text").distinct(), on=[F.col("doc_id").eqNullSafe(F.col("k")), F.col("h") == F.col("x")])
+    want = collections.Counter((r.doc_id, r.text) for r in verdict.where("kept").collect())
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs, "").collect())
+    assert got == want and sum(n for (k, _), n in got.items() if k == 1) == 1
+    assert got[3, three] == 2 and got[None, one] == 1 and not {2, 4} & {k for k, _ in got} and sum(n for (k, _), n in got.items() if k == 7) == 1
