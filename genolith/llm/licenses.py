@@ -1,12 +1,15 @@
 """License scans by sentence rules.
 
 A text is cut into normalised sentences; those that a dictionary knows become identifiers, and the sequence of identifiers (with a mark
-wherever other text stands between two) is matched against ordered rules. A match uses its identifiers up, so a short
+wherever other text stands between two) is matched against ordered rules. A sentence of the dictionary may be wrapped over lines, and
+it may be followed by the rest that it has in the public text. A match uses its identifiers up, so a short
 rule never fires inside a longer one that stands before it. Every row is judged by itself: nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,11 @@ SENTENCES = {
     "cc0": "this work is dedicated to the public domain",
     "reserved": "all rights reserved",
 }
+#: What the public texts add to entries that end before their sentence does.
+ENDINGS = {
+    "mit-grant": "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "asis": "including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+}
 #: Ordered: the first rules are tried first.
 RULES = [
     ("MIT", ["mit-title", "mit-grant", "mit-keep", "asis"]),
@@ -63,10 +71,25 @@ RULES = [
 ]
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: cut at line breaks and at `.!?;` before a blank; letters a-z and digits stay."""
-    cut = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[.!?;]+[ \t\r\n]+|\n+", "\n")
-    return F.transform(F.split(F.regexp_replace(cut, r"[^a-z0-9\n]+", " "), "\n"), lambda s: F.btrim(s))
+def _join(cut: Column, known: dict[str, str]) -> Column:
+    """cut with each known sentence that is wrapped over lines, numbered as a clause or complete with its ending put on a line of its own."""
+    gap = r"(?: ?\n ?| )"
+    for name, sentence in known.items():
+        whole = gap.join(map(re.escape, sentence.split()))
+        if name in ENDINGS:
+            whole += f"(?:{gap}{gap.join(ENDINGS[name].split())})?"
+        cut = F.regexp_replace(cut, rf"(?:^|(?<=\n)) ?(?:[0-9]\n\n)?{whole}(?= ?(?:\n|$))", sentence)
+    return cut
+
+
+def sentences(text: Column, known: dict[str, str] | None = None) -> Column:
+    """Normalised sentences: cut at line breaks and at `.!?;` before a blank; letters a-z and digits stay. Known sentences are whole even where lines break inside them."""
+    known = SENTENCES if known is None else known
+    ended = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[.!?;]+[ \t\r\n]+", "\n\n")  # no sentence goes on over an empty line
+    cut = F.regexp_replace(ended, r"[^a-z0-9\n]+", " ")
+    longest = sorted({max(s.split(), key=len) for s in known.values() if s})  # a text without any of these words has no known sentence
+    whole = let(cut, lambda c: F.when(F.exists(F.array(*map(F.lit, longest)), lambda w: F.contains(c, w)), _join(c, known)).otherwise(c)) if longest else cut
+    return F.filter(F.transform(F.split(whole, "\n"), lambda s: F.btrim(s)), lambda s: s != "")
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -78,9 +101,9 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple
     known, rules = SENTENCES if known is None else known, RULES if rules is None else rules
     by_text = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, name)])
     texts = F.array(*[F.lit(s) for s in known.values()])
-    places = let(sentences(F.col(text)), lambda all_: F.when(
+    places = let(sentences(F.col(text), known), lambda all_: F.when(
         F.size(F.array_intersect(texts, all_)) > 0,
-        F.filter(F.transform(F.filter(all_, lambda s: s != ""), lambda s, i: F.struct(i.alias("i"), F.try_element_at(by_text, s).alias("name"))), lambda x: x["name"].isNotNull()),
+        F.filter(F.transform(all_, lambda s, i: F.struct(i.alias("i"), F.try_element_at(by_text, s).alias("name"))), lambda x: x["name"].isNotNull()),
     ))
     row = docs.select(F.col(key), places.alias("found"))
     marks = F.transform("found", lambda x, k: F.concat(F.when((k > 0) & (F.get("found", k - 1)["i"] < x["i"] - 1), F.lit("|")).otherwise(F.lit("")), F.lit("<"), x["name"], F.lit(">")))
@@ -95,7 +118,7 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple
 
 
 def oracle() -> str:
-    """The same scan in DuckDB SQL."""
+    """The same scan in DuckDB SQL, for texts whose licence sentences stand on one line each and as the dictionary has them."""
     table = ", ".join(f"('{s}', '{name}')" for name, s in SENTENCES.items())
     steps, last = [], "s"
     for k, (_, ids) in enumerate(RULES):

@@ -104,6 +104,50 @@ def test_licenses(spark, corpus):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+    bsd = """All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+%s Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+%s Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty"""
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted, provided that the above\r\ncopyright notice and this permission notice appear in all copies."
+    texts = [mit, bsd % ("1.", "2."), bsd % ("*", "*"), gpl, isc, mit.replace("\n\n", "|").replace("\n", " ").replace("|", "\n"), "released under\n\nthe mit license", "we are not released under the\nmit license", "Released under the MIT License\nand more text"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].licenses for i in range(9)] == ["MIT", "BSD-2-Clause,Proprietary", "BSD-2-Clause,Proprietary", "GPL-3.0-or-later", "ISC", "MIT", "", "", "MIT"]
+    assert got[0].sequence == got[5].sequence == "<mit-grant><mit-keep><asis>" and got[1].sequence == got[2].sequence == "<reserved><bsd-grant><bsd-source><bsd-binary>"
+
+
 def page(body, cls="post-12 content"):
     return f'<html><body><nav><a href=x>menu</a></nav><div class="{cls}"><h2>T&eacute;st &lt;x&gt;</h2><p>{body} one<br>two &nbsp; three<p>four<ul><li>i1<li>i2</ul><div class="comments"><p>hi</p></div> tail a < b</div><div class="sidebar"><p>side text that is really rather long, longer than all the rest of this page taken together, so it is tempting</div><script>if(a<b){{}}</script></body>'
 
