@@ -1,7 +1,7 @@
 """Main-text extraction with consensus host paths.
 
-First pass: each page's containers are scored by the text that they hold outside of boilerplate, and the page votes
-for the generalised tag-class path of its best one. Spark sums the votes per host (map-side first, so a host with
+First pass: each page's containers are scored by the text that they hold outside of boilerplate; from its best one the page climbs to
+the whole article around it and votes for the generalised tag-class path of that. Spark sums the votes per host (map-side first, so a host with
 most of the pages costs no more than another). Second pass: each page gives the text of the elements at its host's winning path;
 a page without such an element, or without a host, gives that of its own best container.
 """
@@ -138,7 +138,7 @@ class Page:
         return ">".join(reversed(names))
 
     def best(self) -> tuple[int, float]:
-        """The container with the most text close to it; -1 without any."""
+        """The article around the container with the most text close to it, and that container's score; -1 without any."""
         score: dict[int, float] = {}
         for e, text, free in self.blocks:
             if self.junk[e]:
@@ -149,7 +149,34 @@ class Page:
             while holder >= 0 and worth >= 1:
                 score[holder] = score.get(holder, 0) + worth * (1.5 if self.tag[holder] in {"article", "main"} else 1)
                 holder, worth = self.parent[holder], worth / 2
-        return max(score.items(), key=lambda x: (x[1], -x[0]), default=(-1, 0.0))
+        found, most = max(score.items(), key=lambda x: (x[1], -x[0]), default=(-1, 0.0))
+        return self._whole(found), most
+
+    def _whole(self, element: int) -> int:
+        """The nearest article or main around element; without one, the outermost ancestor that adds at least as much text as boilerplate."""
+        if element < 0:
+            return element
+        chain = [element]
+        while chain[-1] > 0:
+            chain.append(self.parent[chain[-1]])
+        for e in chain:
+            if self.tag[e] in {"article", "main"}:
+                return e
+        level = {e: k for k, e in enumerate(chain)}
+        text, junk = [0.0] * len(chain), [0.0] * len(chain)  # by the first ancestor that holds them; links count as boilerplate
+        for e, words, free in self.blocks:
+            free, at = 0.0 if self.junk[e] else free, e
+            while at not in level:
+                at = self.parent[at]
+            if k := level[at]:
+                text[k] += len(words) * free
+                junk[k] += len(words) * (1 - free)
+        out, had, added, spoilt = element, 0.0, 0.0, 0.0
+        for e, more, other in zip(chain, text, junk, strict=True):
+            added, spoilt = added + more, spoilt + other
+            if added > had and added >= spoilt:
+                out, had = e, added
+        return out
 
     def text(self, path: str | None) -> str:
         """Blocks inside the elements at path, or inside the page's own best container."""

@@ -163,6 +163,26 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_the_whole_article(spark):
+    long, lead = "a rather long sentence of the body " * 12, "the lead paragraph of this page"
+    items = "".join(f"<li>{long}</li>" for _ in range(9))
+    cells = "".join(f"<tr><td>{long}</td><td>{i}</td></tr>" for i in range(9))
+    menu, foot = "<nav><ul><li><a href=x>menu</a></li></ul></nav>", '<div class="sidebar"><p>side text</p></div><footer>imprint of the host</footer>'
+    bodies = {
+        "list": f"<article><h1>head</h1><p>{lead}</p><ul>{items}</ul><p>the end</p></article>",
+        "table": f"<main><h1>head</h1><p>{lead}</p><table>{cells}</table><p>the end</p></main>",
+        "inner": f'<article><h1>head</h1><p>{lead}</p><div class="entry"><p>{long}</p><p>{long}</p></div><p>the end</p></article>',
+        "entry": f'<div class="x"><h1>head</h1><p>{lead}</p><div class="entry"><p>{long}</p><p>{long}</p></div><div class="share">tweet</div><p>the end</p></div>',
+        "sections": f'<div class="x"><h1>head</h1><section class="one"><p>{lead}</p><p>{long}{long}{long}</p></section><section class="two"><p>{long}{long}</p><p>the end</p></section></div>',
+    }
+    rows = [(i, f"http://{k}.org/{i}", f"<html><body>{menu}{b}{foot}</body></html>") for i, (k, b) in enumerate(bodies.items())]
+    rows += [(10 + i, f"http://host.org/{i}", rows[3][2]) for i in range(4)] + [(20, None, rows[3][2])]
+    for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got = r.text.split("\n")
+        assert got[:2] == ["head", lead] and got[-1] == "the end", r.url
+        assert long.strip() in r.text and not {"menu", "side text", "imprint of the host", "tweet"} & set(got)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(12, 8))
