@@ -19,8 +19,10 @@ from genolith.llm.common import bound_batches, stored
 from genolith.llm.embeddings import fit_centres
 from genolith.llm.shingles import chunks, word_hashes
 
-#: The topic model is fitted on this many documents at most.
+#: The topic model starts from clusters of this many documents at most and is then fitted on all of them.
 SAMPLE, TOPICS, BINS = 1_500, 8, 256
+#: Rounds over all documents at most; they end earlier when no centre moves by MOVED. Vectors are summed as integers, so the order of rows changes nothing.
+FIT_ROUNDS, MOVED, UNIT = 12, 1e-4, 65_535
 #: Share of the tokens to keep; exponent that flattens the present shares into targets.
 KEEP, FLATTEN = 0.8, 0.7
 ROUNDS, TOLERANCE = 200, 1e-9
@@ -42,14 +44,53 @@ def _vectors(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> np.ndarray:
-    """Centres of word-count clusters, fitted on the documents with the lowest hashes of their keys (at most `sample`)."""
-    ids = docs.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(sample)
-    rows = docs.join(F.broadcast(ids.distinct()), key, "left_semi").select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(sample).collect()
-    if not rows:
+    """Centres of word-count clusters over all documents with words; seeds are the clusters of those with the lowest hashes (at most `sample`)."""
+    bound_batches(docs.sparkSession)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for x, n in _vectors(batch.column(1)):
+                blobs = [v.tobytes() if c else None for v, c in zip(np.rint(x * UNIT).astype("<u2"), n.tolist(), strict=True)]
+                yield pa.record_batch([batch.column(0).slice(done, len(blobs)), pa.array(blobs, pa.binary())], ["h", "v"])
+                done += len(blobs)
+
+    rows = docs.select(F.xxhash64(F.col(key).cast("long"), text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    all_ = stored(rows.mapInArrow(vectors, "h long, v binary").where("v is not null"))
+    seeds = [r.v for r in all_.orderBy("h", "v").limit(sample).collect()]
+    if not seeds:
         return np.zeros((1, BINS))
-    x = np.concatenate([v for v, _ in _vectors(pa.array(sorted(r.t for r in rows)))])
-    x = x[(x > 0).any(axis=1)]
-    return fit_centres(x, topics) if len(x) else np.zeros((1, BINS))
+    x = np.frombuffer(b"".join(seeds), "<u2").reshape(len(seeds), BINS) / UNIT
+    centres = fit_centres(x / np.sqrt((x * x).sum(axis=1))[:, None], topics)
+    for _ in range(FIT_ROUNDS):
+        total = np.zeros_like(centres)
+        for c, b, n in _sums(all_, centres).collect():  # at most topics x BINS rows
+            total[c, b] = n
+        size = np.sqrt((total * total).sum(axis=1))
+        new = np.where(size[:, None] > 0, total / np.where(size > 0, size, 1)[:, None], centres)
+        moved, centres = np.abs(new - centres).max(), new
+        if moved < MOVED:
+            break
+    return centres
+
+
+def _sums(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(c, b, n): sum of bin b over the vectors nearest to centre c; each task sends one row per centre and bin."""
+    given = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(given.value)
+        total = np.zeros((k, BINS), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2").reshape(batch.num_rows, BINS)
+                nearest = (x @ given.value.T).argmax(axis=1)
+                for c in range(k):
+                    total[c] += x[nearest == c].sum(axis=0, dtype=np.int64)
+        c, b = total.nonzero()
+        yield pa.record_batch([pa.array(c, pa.int32()), pa.array(b, pa.int32()), pa.array(total[c, b])], ["c", "b", "n"])
+
+    return vectors.select("v").mapInArrow(run, "c int, b int, n long").groupBy("c", "b").agg(F.sum("n").alias("n"))
 
 
 def with_topics(docs: DataFrame, centres: np.ndarray, text: str = "text") -> DataFrame:

@@ -360,6 +360,22 @@ def test_mixing(spark, corpus):
     assert abs(sum(n * near[s, g, t] for s, g, t, n in cells) / sum(c[3] for c in cells) - 0.4) < 1e-6
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    import pyarrow as pa
+
+    texts = [words(40, i) for i in range(60)] + [words(40, i).replace("w", "v") for i in range(12)] + ["", " "]
+    rows = [(i % 50 if i % 7 else None, t) for i, t in enumerate(texts)]  # keys repeat or are null
+    df = spark.createDataFrame([*rows, (99, None)], "doc_id long, text string")
+    centres = mixing.fit_topics(df, topics=2, sample=5)
+    x = np.concatenate([v for v, _ in mixing._vectors(pa.array(texts[:-2]))])
+    nearest = (x @ centres.T).argmax(axis=1)
+    for c in range(2):
+        mean = x[nearest == c].sum(axis=0)
+        assert np.abs(mean / np.sqrt((mean * mean).sum()) - centres[c]).max() < 1e-3
+    assert (mixing.fit_topics(df.repartition(7), topics=2, sample=5) == centres).all()
+    assert not mixing.fit_topics(df.where("text is null"), topics=2).any()
+
+
 @pytest.fixture(scope="module")
 def fuzz():
     rng = random.Random(3)
