@@ -18,6 +18,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -28,13 +29,50 @@ from genolith.llm.common import bound_batches, stored
 
 #: The dictionary is trained on this many documents at most, of at most SAMPLE_CHARS characters each.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 2_000, 20_000, 65_536
-BLOCK, LEVEL, CACHE, FLUSH = 1 << 20, 3, 400_000, 2_000_000
+#: Parts of texts and pre-tokens that a worker remembers at most (about 200 bytes each), and bytes of text that are encoded at a time.
+BLOCK, LEVEL, CACHE, FLUSH = 1 << 20, 3, 600_000, 4_000_000
 _SPACE = r"\t-\r\x20\x85\p{Z}"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_PARTS = regex.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: White space other than single spaces and line breaks between visible characters.
+_LOOSE = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+class _Numbers(dict):
+    """Numbers keys in the order of their first use and lists those not yet taken."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        self[key] = n = len(self)
+        return n
+
+
+class _Ids:
+    """Numbered keys and the ids of each: flat[first[i]:first[i + 1]]."""
+
+    def __init__(self) -> None:
+        self.numbers, self.first, self.flat = _Numbers(), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
+        self.flat = np.concatenate((self.flat, ids))
+
+    def of(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of keys n, one after another, and how many each has."""
+        start, sizes = self.first[n], self.first[n + 1] - self.first[n]
+        return self.flat[np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library, each distinct pre-token once; ids come as little-endian 32-bit bytes."""
+    """Encodes whole texts with the tokenizers library, whose model sees each distinct pre-token once while the caches hold it.
+
+    A text is cut where white space follows a visible character: no pre-token reaches across, so a part has the same ids wherever
+    it stands. Parts are kept without the space that most begin with; the first part of a text and all parts of a text with other white space stand after a tab.
+    """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,20 +80,60 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [any(s in t for s in self.special) for t in texts]  # they cut across pre-tokens
-        pieces = [[] if w else _PIECES.findall(t) for t, w in zip(texts, whole, strict=True)]
-        new = list(set().union(*pieces).difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(set().union(*pieces))
-        self.known.update(zip(new, self._plain(new), strict=True))
-        return [self._plain([t])[0] if w else b"".join(map(self.known.__getitem__, p)) for t, w, p in zip(texts, whole, pieces, strict=True)]
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in set(plain)]
+        self.symbols = str.maketrans({b: 256 + i for i, b in enumerate(hidden)})  # how byte-level vocabularies write a byte
+        self.parts, self.pieces = _Ids(), _Ids()
+
+    def _learn(self) -> None:
+        """Encode the parts that were numbered since the last call."""
+        new, self.parts.numbers.new = self.parts.numbers.new, []
+        if not new:
+            return
+        if len(self.pieces.numbers) > CACHE:
+            self.pieces = _Ids()
+        real = (x[1:] if x[0] == "\t" else x if x[0] == "\n" else f" {x}" for x in new)
+        cut = [(x,) if x.isascii() and x[:1] == " " and x[1:].isalpha() else _PIECES.findall(x) for x in real]
+        each, counts = self.pieces.numbers.__getitem__, np.fromiter(map(len, cut), np.int64, len(cut))
+        n = np.fromiter((each(p) for x in cut for p in x), np.int64, counts.sum())
+        unseen, self.pieces.numbers.new = self.pieces.numbers.new, []
+        tokenize = self.tokenizer.model.tokenize
+        space = self.symbols[32]
+        written = (p.replace(" ", chr(space)) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.symbols) for p in unseen)
+        ids = [[t.id for t in tokenize(w)] for w in written]
+        self.pieces.add(np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for x in ids for i in x), np.uint32))
+        ids, sizes = self.pieces.of(n)
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+        self.parts.add(np.diff(ends), ids)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        if len(self.parts.numbers) > CACHE:
+            self.parts = _Ids()
+        texts = texts.fill_null("")
+        whole = np.zeros(len(texts), bool)  # special tokens cut across parts
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        loose = pc.match_substring_regex(texts, _LOOSE).to_numpy(zero_copy_only=False) & ~whole
+        plain = texts.filter(pa.array(~(whole | loose)))
+        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\t", plain, ""), "\n", " \n"), " ")
+        parts = cut.flatten().dictionary_encode()
+        known = np.fromiter(map(self.parts.numbers.__getitem__, parts.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(parts.dictionary))
+        rest = {i: [self.parts.numbers["\t" + x] for x in _PARTS.findall(texts[i].as_py())] for i in np.flatnonzero(loose).tolist()}
+        self._learn()
+        at = known[parts.indices.to_numpy()]
+        ids, sizes = self.parts.of(at)
+        ends = np.concatenate(([0], np.cumsum(sizes)))[cut.offsets.to_numpy()[1:]]
+        each = iter(np.split(ids, ends[:-1]))
+        out = []
+        for i in range(len(texts)):
+            if whole[i]:
+                out.append(np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32))
+            elif loose[i]:
+                out.append(self.parts.of(np.array(rest[i], np.int64))[0])
+            else:
+                out.append(next(each))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -69,6 +147,16 @@ def encoder(spec: str) -> Encoder:
     return _encoders[name]
 
 
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows with at most FLUSH bytes of text; a longer text stands alone."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + FLUSH, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if len(data) >= 8 else None
 
@@ -97,12 +185,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
     texts = [r[0] for r in short.join(F.broadcast(chosen.distinct()), key, "left_semi").select(text).limit(SAMPLE).collect()]
     enc = encoder(spec)
     width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 else 4
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], f"<u{width}")
 
-    def packed(ids: bytes) -> bytes:
-        return np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+    def packed(ids: np.ndarray) -> bytes:
+        return np.concatenate((ids.astype(end.dtype), end)).tobytes()
 
-    trained = _train([packed(x + end) for x in enc.encode(sorted(texts))])
+    trained = _train([packed(x) for x in enc.encode(pa.array(sorted(texts), pa.string()))])
     name = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(trained, name, width, hashlib.sha256(spec.encode()).hexdigest())], "dictionary binary, sha256 string, width int, tokenizer string").coalesce(1).write.parquet(f"{path}/dictionary")
     given = spark.sparkContext.broadcast((spec, trained))
@@ -111,15 +199,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
         e = encoder(given.value[0])
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(given.value[1]))
         for batch in batches:
-            done, some, size = 0, [], 0
-            for i in range(batch.num_rows):
-                some.append(batch.column(3)[i].as_py() or "")
-                size += len(some[-1])
-                if size > FLUSH or i == batch.num_rows - 1:
-                    ids = [x + end for x in e.encode(some)]
-                    head = batch.slice(done, len(some)).select([0, 1, 2])
-                    yield pa.record_batch([*head.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([press.compress(packed(x)) for x in ids], pa.binary())], ["key", "tie", "rid", "count", "frame"])
-                    done, some, size = i + 1, [], 0
+            for lo, hi in _runs(batch.column(3)):
+                part = batch.slice(lo, hi - lo)
+                ids = [packed(x) for x in e.encode(part.column(3))]
+                yield pa.record_batch([*part.columns[:3], pa.array([len(x) // width for x in ids], pa.int64()), pa.array([press.compress(x) for x in ids], pa.binary())], ["key", "tie", "rid", "count", "frame"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, start, keys, counts, parts, size = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
