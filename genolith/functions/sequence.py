@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,22 +67,31 @@ def is_base(c: Column) -> Column:
     return (F.length(c) == 1) & c.isin(*BASES)
 
 
-def kmers(seq: Column, k: int = 3) -> Column:
-    """All k-mers of a sequence, in order.
+def kmer_counts(sequences: DataFrame, key: str, seq: str, k: int = 3) -> DataFrame:
+    """(key, kmer, n) of upper-cased sequences, where every letter but A, C, G and T counts as N.
 
-    The letters become an array first: a substring at position i would walk i characters each time.
+    Counted per row in numpy over Arrow batches, so at most 5**k rows leave a row and none is made for a position. Rows with equal keys are added up.
     """
-
-    def windows(letters: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(letters) - k)
-        return F.when(F.size(letters) >= k, F.transform(at, lambda i: F.concat(*[F.get(letters, i + j) for j in range(k)]))).otherwise(F.array().cast("array<string>"))
-
-    return F.transform(F.array(F.array_remove(F.split(seq, ""), "")), windows)[0]
-
-
-def kmer_counts(sequences: DataFrame, key: str, seq: str, k: int = 3) -> DataFrame:
-    """(key, kmer, n); counted before any mapping, so at most 5**k rows a key are shuffled."""
-    return sequences.select(key, F.explode(kmers(F.upper(F.col(seq)), k)).alias("kmer")).groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    code = np.full(256, 4, np.int64)
+    code[[ord(b) for b in BASES]] = range(4)
+    names = np.array(["".join(x) for x in itertools.product([*BASES, "N"], repeat=k)], object)
+    kind = sequences.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1)):
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                c = code[raw[(raw & 0xC0) != 0x80]]  # one code for each character of more than one byte
+                if len(c) >= k:
+                    at = np.zeros(len(c) - k + 1, np.int64)
+                    for j in range(k):
+                        at = at * 5 + c[j : len(c) - k + 1 + j]
+                    n = np.bincount(at, minlength=5**k)
+                    found = np.flatnonzero(n)
+                    yield pa.record_batch([batch.column(0).take(pa.array(np.full(len(found), i))), pa.array(names[found], pa.string()), pa.array(n[found], pa.int64())], [key, "kmer", "n"])
+
+    rows = sequences.where(F.col(seq).isNotNull()).select(key, F.upper(F.col(seq)).alias("s_")).mapInArrow(run, f"`{key}` {kind}, kmer string, n long")
+    return rows.groupBy(key, "kmer").agg(F.sum("n").alias("n"))
 
 
 def context_frequencies(sequences: DataFrame, key: str, seq: str) -> DataFrame:

@@ -211,7 +211,7 @@ def nearest_directional(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataF
     up = Window.partitionBy("chrom").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = q.select("*", F.col("start").alias("at"), F.lit(1).alias("kind")).unionByName(ends, allowMissingColumns=True).withColumn("prev", F.max("seen").over(up)).where("kind = 1")
     starts = b.select("chrom", F.col("start").alias("at"), F.lit(1).alias("kind"), F.col("start").alias("seen"))
-    down = Window.partitionBy("chrom").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    down = Window.partitionBy("chrom").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a growing frame, so each row costs one step
     base = before.select(*key, *SPAN, "prev")
     after = base.select("*", F.col("end").alias("at"), F.lit(0).alias("kind")).unionByName(starts, allowMissingColumns=True).withColumn("next", F.min("seen").over(down)).where("kind = 0")
     return after.select(*key, *SPAN, (F.col("start") - F.col("prev")).alias("upstream"), (F.col("next") - F.col("end")).alias("downstream"))

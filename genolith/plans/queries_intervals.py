@@ -169,7 +169,7 @@ def cluster_islands(spark, d):
 
 def local_rate(spark, d):
     a, b = _ev(spark, d)
-    return iv.band_rate(a, b, ["id"], 900, "start").select("id", F.round("local_rate", 3).alias("local_rate"))
+    return iv.band_rate(a, b, ["id"], 900, "start").select("id", F.round("local_rate", 9).alias("local_rate"))
 
 
 def slop_windows(spark, d):
@@ -240,7 +240,7 @@ c AS (SELECT *, CASE WHEN k = 1 THEN len ELSE len // k + 1 END AS cut, unnest(ra
     "distance_features": _q(_NEAR, "SELECT id, round(CASE WHEN upstream >= 0 AND downstream >= 0 AND upstream + downstream > 0 THEN least(upstream / (upstream + downstream + 1), 1 - upstream / (upstream + downstream + 1)) ELSE 0 END, 9) AS progress, CASE WHEN upstream >= 0 AND downstream >= 0 AND upstream + downstream > 0 THEN upstream + downstream ELSE 0 END AS total FROM dir"),
     "cluster_islands": _q(_ISLAND.format(by="chrom", tie=", id", gap=30), "SELECT id, chrom, island::BIGINT AS island FROM i1"),
     "local_rate": _q("""a0 AS (SELECT id, chrom, greatest(start - 900, 0) AS start, start + 900 AS "end" FROM ev),
-h AS (SELECT a.id, sum(b.score) AS r, sum(b."end" - b.start) AS w FROM a0 a JOIN fv b ON """ + _JOIN + " GROUP BY a.id)", "SELECT id, round(r / w * (SELECT count(*) FROM h), 3) AS local_rate FROM h"),
+h AS (SELECT a.id, sum(b.score) AS r, sum(b."end" - b.start) AS w FROM a0 a JOIN fv b ON """ + _JOIN + " GROUP BY a.id)", "SELECT id, round(r / w * (SELECT count(*) FROM h), 9) AS local_rate FROM h"),
     "slop_windows": _q("", 'SELECT id, greatest(start - 5000, 0) AS start, start + 5000 AS "end" FROM ev'),
     "slice_regions": _q("", """SELECT id, chrom, start, "end" FROM ev WHERE (chrom = 'click' AND start < 500000 AND "end" > 10000) OR (chrom = 'view' AND "end" > 1000000)"""),
     "window_report": _q(_ISLAND.format(by="chrom", tie="", gap=0) + """, m AS (SELECT max("end") - min(start) AS length FROM i1 GROUP BY chrom, island)""", "SELECT count(*) AS n, min(length) AS shortest, max(length) AS longest, round(quantile_cont(length, 0.1), 6) AS q10, round(quantile_cont(length, 0.25), 6) AS q25, round(quantile_cont(length, 0.5), 6) AS q50, round(quantile_cont(length, 0.75), 6) AS q75, round(quantile_cont(length, 0.9), 6) AS q90 FROM m"),

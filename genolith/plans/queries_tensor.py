@@ -195,7 +195,7 @@ def mutation_weights(spark, d):
 
 def rainfall(spark, d):
     a, b = _ev(spark, d)
-    return mu.rainfall(a.select("id", "chrom", F.col("start").alias("pos")), b, 900).select("id", "distance", *_r("local_rate", digits=3))
+    return mu.rainfall(a.select("id", "chrom", F.col("start").alias("pos")), b, 900).select("id", "distance", *_r("local_rate", digits=9))
 
 
 def mutation_clusters(spark, d):
@@ -400,7 +400,7 @@ a AS (SELECT *, CASE class WHEN 0 THEN 'A' WHEN 1 THEN 'G' ELSE CASE WHEN c = 'C
 SELECT (n * 3 + class)::INT AS index, f || '[' || c || '>' || alt || ']' || t AS label, f || c || t AS trinucleotide, class, c || '>' || alt AS mutation FROM a""",
     "mutation_contexts": f"WITH {_VAR} SELECT id, configuration, substr(t, 1, 1) || '[' || substr(t, 2, 1) || '>' || a || ']' || substr(t, 3, 1) AS context FROM vc WHERE ref <> alt",
     "mutation_weights": "SELECT event_id AS id, round(least(value / 50, 1) / CASE WHEN user_id % 6 + 1 > 3 THEN user_id % 6 + 1 ELSE 1 END, 9) AS weight FROM events",
-    "rainfall": f"WITH {EV}, {_RAIN} SELECT id, distance, round(local_rate, 3) AS local_rate FROM rain",
+    "rainfall": f"WITH {EV}, {_RAIN} SELECT id, distance, round(local_rate, 9) AS local_rate FROM rain",
     "mutation_clusters": f"""WITH {EV}, {_RAIN}, c AS (SELECT *, -ln(1 - 0.99) / local_rate AS critical FROM rain WHERE distance IS NOT NULL AND local_rate > 0),
 f AS (SELECT *, CASE WHEN lag(pos) OVER w IS NULL OR pos - lag(pos) OVER w > least(120, lag(critical) OVER w) THEN 1 ELSE 0 END AS n FROM c WINDOW w AS (PARTITION BY chrom ORDER BY pos, id)),
 g AS (SELECT *, chrom || ':' || (sum(n) OVER (PARTITION BY chrom ORDER BY pos, id ROWS UNBOUNDED PRECEDING))::BIGINT AS cluster FROM f) SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM g""",
