@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-CHUNK = 1 << 20
+#: Bytes hashed at a time; some ten arrays of 8 bytes for each live meanwhile.
+CHUNK = 1 << 18
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -47,9 +48,29 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.n
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of consecutive texts, and the index of each text's first word (one more at the end)."""
+    """64-bit hashes of the words of consecutive texts, and the index of each text's first word (one more at the end).
+
+    A single text of more than CHUNK bytes is hashed in pieces that end at blanks.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    if len(off) == 2 and len(data) > CHUNK:
+        found, lo = [], 0
+        while lo < len(data):
+            blank = np.flatnonzero(_BLANK[data[lo + CHUNK : lo + 2 * CHUNK]])
+            step = CHUNK
+            while not len(blank) and lo + step < len(data):  # one word of more than CHUNK bytes
+                step += CHUNK
+                blank = np.flatnonzero(_BLANK[data[lo + step : lo + step + CHUNK]])
+            hi = lo + step + int(blank[0]) if len(blank) else len(data)
+            found.append(_word_hashes(data[lo:hi], np.array([0, hi - lo]), lower)[0])
+            lo = hi
+        h = np.concatenate(found)
+        return h, np.array([0, len(h)])
+    return _word_hashes(data, off, lower)
+
+
+def _word_hashes(data: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     if lower:
         data = _LOWER[data]
     inside = ~_BLANK[data]
