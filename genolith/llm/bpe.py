@@ -27,8 +27,11 @@ from genolith.llm.common import bound_batches
 
 #: Runs and pre-tokens kept per worker at most (about 200 bytes each), and compatible pairs (about 100 bytes each); a full cache of runs steps back into a second
 #: one, from which frequent runs return.
-CACHE, PAIRS = 100_000, 300_000
-FLUSH = 2 << 20
+CACHE, PAIRS = 80_000, 250_000
+FLUSH = 1 << 20
+#: Characters whose normal form, lower case and class are the same in every version of Unicode that the libraries have (tests compare all of them): Latin, Greek, Cyrillic,
+#: punctuation, currency, kana, ideographs and Hangul syllables. A text with any other is normalised and cut by the tokenizers library itself.
+_UNUSUAL = regex.compile(r"[^\x00-\u024f\u0384-\u038a\u038c\u038e-\u03a1\u03a3-\u03ce\u0400-\u0482\u048a-\u04ff\u1e00-\u1ef9\u2010-\u2027\u2030-\u205e\u20a0-\u20ac\u3001-\u3020\u3041-\u3096\u309b-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]")
 _SPACE = r"\t-\r\x20\x85\p{Z}"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
 _ODD, _RUNS = regex.compile(r"[\x1c-\x1f]"), regex.compile(rf"[^{_SPACE}]+")
@@ -46,8 +49,12 @@ class Vocabulary(dict):
 
     def __init__(self, text: str):
         super().__init__()
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(text)
         spec = json.loads(text)
         model, symbols = spec["model"], _byte_symbols()
+        self.symbols = symbols
         end = model["end_of_word_suffix"] or ""
         if not end:
             raise ValueError("the vocabulary needs a word-end suffix")
@@ -115,8 +122,8 @@ class Vocabulary(dict):
                 before, b = b + 1, part_b  # at equal rank the pair on the left merges first
 
     def encode(self, word: str) -> list[int]:
-        s = word.encode().decode("latin-1")
-        s = s[:-1] + chr(ord(s[-1]) + 256)
+        """Ids of one pre-token, given as its UTF-8 bytes read as Latin-1."""
+        s = word[:-1] + chr(ord(word[-1]) + 256)
         n = len(s)
         longest = [-1] * (n + 1)
         size, fits = self.size, self.fits
@@ -130,7 +137,7 @@ class Vocabulary(dict):
                 if at + size[x] not in dead:
                     ok = last < 0 or fits.get((last, x))
                     if ok is None:
-                        if len(fits) > 4_000_000:
+                        if len(fits) >= PAIRS:
                             fits.clear()
                         ok = fits[last, x] = self.compatible(last, x)
                     if ok:
@@ -146,36 +153,39 @@ class Vocabulary(dict):
                 at -= size[x]
         return out
 
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= CACHE:
+                self.pieces.clear()
+            found = self.pieces[piece] = np.array(self.encode(piece), "<u4").tobytes()
+        return found
+
     def __missing__(self, run: str) -> bytes:
         found = self.older.get(run)
         if found is None:
-            out = []
-            for piece in _PIECES.findall(run):
-                if piece not in self.pieces:
-                    if len(self.pieces) >= CACHE:
-                        self.pieces.clear()
-                    self.pieces[piece] = np.array(self.encode(piece), "<u4").tobytes()
-                out.append(self.pieces[piece])
-            found = b"".join(out)
+            found = b"".join(self._piece(p.encode().decode("latin-1")) for p in _PIECES.findall(run))
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
         self[run] = found
         return found
 
+    def _ids(self, part: str) -> list[bytes]:
+        """Ids of the runs of a text without special tokens."""
+        if not part.isascii():
+            if _UNUSUAL.search(part):
+                cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+                return [self._piece("".join(chr(self.symbols[c]) for c in piece)) for piece, _ in cut]
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # one character at a time: no final sigma
+        # str.split also cuts at U+001C to U+001F, which are no white space here
+        part = part.lower()
+        return [*map(self.__getitem__, _RUNS.findall(part) if _ODD.search(part) else part.split())]
+
     def ids(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit bytes."""
         parts = self.special.split(text) if self.special and "<|" in text else [text]
-        out = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(self.special_ids[part])
-            elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # one character at a time: no final sigma
-                # str.split also cuts at U+001C to U+001F, which are no white space here
-                out += map(self.__getitem__, (part.lower().split() if not _ODD.search(part) else _RUNS.findall(part.lower())))
-        return b"".join(out)
+        return b"".join(self.special_ids[x] if k % 2 else b"".join(self._ids(x)) for k, x in enumerate(parts) if x)
 
     def text(self, ids: np.ndarray) -> bytes:
         """The written forms of the ids, joined by spaces."""
