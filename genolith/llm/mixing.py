@@ -7,7 +7,8 @@ hash, so the same document always gets the same answer. Topics are clusters of h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from genolith.llm.common import bound_batches, stored
+from genolith.llm.common import bound_batches, fresh, stored
 from genolith.llm.embeddings import fit_centres
 from genolith.llm.shingles import chunks, word_hashes
 
@@ -25,10 +26,12 @@ SAMPLE, TOPICS, BINS = 1_500, 8, 256
 FIT_ROUNDS, MOVED, UNIT = 12, 1e-4, 65_535
 #: Share of the tokens to keep; exponent that flattens the present shares into targets.
 KEEP, FLATTEN = 0.8, 0.7
-ROUNDS, TOLERANCE = 200, 1e-9
+#: Rounds of raking at most, the miss of a margin at which they end, and the largest miss of a raking that is used for its higher share of tokens.
+ROUNDS, TOLERANCE, ACCEPTED = 300, 1e-9, 1e-7
 #: Cells raked on the driver at most (about 100 bytes each); more are raked by Spark.
 MAX_LOCAL = 200_000
 MARGINS = ("source", "lang", "topic")
+T_ = TypeVar("T_")
 
 
 def _vectors(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -120,101 +123,131 @@ def _targets(totals: dict[str, float], wanted: dict[str, float] | None) -> dict[
     return {v: x / total for v, x in raw.items()}
 
 
-def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
-    """Scale cells until their margins match the targets (shares); stops when no margin moves."""
-    w = cells / cells.sum()
+def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], keep: float | None = None) -> tuple[np.ndarray, float]:
+    """Shares of cells whose margins match the targets, nearest to the present shares in relative entropy, and the largest miss of a margin.
+
+    keep: no cell may get more than its present share / keep, so that keeping this share of all tokens needs no probability above 1. The limit is one
+    more projection in each round, with Dykstra's correction, as it is no plain equation.
+    """
+    share = cells / cells.sum()
+    w, q = share.copy(), np.ones_like(share)
     for _ in range(ROUNDS):
-        moved = 0.0
         for code, target in zip(codes, targets, strict=True):
             now = np.bincount(code, w, len(target))
-            f = np.divide(target, now, out=np.ones_like(target), where=now > 0)
-            moved = max(moved, float(np.abs(target - now)[now > 0].max(initial=0)))
-            w = w * f[code]
-        if moved < TOLERANCE:
+            w = w * np.divide(target, now, out=np.ones_like(target), where=now > 0)[code]
+        if keep is not None:
+            z = w * q
+            w = np.minimum(z, share / keep)
+            q = np.divide(z, w, out=np.ones_like(z), where=w > 0)
+        miss = max(float(np.abs(target - np.bincount(code, w, len(target))).max()) for code, target in zip(codes, targets, strict=True))
+        if miss < TOLERANCE:
             break
-    return w
+    return w, miss
+
 
+def _search(raked: Callable[[float | None], tuple[T_, float, float]], keep: float, bound: float) -> tuple[T_, float, float]:
+    """The shares to aim at, the share of all tokens that can be kept with them (`keep` or the largest tried below it), and the miss.
 
-def _scale(tokens: np.ndarray, ratio: np.ndarray, keep: float) -> float:
-    """c with sum(tokens * min(1, c * ratio)) = keep * sum(tokens), by bisection."""
-    lo, hi = 0.0, 1.0 / max(ratio[ratio > 0].min(initial=1.0), 1e-300)
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (tokens * np.minimum(1, mid * ratio)).sum() < keep * tokens.sum() else (lo, mid)
-    return hi
+    raked(keep) gives shares, miss and the largest ratio of a share to the present one. Plain raking always works with keep = 1 / that ratio; limited
+    raking keeps more where it converges. bound: no margin can give more than it has.
+    """
+    plain, miss, most = raked(None)
+    safe, k = min(keep, 1 / most), min(keep, bound)
+    while k > safe:
+        found, missed, _ = raked(k)
+        if missed <= ACCEPTED:
+            return found, k, missed
+        k *= 0.95
+    return plain, safe, miss
+
+
+def _rake_spark(cells: DataFrame, goals: dict[str, DataFrame], total: float, keep: float | None) -> tuple[DataFrame, float, float]:
+    """`rake` on a table of cells of any size: one grouped sum and one join for each margin and round. Also the largest ratio of a share to the present one."""
+    share = F.col("tokens") / total
+    w, miss = cells.withColumns({"w": share, "q": F.lit(1.0)}), 0.0
+    for _ in range(ROUNDS):
+        for m in MARGINS:
+            now = w.groupBy(m).agg(F.sum("w").alias("now")).join(goals[m], m)
+            w = w.join(now, m).withColumn("w", F.when(F.col("now") > 0, F.col("w") * F.col("g") / F.col("now")).otherwise(F.col("w"))).drop("now", "g")
+        if keep is not None:
+            z, limit = F.col("w") * F.col("q"), share / keep
+            w = w.withColumn("z", z).withColumn("w", F.least("z", limit)).withColumn("q", F.when(F.col("w") > 0, F.col("z") / F.col("w")).otherwise(1.0)).drop("z")
+        w = stored(w)
+        miss = max(w.groupBy(m).agg(F.sum("w").alias("now")).join(goals[m], m).agg(F.max(F.abs(F.col("g") - F.col("now")))).first()[0] for m in MARGINS)
+        if miss < TOLERANCE:
+            break
+    return w, miss, w.agg(F.max(F.col("w") / share)).first()[0]
 
 
-def _rake_spark(cells: DataFrame, wanted: dict[str, dict[str, float]], keep: float, rounds: int = ROUNDS) -> DataFrame:
-    """The same on a table of cells of any size: one grouped sum and one join for each margin and round."""
+def _calibrate_spark(cells: DataFrame, wanted: dict[str, dict[str, float]], keep: float) -> DataFrame:
     total = cells.agg(F.sum("tokens")).first()[0]
-    w = cells.withColumn("w", F.col("tokens") / total)
-    goals = {}
+    goals, bound = {}, 1.0
     for m in MARGINS:
         g = cells.groupBy(m).agg(F.sum("tokens").alias("t"))
         if wanted.get(m):
             given = cells.sparkSession.createDataFrame(list(wanted[m].items()), f"{m} string, g double")
-            g = g.join(given, m, "left").select(m, F.coalesce("g", F.lit(0.0)).alias("g"))
+            g = g.join(given, m, "left").select(m, "t", F.coalesce("g", F.lit(0.0)).alias("g"))
         else:
-            g = g.select(m, F.pow(F.col("t").cast("double"), FLATTEN).alias("g"))
-        goals[m] = stored(g.select(m, (F.col("g") / (g.agg(F.sum("g")).first()[0] or 1.0)).alias("g")))
-    for _ in range(rounds):
-        moved = 0.0
-        for m in MARGINS:
-            now = w.groupBy(m).agg(F.sum("w").alias("now")).join(goals[m], m)
-            now = stored(now)
-            moved = max(moved, now.where("now > 0").agg(F.max(F.abs(F.col("g") - F.col("now")))).first()[0] or 0.0)
-            w = w.join(now, m).withColumn("w", F.when(F.col("now") > 0, F.col("w") * F.col("g") / F.col("now")).otherwise(F.col("w"))).drop("now", "g")
-        w = stored(w)
-        if moved < TOLERANCE:
-            break
-    w = stored(w.withColumn("ratio", F.col("w") / (F.col("tokens") / total)))
-    lo, hi = 0.0, 1.0 / max(w.where("ratio > 0").agg(F.min("ratio")).first()[0] or 1.0, 1e-300)
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        got = w.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("ratio") * mid))).first()[0]
-        lo, hi = (mid, hi) if got < keep * total else (lo, mid)
-    return w.select(*MARGINS, F.least(F.lit(1.0), F.col("ratio") * hi).alias("probability"))
+            g = g.select(m, "t", F.pow(F.col("t").cast("double"), FLATTEN).alias("g"))
+        g = stored(g.withColumn("g", F.col("g") / (g.agg(F.sum("g")).first()[0] or 1.0)))
+        bound = min(bound, g.where("g > 0").agg(F.min(F.col("t") / total / F.col("g"))).first()[0] or 1.0)
+        goals[m] = g.drop("t")
+    w, k, miss = _search(lambda k: _rake_spark(cells, goals, total, k), keep, bound)
+    return w.select(*MARGINS, F.least(F.lit(1.0), F.col("w") * total / F.col("tokens") * k).alias("probability"), F.lit(k).alias("share"), F.lit(float(miss)).alias("miss"))
 
 
 def calibrate(cells: DataFrame, wanted: dict[str, dict[str, float]] | None = None, keep: float = KEEP, max_local: int = MAX_LOCAL) -> DataFrame:
-    """(source, lang, topic, probability) of each cell (source, lang, topic, tokens)."""
+    """(source, lang, topic, probability, share, miss) of each cell (source, lang, topic, tokens).
+
+    With these probabilities the expected tokens have the target margins. share: the expected share of all tokens, `keep` or less where the targets ask a margin
+    or cell for more than it has. miss: the largest difference left between an expected margin and its target, about 0 unless no table with
+    these cells has such margins. Cells beyond max_local are raked by Spark, with the same steps.
+    """
     wanted, spark = wanted or {}, cells.sparkSession
-    kind = ", ".join(f"{m} string" for m in MARGINS) + ", probability double"
+    kind = ", ".join(f"{m} string" for m in MARGINS) + ", probability double, share double, miss double"
     cells = stored(cells.where("tokens > 0"))
     if (n := cells.count()) > max_local:
-        return _rake_spark(cells, wanted, keep)
+        return _calibrate_spark(cells, wanted, keep)
     rows = sorted(tuple(r) for r in cells.select(*MARGINS, "tokens").collect()) if n else []
     if not rows:
         return spark.createDataFrame([], kind)
     tokens = np.array([r[3] for r in rows], float)
-    codes, targets = [], []
+    codes, targets, bound = [], [], 1.0
     for i, m in enumerate(MARGINS):
         totals: dict[str, float] = {}
         for r in rows:
             totals[r[i]] = totals.get(r[i], 0.0) + r[3]
         goal = _targets(totals, wanted.get(m))
+        bound = min([bound, *(totals[v] / tokens.sum() / g for v, g in goal.items() if g > 0)])
         place = {v: k for k, v in enumerate(goal)}
         codes.append(np.array([place[r[i]] for r in rows]))
         targets.append(np.array(list(goal.values())))
-    ratio = rake(tokens, codes, targets) / (tokens / tokens.sum())
-    p = np.minimum(1, _scale(tokens, ratio, keep) * ratio)
-    return spark.createDataFrame([(*r[:3], float(x)) for r, x in zip(rows, p, strict=True)], kind)
+    present = tokens / tokens.sum()
+
+    def raked(k: float | None) -> tuple[np.ndarray, float, float]:
+        w, miss = rake(tokens, codes, targets, k)
+        return w, miss, float((w / present).max())
+
+    w, k, miss = _search(raked, keep, bound)
+    p = np.minimum(1, k * w / present)
+    return spark.createDataFrame([(*r[:3], float(x), float(k), float(miss)) for r, x in zip(rows, p, strict=True)], kind)
 
 
 def mix(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None, keep: float = KEEP, topics: int = TOPICS, seed: int = 17, text: str = "text", key: str = "doc_id", max_local: int = MAX_LOCAL) -> DataFrame:
     """docs plus topic, n_tokens, probability and kept.
 
     wanted: target shares by margin and value, for example {"lang": {"en": 0.5, "de": 0.5}}; values that aren't named get none. Margins that aren't
-    named aim at their present shares to the power FLATTEN. keep: the share of all tokens to keep.
+    named aim at their present shares to the power FLATTEN. keep: the share of all tokens to keep; less is kept where the targets can't be met otherwise.
     Null sources or languages count as "". A row without words has probability 0 and isn't kept. Rows with
     equal key and text get the same answer; null keys are hashed like any other. Columns of docs with the names of results are replaced. An empty table gives an empty result.
     """
     rows = with_topics(docs.drop("probability", "kept"), fit_topics(docs, topics, text=text, key=key), text)
-    named = [F.coalesce(F.col("source"), F.lit("")).alias("_source"), F.coalesce(F.col("lang"), F.lit("")).alias("_lang"), F.col("topic").alias("_topic")]
-    cells = rows.groupBy(*named).agg(F.sum("n_tokens").alias("tokens")).withColumnsRenamed({f"_{m}": m for m in MARGINS})
-    found = stored(calibrate(cells, wanted, keep, max_local)).withColumnsRenamed({m: f"_{m}" for m in MARGINS})
+    inner = dict(zip((*MARGINS, "p"), fresh(rows, "_source", "_lang", "_topic", "_p"), strict=True))
+    value = {m: F.coalesce(F.col(m).cast("string"), F.lit("")) for m in MARGINS}
+    cells = rows.groupBy(*[value[m].alias(m) for m in MARGINS]).agg(F.sum("n_tokens").alias("tokens"))
+    found = stored(calibrate(cells, wanted, keep, max_local).select(*[F.col(m).alias(inner[m]) for m in MARGINS], F.col("probability").alias(inner["p"])))
     small = found.count() <= max_local
-    keys = [F.col(f"_{m}") == (F.coalesce(F.col(m), F.lit("")) if m != "topic" else F.col(m)) for m in MARGINS]
-    met = rows.join(F.broadcast(found) if small else found, keys, "left").drop(*[f"_{m}" for m in MARGINS])
+    met = rows.join(F.broadcast(found) if small else found, [F.col(inner[m]) == value[m] for m in MARGINS], "left")
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("long"), F.lit(-1)), F.xxhash64(text), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    return met.withColumn("probability", F.coalesce("probability", F.lit(0.0))).withColumn("kept", draw < F.col("probability"))
+    met = met.withColumn("probability", F.coalesce(F.col(inner["p"]), F.lit(0.0))).drop(*inner.values())
+    return met.withColumn("kept", draw < F.col("probability"))
