@@ -69,11 +69,16 @@ def posterior(alpha: np.ndarray, like: np.ndarray, w: np.ndarray, nk: np.ndarray
 
 
 def update_alpha(alpha: np.ndarray, gamma: np.ndarray, iters: int = 100, tol: float = 1e-3, floor: float = 1e-5) -> np.ndarray:
-    """Newton steps with halving on the Dirichlet likelihood of the samples' expected log shares; the old prior if it fails."""
+    """The prior that fits the samples' variational parameters gamma (N x K)."""
     target = (digamma(gamma) - digamma(gamma.sum(axis=1))[:, None]).mean(axis=0)
+    return alpha_from_target(alpha, target, gamma.mean() / max(gamma.sum(axis=1).mean(), 1e-9), iters, tol, floor)
+
+
+def alpha_from_target(alpha: np.ndarray, target: np.ndarray, share: float, iters: int = 100, tol: float = 1e-3, floor: float = 1e-5) -> np.ndarray:
+    """Newton steps with halving on the Dirichlet likelihood of the samples' mean expected log shares (target), from alpha and from an even start; the old prior if it fails."""
     value = lambda a: math.lgamma(a.sum()) - gammaln(a).sum() + ((a - 1) * target).sum()
     best = None
-    for a in (alpha.copy(), np.full_like(alpha, max(gamma.mean() / max(gamma.sum(axis=1).mean(), 1e-9), floor))):
+    for a in (alpha.copy(), np.full_like(alpha, max(share, floor))):
         for _ in range(iters):
             g = digamma(a.sum(keepdims=True)) - digamma(a) + target
             q, z = -trigamma(a), trigamma(a.sum(keepdims=True))
@@ -143,7 +148,7 @@ def component_posteriors(observed: DataFrame, contribution: DataFrame, alpha: np
 
     kind = observed.schema["sample"].dataType.simpleString()
     e = wide.mapInPandas(weights, f"sample {kind}, e array<double>")
-    joint = observed.join(F.broadcast(e), "sample").withColumn("p", F.zip_with("like", "e", lambda a, b: a * b))
+    joint = observed.join(e, "sample").withColumn("p", F.zip_with("like", "e", lambda a, b: a * b))
     total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
     names = F.array(*map(F.lit, components))
     rows = joint.withColumn("total", total).select(*[c for c in observed.columns if c != "like"], "total", F.posexplode("p").alias("k", "p"))
@@ -157,7 +162,7 @@ def deviance_score(observed: DataFrame, contribution: DataFrame, alpha: np.ndarr
     wide = share.groupBy("sample").pivot("component", list(components)).agg(F.first("v"))
     wide = wide.select("sample", F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in components]).alias("v"))
     s = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    rows = _groups(observed).join(F.broadcast(wide), "sample").withColumn("mix", F.aggregate(F.zip_with("v", "like", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / s)
+    rows = _groups(observed).join(wide, "sample").withColumn("mix", F.aggregate(F.zip_with("v", "like", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / s)
     w = F.col("weight")
     per = rows.groupBy("sample").agg(F.sum(w * F.ln("mix")).alias("fit"), F.sum(w * F.ln(w)).alias("self"), F.sum(w).alias("n"))
     r = per.select((F.col("self") - F.col("n") * F.ln("n")).alias("sat"), "fit", (-F.col("n") * math.log(n_types)).alias("null")).agg(F.sum(F.col("sat") - F.col("fit")), F.sum(F.col("sat") - F.col("null"))).first()
@@ -270,6 +275,13 @@ class BoostedModel:
             out = out + F.when(F.coalesce(F.col(f) <= bound, F.lit(True)), left).otherwise(right)
         return out
 
+    def features(self) -> list[str]:
+        return sorted({f for f, *_ in self.stumps})
+
+    def terms(self) -> dict:
+        """The part of the log rate that each feature has: a stump belongs to one feature, so the parts add up."""
+        return {f: sum((F.when(F.coalesce(F.col(f) <= b, F.lit(True)), x).otherwise(y) for g, b, x, y in self.stumps if g == f), F.lit(0.0)) for f in self.features()}
+
 
 def _place(feature: str, cuts: Sequence[float]):
     """(feature, bin): the number of cuts below the value."""
@@ -346,10 +358,3 @@ def mixture_estep(alpha: np.ndarray, tau: np.ndarray, like: np.ndarray, w: np.nd
         if moved < tol:
             break
     return nk
-
-
-def linear_attribution(rows: DataFrame, coefficients: dict[str, float], key: str = "locus") -> DataFrame:
-    """(key, feature, effect): coefficient times the deviation of the feature from its mean."""
-    means = rows.agg(*[F.avg(f).alias(f) for f in coefficients]).first()
-    each = F.array(*[F.struct(F.lit(f).alias("feature"), ((F.col(f) - means[f]) * c).alias("effect")) for f, c in coefficients.items()])
-    return rows.select(key, F.explode(each).alias("x")).select(key, "x.feature", "x.effect")

@@ -1,4 +1,4 @@
-"""Registered model queries: iterative, so they have no SQL; tests compare them with numpy."""
+"""Registered queries of the context-only factor model and the locus models: iterative, so they have no SQL; tests compare them with numpy."""
 
 from __future__ import annotations
 
@@ -7,40 +7,16 @@ from pyspark.sql import functions as F
 
 from genolith.plans import model as md
 from genolith.plans.queries_tensor import regions, tensor
+from genolith.plans.queries_topography import estep_contributions
 
 NAMES = ["c0", "c1", "c2"]
 
 
-def _spectra(spark, contexts):
-    rows = [(n, c, (1.0 + (i * 7 + j * 3) % 5) / 10) for i, n in enumerate(NAMES) for j, c in enumerate(contexts)]
-    return spark.createDataFrame(rows, "component string, context string, value double")
-
-
 CONTEXTS = ["AF", "AO", "NF", "NO", "RF", "RO"]
 
 
-def _observed(spark, d):
-    return md.with_likelihood(tensor(spark, d), _spectra(spark, CONTEXTS), NAMES)
-
-
-def estep_contributions(spark, d):
-    return md.contributions(_observed(spark, d), np.ones(3), NAMES)
-
-
-def component_posteriors(spark, d):
-    cells = tensor(spark, d).groupBy("sample", "context").agg(F.sum("weight").alias("weight"))
-    seen = md.with_likelihood(cells, _spectra(spark, CONTEXTS), NAMES)
-    return md.component_posteriors(seen, md.contributions(seen, np.ones(3), NAMES), np.ones(3), NAMES)
-
-
-def deviance_score(spark, d):
-    seen = _observed(spark, d)
-    score = md.deviance_score(seen, md.contributions(seen, np.ones(3), NAMES), np.ones(3), NAMES, len(CONTEXTS))
-    return spark.createDataFrame([(float(score),)], "score double")
-
-
 def factor_model(spark, d):
-    return md.fit(tensor(spark, d), 2, epochs=2, seed=3).spectra_table(spark)
+    return md.fit(tensor(spark, d), 2, seed=3).spectra_table(spark)
 
 
 def _loci(spark, d):
@@ -54,7 +30,7 @@ def linear_locus_model(spark, d):
 
 
 def boosted_locus_model(spark, d):
-    m = md.boosted_locus_model(_loci(spark, d), ["a", "b"], "y", "w", rounds=3)
+    m = md.boosted_locus_model(_loci(spark, d), ["a", "b"], "y", "w")
     return _loci(spark, d).select("locus", m.log_rate().alias("log_rate"))
 
 
@@ -63,5 +39,5 @@ def simulate(spark, d):
     return md.simulate(estep_contributions(spark, d), spectra / spectra.sum(axis=1, keepdims=True), NAMES, CONTEXTS, seed=5)
 
 
-QUERIES = {f.__name__: f for f in (estep_contributions, component_posteriors, deviance_score, factor_model, linear_locus_model, boosted_locus_model, simulate)}
+QUERIES = {f.__name__: f for f in (factor_model, linear_locus_model, boosted_locus_model, simulate)}
 ORACLE: dict[str, str] = {}
