@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pathlib import Path
 from string import Template
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 65_536
@@ -195,17 +195,31 @@ def read_vector(spark: SparkSession, path: str, n_loci: int) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """(chrom, chunk, seq): upper-case pieces of chunk bases with one more base on both sides where there is one.
 
-    Contigs are split at `>` by the reader, so a file is never one record.
+    Read by lines, so a contig is never one record: every line gets its place from running sums inside its file split and from the totals of the splits before it
+    (a table of one row for each split and contig), goes to the chunks that it touches, and a chunk is joined from its lines.
     """
-    rec = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    name = F.regexp_extract("value", r"^(\S+)", 1)
-    body = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s+", ""))
-    whole = rec.select(name.alias("chrom"), body.alias("seq"))
-    n = F.ceil(F.length("seq") / chunk)
-    each = whole.where(F.length("seq") > 0).select("chrom", "seq", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("chunk"))
-    start = F.when(F.col("chunk") > 0, F.col("chunk") * chunk).otherwise(1).cast("int")
-    width = F.when(F.col("chunk") > 0, chunk + 2).otherwise(chunk + 1).cast("int")
-    return each.select("chrom", "chunk", F.substring(F.col("seq"), start, width).alias("seq"))
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    head = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>\s*(\S+)", 1))
+    line = Window.partitionBy("file", "block").orderBy("at")
+    rows = text.withColumn("head", head).withColumn("seq", F.when(F.col("head").isNull(), F.upper(F.regexp_replace("value", r"\s+", ""))).otherwise(""))
+    rows = rows.withColumn("part", F.count("head").over(line))  # 0: goes on with the contig of an earlier split
+    inside = Window.partitionBy("file", "block", "part").orderBy("at")
+    rows = rows.withColumn("before", F.sum(F.length("seq")).over(inside) - F.length("seq"))
+    parts = rows.groupBy("file", "block", "part").agg(F.max("head").alias("head"), F.sum(F.length("seq")).alias("bases"))
+    along = Window.partitionBy("file").orderBy("block", "part")
+    parts = parts.withColumn("chrom", F.last("head", ignorenulls=True).over(along)).where("chrom is not null")
+    carried = Window.partitionBy("file", "chrom").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("file", "block", "part", "chrom", F.coalesce(F.sum("bases").over(carried), F.lit(0)).alias("carried"))
+    placed = rows.where(F.length("seq") > 0).join(parts, ["file", "block", "part"]).select("chrom", (F.col("carried") + F.col("before")).alias("pos"), "seq")
+    last = F.col("pos") + F.length("seq") - 1
+    first_chunk, last_chunk = F.floor(F.greatest(F.lit(0), F.col("pos") - 1) / chunk), F.floor((last + 1) / chunk)
+    each = placed.withColumn("chunk", F.explode(F.sequence(first_chunk, last_chunk)))
+    low, high = F.greatest(F.lit(0), F.col("chunk") * chunk - 1), (F.col("chunk") + 1) * chunk  # bases low to high belong to the chunk, its neighbours included
+    start = F.greatest(low, F.col("pos"))
+    piece = F.substring(F.col("seq"), (start - F.col("pos") + 1).cast("int"), F.greatest(F.lit(0), F.least(high, last) - start + 1).cast("int"))
+    cut = each.withColumn("own", (F.col("pos") < (F.col("chunk") + 1) * chunk) & (last >= F.col("chunk") * chunk)).select("chrom", "chunk", "pos", piece.alias("piece"), "own").where("piece <> ''")
+    joined = cut.groupBy("chrom", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("seq"), F.max("own").alias("own"))
+    return joined.where("own").select("chrom", F.col("chunk").cast("long").alias("chunk"), "seq")  # a chunk of neighbours alone is none
 
 
 def read_vcf(spark: SparkSession, path: str, sample: str | None = None, pass_only: bool = True, weight: str | None = None, chr_prefix: str = "") -> DataFrame:
