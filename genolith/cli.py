@@ -7,7 +7,11 @@ import json
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from genolith.operators import intervals as iv
+from genolith.operators import mutations as mu
+from genolith.operators.tensor import split_by_group
 from genolith.plans import model as md
 from genolith.plans.compose import Config, compose
 from genolith.sources import text as tx
@@ -48,6 +52,11 @@ def parser() -> argparse.ArgumentParser:
     add("fill-template", "template").add_argument("values", nargs="*", help="name=value")
     add("train", "dataset", "model", components={"type": int, "default": 5}, epochs={"type": int, "default": 20}, seed={"type": int, "default": 0})
     add("predict", "dataset", "model", "out")
+    add("split", "dataset", "train", "test").add_argument("chroms", nargs="+")
+    add("slice-samples", "dataset", "out").add_argument("samples", nargs="+")
+    add("background-rate", "vcf", "sizes", "out", window={"type": int, "default": 50_000}, sample={}, all={"action": "store_true", "help": "not only PASS"})
+    add("cluster", "vcf", "rates", "out", alpha={"type": float, "default": mu.ALPHA}, max_gap={"type": int, "default": mu.MAX_GAP}, sample={}, all={"action": "store_true"})
+    add("annotate-vcf", "vcf", "notes", "out", fields={"nargs": "+", "default": [], "help": "name:type, columns of the notes table"})
     return p
 
 
@@ -82,6 +91,26 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
         m = md.fit(ds.observations(), a.components, a.epochs, a.seed)
         m.save(spark, a.model)
         return [f"score\t{m.scores[-1]:.6f}"]
+    elif a.command == "split":
+        regions = ds.table("regions")
+        train, test = split_by_group(regions, a.chroms, "chrom")
+        ds.subset(a.train, train)
+        ds.subset(a.test, test)
+    elif a.command == "slice-samples":
+        ds.subset(a.out, ds.table("regions"), a.samples)
+    elif a.command == "background-rate":
+        points = tx.read_vcf(spark, a.vcf, a.sample, not a.all).select("chrom", F.col("pos0").alias("start"))
+        rates = iv.background_rate(points, iv.fixed_windows(tx.read_sizes(spark, a.sizes), a.window), a.window)
+        rates.select(F.concat_ws("\t", "chrom", "start", "end", "rate").alias("value")).write.text(a.out)
+    elif a.command == "cluster":
+        points = tx.read_vcf(spark, a.vcf, a.sample, not a.all).select("id", "chrom", F.col("pos0").alias("pos"))
+        rain = mu.rainfall(points, tx.read_bedgraph(spark, a.rates))
+        found = mu.cluster_mutations(rain, a.alpha, a.max_gap).select("chrom", F.col("pos").alias("pos0"), F.col("cluster").alias("cluster"), F.col("cluster_size").alias("clusterSize"), F.col("distance").alias("rainfallDistance"))
+        lines = tx.annotate_vcf(spark, a.vcf, found, {"cluster": "String", "clusterSize": "Integer", "rainfallDistance": "Float"})
+        lines.orderBy("rank").select("value").write.text(a.out)
+    elif a.command == "annotate-vcf":
+        fields = dict(f.split(":", 1) for f in a.fields)
+        tx.annotate_vcf(spark, a.vcf, spark.read.parquet(a.notes), fields).orderBy("rank").select("value").write.text(a.out)
     elif a.command == "predict":
         md.FactorModel.load(spark, a.model).predict(ds.observations()).write.parquet(a.out)
     return []

@@ -118,20 +118,30 @@ class Dataset:
         """A copy with the regions that overlap the given ones."""
         for r in regions:
             parse_region(r)
-        kept = slice_regions(self.table("regions"), regions)
+        return self.subset(path, slice_regions(self.table("regions"), regions))
+
+    def subset(self, path: str, regions: DataFrame, samples: list[str] | None = None) -> Dataset:
+        """A copy with these rows of its regions, what belongs to them, and all samples or the named ones."""
+        missing = sorted(set(samples or []) - set(self.list_samples()))
+        if missing:
+            raise ValueError(f"no sample {missing}")
         out = Dataset(self.spark, path)
-        out.write("regions", kept)
-        loci = kept.select("locus")
-        for name in ("features", "observations", "context_freq"):
+        out.write("regions", regions)
+        loci = regions.select("locus")
+        for name in ("features", "observations", "context_freq", "ploidy"):
             try:
                 df = self.table(name)
             except Exception as e:
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
                 continue
+            if samples is not None and "sample" in df.columns:
+                df = df.where(F.col("sample").isin(samples))
             out.write(name, df.join(loci, "locus", "left_semi"))
-        for name in ("attrs", "feature_meta", "samples"):
+        for name in ("attrs", "feature_meta"):
             out.write(name, self.table(name))
+        known = self.table("samples")
+        out.write("samples", known if samples is None else known.where(F.col("sample").isin(samples)))
         return out
 
     def problems(self) -> list[str]:

@@ -27,6 +27,21 @@ def test_compose_and_cli(spark, tmp_path):
     assert cli.run(spark, ["sample-ls", ds.path]) == ["s1"]
     cli.run(spark, ["set-attr", ds.path, "note", "x"])
     assert "note\tx" in cli.run(spark, ["info", ds.path])
+    cli.run(spark, ["slice-samples", ds.path, str(tmp_path / "one"), "s1"])
+    assert cli.run(spark, ["sample-ls", str(tmp_path / "one")]) == ["s1"]
+    with pytest.raises(ValueError, match="no sample"):
+        cli.run(spark, ["slice-samples", ds.path, str(tmp_path / "none"), "zz"])
+    with pytest.raises(ValueError):
+        cli.run(spark, ["split", ds.path, str(tmp_path / "p"), str(tmp_path / "q"), "c9"])
+    cli.run(spark, ["background-rate", str(tmp_path / "a.vcf"), str(tmp_path / "a.sizes"), str(tmp_path / "rate"), "--window", "50"])
+    rates = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "rate")).collect()]
+    assert sorted((r[1], float(r[3])) for r in rates) == [("0", pytest.approx(4 / 7)), ("50", pytest.approx(3 / 7))]
+    cli.run(spark, ["cluster", str(tmp_path / "a.vcf"), str(tmp_path / "rate"), str(tmp_path / "clustered")])
+    lines = [r.value for r in spark.read.text(str(tmp_path / "clustered")).collect()]
+    assert len([x for x in lines if not x.startswith("#")]) == 5 and any("clusterSize=" in x for x in lines)
+    spark.createDataFrame([("c1", 5, 0.5)], "chrom string, pos0 long, logp double").write.parquet(str(tmp_path / "notes"))
+    cli.run(spark, ["annotate-vcf", str(tmp_path / "a.vcf"), str(tmp_path / "notes"), str(tmp_path / "noted"), "--fields", "logp:Float"])
+    assert [x for x in spark.read.text(str(tmp_path / "noted")).collect() if "logp=0.5" in x.value][0].value.startswith("c1\t6\t")
     with pytest.raises(ValueError):
         Config.parse(base, {"samples": {"a/b": {"path": "x"}}})
     with pytest.raises(KeyError):
