@@ -24,10 +24,10 @@ from genolith.llm.shingles import chunks, word_hashes
 SAMPLE, TOPICS, BINS = 1_500, 8, 256
 #: Rounds over all documents at most; they end earlier when no centre moves by MOVED. Vectors are summed as integers, so the order of rows changes nothing.
 FIT_ROUNDS, MOVED, UNIT = 12, 1e-4, 65_535
-#: Share of the tokens to keep; exponent that flattens the present shares into targets.
-KEEP, FLATTEN = 0.8, 0.7
+#: Share of the tokens to keep; exponent that flattens the cells' tokens into targets.
+KEEP, FLATTEN = 0.8, 0.85
 #: Rounds of raking at most, the miss of a margin at which they end, and the largest miss of a raking that is used for its higher share of tokens.
-ROUNDS, TOLERANCE, ACCEPTED = 300, 1e-9, 1e-7
+ROUNDS, TOLERANCE, ACCEPTED = 1_000, 1e-9, 1e-6
 #: Cells raked on the driver at most (about 100 bytes each); more are raked by Spark.
 MAX_LOCAL = 200_000
 MARGINS = ("source", "lang", "topic")
@@ -116,13 +116,6 @@ def with_topics(docs: DataFrame, centres: np.ndarray, text: str = "text") -> Dat
     return docs.mapInArrow(run, schema)
 
 
-def _targets(totals: dict[str, float], wanted: dict[str, float] | None) -> dict[str, float]:
-    """Target shares of a margin: the given ones among the present values, else present shares to the power FLATTEN."""
-    raw = {v: wanted.get(v, 0.0) for v in totals} if wanted else {v: t**FLATTEN for v, t in totals.items()}
-    total = sum(raw.values()) or 1.0
-    return {v: x / total for v, x in raw.items()}
-
-
 def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], keep: float | None = None) -> tuple[np.ndarray, float]:
     """Shares of cells whose margins match the targets, nearest to the present shares in relative entropy, and the largest miss of a margin.
 
@@ -166,32 +159,32 @@ def _rake_spark(cells: DataFrame, goals: dict[str, DataFrame], total: float, kee
     share = F.col("tokens") / total
     w, miss = cells.withColumns({"w": share, "q": F.lit(1.0)}), 0.0
     for _ in range(ROUNDS):
-        for m in MARGINS:
+        for m in goals:
             now = w.groupBy(m).agg(F.sum("w").alias("now")).join(goals[m], m)
             w = w.join(now, m).withColumn("w", F.when(F.col("now") > 0, F.col("w") * F.col("g") / F.col("now")).otherwise(F.col("w"))).drop("now", "g")
         if keep is not None:
             z, limit = F.col("w") * F.col("q"), share / keep
             w = w.withColumn("z", z).withColumn("w", F.least("z", limit)).withColumn("q", F.when(F.col("w") > 0, F.col("z") / F.col("w")).otherwise(1.0)).drop("z")
         w = stored(w)
-        miss = max(w.groupBy(m).agg(F.sum("w").alias("now")).join(goals[m], m).agg(F.max(F.abs(F.col("g") - F.col("now")))).first()[0] for m in MARGINS)
+        miss = max(w.groupBy(m).agg(F.sum("w").alias("now")).join(goals[m], m).agg(F.max(F.abs(F.col("g") - F.col("now")))).first()[0] for m in goals)
         if miss < TOLERANCE:
             break
     return w, miss, w.agg(F.max(F.col("w") / share)).first()[0]
 
 
 def _calibrate_spark(cells: DataFrame, wanted: dict[str, dict[str, float]], keep: float) -> DataFrame:
-    total = cells.agg(F.sum("tokens")).first()[0]
-    goals, bound = {}, 1.0
-    for m in MARGINS:
-        g = cells.groupBy(m).agg(F.sum("tokens").alias("t"))
-        if wanted.get(m):
-            given = cells.sparkSession.createDataFrame(list(wanted[m].items()), f"{m} string, g double")
-            g = g.join(given, m, "left").select(m, "t", F.coalesce("g", F.lit(0.0)).alias("g"))
-        else:
-            g = g.select(m, "t", F.pow(F.col("t").cast("double"), FLATTEN).alias("g"))
-        g = stored(g.withColumn("g", F.col("g") / (g.agg(F.sum("g")).first()[0] or 1.0)))
-        bound = min(bound, g.where("g > 0").agg(F.min(F.col("t") / total / F.col("g"))).first()[0] or 1.0)
-        goals[m] = g.drop("t")
+    total, spark = cells.agg(F.sum("tokens")).first()[0], cells.sparkSession
+    sums = {m: cells.groupBy(m).agg(F.sum("tokens").alias("t")) for m in MARGINS}
+
+    def shares(g: DataFrame, m: str) -> DataFrame:
+        return stored(g.select(m, (F.col("g") / (g.agg(F.sum("g")).first()[0] or 1.0)).alias("g")))
+
+    goals = {m: shares(sums[m].join(spark.createDataFrame(list(wanted[m].items()), f"{m} string, g double"), m, "left").select(m, F.coalesce("g", F.lit(0.0)).alias("g")), m) for m in MARGINS if wanted.get(m)}
+    flat = stored(cells.withColumn("tokens", F.pow(F.col("tokens").cast("double"), FLATTEN)))
+    if goals:
+        flat = _rake_spark(flat, goals, flat.agg(F.sum("tokens")).first()[0], None)[0].withColumn("tokens", F.col("w"))
+    goals |= {m: shares(flat.groupBy(m).agg(F.sum("tokens").alias("g")), m) for m in MARGINS if m not in goals}
+    bound = min(goals[m].where("g > 0").join(sums[m], m).agg(F.min(F.col("t") / total / F.col("g"))).first()[0] or 1.0 for m in MARGINS)
     w, k, miss = _search(lambda k: _rake_spark(cells, goals, total, k), keep, bound)
     return w.select(*MARGINS, F.least(F.lit(1.0), F.col("w") * total / F.col("tokens") * k).alias("probability"), F.lit(k).alias("share"), F.lit(float(miss)).alias("miss"))
 
@@ -212,16 +205,20 @@ def calibrate(cells: DataFrame, wanted: dict[str, dict[str, float]] | None = Non
     if not rows:
         return spark.createDataFrame([], kind)
     tokens = np.array([r[3] for r in rows], float)
-    codes, targets, bound = [], [], 1.0
-    for i, m in enumerate(MARGINS):
-        totals: dict[str, float] = {}
-        for r in rows:
-            totals[r[i]] = totals.get(r[i], 0.0) + r[3]
-        goal = _targets(totals, wanted.get(m))
-        bound = min([bound, *(totals[v] / tokens.sum() / g for v, g in goal.items() if g > 0)])
-        place = {v: k for k, v in enumerate(goal)}
+    codes, values = [], []
+    for i in range(len(MARGINS)):
+        values.append(sorted({r[i] for r in rows}))
+        place = {v: k for k, v in enumerate(values[i])}
         codes.append(np.array([place[r[i]] for r in rows]))
-        targets.append(np.array(list(goal.values())))
+    targets: list = [np.array([wanted[m].get(v, 0.0) for v in values[i]]) if wanted.get(m) else None for i, m in enumerate(MARGINS)]
+    targets = [t if t is None else t / (t.sum() or 1.0) for t in targets]
+    named = [i for i, t in enumerate(targets) if t is not None]
+    flat = tokens**FLATTEN
+    if named:
+        flat = rake(flat, [codes[i] for i in named], [targets[i] for i in named])[0]
+    flat = flat / (flat.sum() or 1.0)
+    targets = [np.bincount(c, flat, len(v)) if t is None else t for c, v, t in zip(codes, values, targets, strict=True)]
+    bound = min([1.0, *(float((np.bincount(c, tokens)[t > 0] / tokens.sum() / t[t > 0]).min(initial=1.0)) for c, t in zip(codes, targets, strict=True))])
     present = tokens / tokens.sum()
 
     def raked(k: float | None) -> tuple[np.ndarray, float, float]:
@@ -237,7 +234,7 @@ def mix(docs: DataFrame, wanted: dict[str, dict[str, float]] | None = None, keep
     """docs plus topic, n_tokens, probability and kept.
 
     wanted: target shares by margin and value, for example {"lang": {"en": 0.5, "de": 0.5}}; values that aren't named get none. Margins that aren't
-    named aim at their present shares to the power FLATTEN. keep: the share of all tokens to keep; less is kept where the targets can't be met otherwise.
+    named aim at those of the cells' tokens to the power FLATTEN, raked to the named margins; so there is always a table with all of them. keep: the share of all tokens to keep; less is kept where the targets can't be met otherwise.
     Null sources or languages count as "". A row without words has probability 0 and isn't kept. Rows with
     equal key and text get the same answer; null keys are hashed like any other. Columns of docs with the names of results are replaced. An empty table gives an empty result.
     """
