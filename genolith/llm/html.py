@@ -30,6 +30,8 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 JUNK_TAGS = set("nav header footer aside form menu button select dialog head search".split())
 JUNK_NAMES = set("nav navbar navigation menu header masthead footer sidebar aside ad ads advert advertisement adverts advertising banner promo promotion sponsor sponsored cookie cookies consent notice notices alert gdpr comment comments disqus reply replies respond related recommended share sharing social newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager widget popup modal toolbar copyright legal".split())
+#: Words that say nothing about a class name's kind: a name is boilerplate if it has a word of boilerplate and else only such words, so `comment-list` is and `comment-on-law` isn't.
+NEUTRAL_NAMES = set("a area article bar block body bottom box button buttons center col column container content element entry fixed floating form full global group head holder id in inline inner item items layer left link links list main mobile module outer page panel post primary right row secondary section side site slot small sticky strip text title top unit wrap wrapper zone".split())
 KEEP_NAMES = set("content main article post body text story entry page".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
@@ -104,11 +106,11 @@ class Page:
             if key.lower() == "role":
                 role = value.lower()
             else:
-                words += re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower().split() if key.lower() == "class" else [f"#{value.lower()}"]
-        names = {w for x in words for w in re.split(r"[^a-z]+", x) if w}
+                words += re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split() if key.lower() == "class" else [f"#{value.lower()}"]
+        names = [{w for w in re.split(r"[^a-z]+", x) if w} for x in words]
         up = self._stack[-1]
         junk = self.junk[up] or tag in JUNK_TAGS or role in {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog"}
-        if not junk and tag not in {"html", "body", "main", "article"} and names & JUNK_NAMES and not names & KEEP_NAMES:
+        if not junk and tag not in {"html", "body", "main", "article"} and any(n & JUNK_NAMES and n <= JUNK_NAMES | NEUTRAL_NAMES for n in names) and not any(n and n <= KEEP_NAMES for n in names):
             junk = True
         if junk and tag in HEADINGS and self.tag[up] == "header" and any(self.tag[e] in {"article", "main"} for e in self._stack):
             junk = any(self.junk[e] for e in self._stack[:-1])  # the headline of the article itself
