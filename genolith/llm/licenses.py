@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from genolith.llm.common import let
 
-# fixed values: sentences of public licences and notices, normalised (a-z and 0-9 in words, single spaces)
+# fixed values: sentences of public licences and notices, normalised (a-z and 0-9 in words, single spaces); ANY stands for up to twelve words
+ANY = "any"
 SENTENCES = {
     "apache2-short": "licensed under the apache license version 2 0",
     "apache2-notice": "licensed under the apache license version 2 0 the license",
@@ -40,7 +41,46 @@ SENTENCES = {
     "cc-by-short": "licensed under cc by 4 0",
     "cc0": "this work is dedicated to the public domain",
     "reserved": "all rights reserved",
+    "bsd-neither": "neither the name of any nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "gpl-free-3-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation",
+    "gpl-free-2": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl-free-21": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-free-3": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-free-3": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "free-software": "this any is free software",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "lgpl-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "agpl-terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "later-2": "either version 2 of the license or at your option any later version",
+    "later-21": "either version 2 1 of the license or at your option any later version",
+    "later-3": "either version 3 of the license or at your option any later version",
+    "mpl2-open": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at",
+    "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-long": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc0-waived": "to the extent possible under law any has waived all copyright and related or neighboring rights to this work",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "boost": "distributed under the boost software license version 1 0",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
 }
+#: Names that short notices use.
+NAMES = {
+    "MIT": ["mit license"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license"],
+    "BSD-2-Clause": ["bsd 2 clause license", "simplified bsd license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "new bsd license"],
+    "GPL-2.0": ["gnu general public license version 2", "gnu gpl v2", "gpl v2"],
+    "GPL-3.0": ["gnu general public license version 3", "gnu gpl v3", "gpl v3"],
+    "LGPL-2.1": ["gnu lesser general public license version 2 1", "lgpl v2 1"],
+    "LGPL-3.0": ["gnu lesser general public license version 3", "lgpl v3"],
+    "AGPL-3.0": ["gnu affero general public license version 3", "agpl v3"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0"],
+    "ISC": ["isc license"],
+}
+#: Short notices come down to `licensed under the <name>`; one that is a sentence of its own above stays as it is.
+VERBS = ["licensed", "released", "distributed"]
+SHORT = {f"notice-{n}-{i}": f"licensed under the {name}" for n, names in NAMES.items() for i, name in enumerate(names)}
+SENTENCES |= {k: v for k, v in SHORT.items() if v not in SENTENCES.values()}
 #: What the public texts add to entries that end before their sentence does.
 ENDINGS = {
     "mit-grant": "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
@@ -50,7 +90,14 @@ ENDINGS = {
 RULES = [
     ("MIT", ["mit-title", "mit-grant", "mit-keep", "asis"]),
     ("MIT", ["mit-grant", "mit-keep"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-neither"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("AGPL-3.0-or-later", ["agpl-free-3"]),
+    ("LGPL-3.0-or-later", ["lgpl-free-3"]),
+    ("LGPL-2.1-or-later", ["lgpl-free-21"]),
+    ("GPL-2.0-or-later", ["gpl-free-2"]),
+    ("GPL-3.0-only", ["gpl-free-3-only"]),
+    *((f"{n}-{v}-or-later", ["free-software", terms, later]) for n, terms in (("GPL", "gpl-terms"), ("LGPL", "lgpl-terms"), ("AGPL", "agpl-terms")) for v, later in (("2.0", "later-2"), ("2.1", "later-21"), ("3.0", "later-3"))),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
     ("Apache-2.0", ["apache2-notice", "apache2-comply", "apache2-asis"]),
     ("Apache-2.0", ["apache2-notice", "apache2-comply"]),
@@ -61,23 +108,43 @@ RULES = [
     ("MIT", ["mit-licensed"]),
     ("MIT", ["mit-grant"]),
     ("ISC", ["isc-grant"]),
+    ("MPL-2.0", ["mpl2-form", "mpl2-copy"]),
     ("MPL-2.0", ["mpl2-form"]),
+    ("MPL-2.0", ["mpl2-open"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa"]),
+    ("CC-BY-NC-4.0", ["cc-by-nc-long"]),
+    ("CC0-1.0", ["cc0-waived"]),
+    ("Unlicense", ["unlicense"]),
+    ("BSL-1.0", ["boost"]),
+    ("Zlib", ["zlib-as-is"]),
     ("GPL-3.0", ["gpl3-short"]),
     ("CC-BY-NC-4.0", ["cc-by-nc"]),
     ("CC-BY-4.0", ["cc-by"]),
     ("CC-BY-4.0", ["cc-by-short"]),
     ("CC0-1.0", ["cc0"]),
     ("Proprietary", ["reserved"]),
+    *((n, [f"notice-{n}-{i}"]) for n, names in NAMES.items() for i in range(len(names)) if f"notice-{n}-{i}" in SENTENCES),
 ]
 
 
 def _join(cut: Column, known: dict[str, str]) -> Column:
     """cut with each known sentence that is wrapped over lines, numbered as a clause or complete with its ending put on a line of its own."""
     gap = r"(?: ?\n ?| )"
+    some = rf"[a-z0-9]+(?:{gap}[a-z0-9]+){{0,11}}?"
+
+    def spread(sentence: str) -> str:
+        return gap.join(some if w == ANY else re.escape(w) for w in sentence.split())
+
+    own = set(known.values())
     for name, sentence in known.items():
-        whole = gap.join(map(re.escape, sentence.split()))
+        whole = spread(sentence)
         if name in ENDINGS:
-            whole += f"(?:{gap}{gap.join(ENDINGS[name].split())})?"
+            whole += f"(?:{gap}{spread(ENDINGS[name])})?"
+        if sentence in SHORT.values():
+            end = sentence.removeprefix("licensed ")
+            others = [spread(o) for o in own if o.endswith(f" {end}") and o != sentence]
+            begins = [spread(f"this any is {v}") for v in VERBS] + VERBS
+            whole = (f"(?!(?:{'|'.join(others)}) ?(?:\\n|$))" if others else "") + f"(?:{'|'.join(begins)}){gap}{spread(end)}"
         cut = F.regexp_replace(cut, rf"(?:^|(?<=\n)) ?(?:[0-9]\n\n)?{whole}(?= ?(?:\n|$))", sentence)
     return cut
 
