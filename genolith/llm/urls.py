@@ -42,9 +42,14 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.createDataFrame(rules, "host string, path string, verdict string")
 
 
-def _ranges(keys: DataFrame, sample: int, ranges: int) -> tuple[list[str], list[int]]:
-    """Lower bounds of key ranges and the number of salts of each, from a bounded sample of the rows of keys."""
-    got = sorted((r.key for r in keys.orderBy(F.xxhash64("rid", "key")).limit(sample).collect()), key=lambda k: k.encode())
+def _ranges(keys: DataFrame, sample: int, ranges: int, least: int) -> tuple[list[str], list[int]]:
+    """Lower bounds of key ranges and the number of salts of each, from a bounded sample of the rows of keys (`least` rows at least).
+
+    A bound on the hash comes before the limit, so a task sends its share of the sample and not a whole one.
+    """
+    rank = F.xxhash64("rid", "key")
+    few = keys if least <= 4 * sample else keys.where(rank < F.lit(int(2**64 * (4 * sample / least)) - 2**63))
+    got = sorted((r.key for r in few.orderBy(rank).limit(sample).collect()), key=lambda k: k.encode())
     bounds: dict[str, int] = {"": 1}
     for i in range(1, ranges):
         if got:
@@ -78,7 +83,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple
         .withColumn("key", F.concat(F.array_join(F.slice("labels", 1, F.col("n")), "."), F.lit("\0"), "path"))
         .withColumn("full", F.col("n") == F.size("labels"))
     )
-    bounds, salts = _ranges(keys.select("rid", "key"), sample, ranges)
+    bounds, salts = _ranges(keys.select("rid", "key"), sample, ranges, pages.count())
     low, salted = F.array(*[F.lit(b) for b in bounds]), F.array(*[F.lit(s) for s in salts])
 
     known = (
