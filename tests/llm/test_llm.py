@@ -70,6 +70,40 @@ def test_quality(spark, corpus, labels):
     assert all(r.score == 0 for r in quality(corpus, labels.where("false")).collect())
 
 
+def test_quality_score_against_brute_force(spark, corpus, labels):
+    """Bucket counts, log ratios, mean score and verdict, by plain dictionaries."""
+    import math
+    import struct
+
+    import xxhash
+
+    from genolith.llm.quality import BUCKETS, MIN_SCORE
+
+    def grams(text):
+        h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        pairs = [xxhash.xxh64(struct.pack("<Q", b), seed=xxhash.xxh64(struct.pack("<Q", a), seed=42).intdigest()).intdigest() for a, b in zip(h, h[1:], strict=False)]
+        return [(x - (1 << 64) if x >> 63 else x) % BUCKETS for x in h + pairs]
+
+    extra = spark.createDataFrame([(100 + i, words(80, 700 + i, 40 + 300 * (i % 2)), "en", "a", 1) for i in range(30)], DOCS)
+    good = labels.unionByName(spark.createDataFrame([(100 + i, 1, 0) for i in range(0, 10, 2)], labels.schema))
+    docs = corpus.unionByName(extra)
+    rows, trusted = docs.collect(), {r.doc_id for r in good.collect() if r.quality == 1 and not r.toxic and r.doc_id is not None}
+    raw, target = collections.Counter(), collections.Counter()
+    for r in rows:
+        raw.update(grams(r.text))
+        if r.doc_id in trusted:
+            target.update(grams(r.text))
+    a, z = math.log(sum(raw.values()) + BUCKETS), math.log(sum(target.values()) + BUCKETS)
+    ratio = [math.log(target[b] + 1) - z - math.log(raw[b] + 1) + a for b in range(BUCKETS)]
+    verdicts = set()
+    for r in quality(docs, good).collect():
+        g = grams(r.text)
+        score = sum(ratio[b] for b in g) / max(1, len(g))
+        assert r.score == pytest.approx(score, abs=1e-9) and r.kept == (not r.base_failed and score >= MIN_SCORE)
+        verdicts.add(r.kept)
+    assert verdicts == {True, False}
+
+
 def test_urls(spark):
     urls = ["http://A.example.org/es/x?q", "https://example.org/en/12#f", "http://m.shop.com/fr/", "http://x.com/de", "http://com/de/1", "nothing", None, "http://example.org", "ftp://badexample.org/es/", "http://host.net?x=/fr/"] + ["http://hot.org/a"] * 300
     pages = spark.createDataFrame([(i if i != 3 else None, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string")
@@ -148,6 +182,35 @@ modification, are permitted provided that the following conditions are met:
     assert got[0].sequence == got[5].sequence == "<mit-grant><mit-keep><asis>" and got[1].sequence == got[2].sequence == "<reserved><bsd-grant><bsd-source><bsd-binary>"
 
 
+def test_licenses_of_real_notices(spark):
+    free = "This %s is free software; you can redistribute it and/or\nmodify it under the terms of the GNU %s\nas published by the Free Software Foundation; either\nversion %s of the License, or (at your option) any later version."
+    bsd3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the %s nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file,\nYou can obtain one at http://mozilla.org/MPL/2.0/."
+    cases = {
+        "This project is licensed under the MIT License.": "MIT", "Distributed under the MIT License\n": "MIT", "This work is licensed under the GNU General Public License version 3": "GPL-3.0",
+        "This tiny little tool is released under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under the BSD 3-Clause License": "BSD-3-Clause", "This is licensed under the ISC license": "",
+        free % ("program", "General Public License", "2"): "GPL-2.0-or-later", free % ("program", "Affero General Public License", "3"): "AGPL-3.0-or-later", free % ("library", "Lesser General Public License", "2.1"): "LGPL-2.1-or-later",
+        bsd3 % "copyright holder": "BSD-3-Clause", bsd3 % "University of Nowhere at\n   Large": "BSD-3-Clause", mpl: "MPL-2.0", "no licence " * 20_000: "", "the mit license is nice": "",
+    }
+    rows = [(i, t, "x") for i, t in enumerate(cases)] * 2  # repeated rows, a long text and a column with the name of a result
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, licenses string")).collect()
+    assert len(got) == len(rows)
+    want = list(cases.values())
+    assert {r.doc_id: r.licenses for r in got} == dict(enumerate(want))
+
+
 def page(body, cls="post-12 content"):
     return f'<html><body><nav><a href=x>menu</a></nav><div class="{cls}"><h2>T&eacute;st &lt;x&gt;</h2><p>{body} one<br>two &nbsp; three<p>four<ul><li>i1<li>i2</ul><div class="comments"><p>hi</p></div> tail a < b</div><div class="sidebar"><p>side text that is really rather long, longer than all the rest of this page taken together, so it is tempting</div><script>if(a<b){{}}</script></body>'
 
@@ -183,6 +246,21 @@ def test_html_keeps_the_whole_article(spark):
         assert long.strip() in r.text and not {"menu", "side text", "imprint of the host", "tweet"} & set(got)
 
 
+def test_html_knows_boilerplate_by_whole_names(spark):
+    text = "A sentence of the article that goes on for a while, with commas. "
+    keep = ["related-work", "comment-on-law", "ad-free note", "relatedWork", "share-price-history", "entry-content", "story"]
+    drop = ["comments", "comment-list", "cookie-banner", "cookieBanner", "ad-slot", "social_share", "site-footer", "post-comments", "sidebar", "newsletter-box", "related"]
+    rows = []
+    for i, name in enumerate([*keep, *drop]):
+        rows.append((i, f"http://h{i}.org/", f'<html><body><article><h1>T</h1><p>{text * 4}</p><div class="{name}"><p>inside {text}</p></div></article></body></html>', "x", 5))
+    rows += [rows[0], (90, "http://h90.org/", "<p>" + text * 20_000 + "</p>", "x", 5)]  # a repeated row, a long page, names of results as extra columns
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, path int")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert ("inside" in r.text) == (r.page_id < len(keep)) and r.n_chars == len(r.text)
+    assert next(r.n_chars for r in got if r.page_id == 90) == len((text * 20_000).strip())
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(12, 8))
@@ -313,6 +391,47 @@ def brute_near(docs):
     return {d: (len(s), comp[d], comp[d] == d) for d, s in sets.items()}
 
 
+def test_line_dedup_of_many_equal_lines(spark):
+    same = "\n".join(["one line of six words here"] * 20_000)
+    docs = [(1, same, 1, 2, 3, 4), (2, "\n".join(["head", *["one line of six words here"] * 20, "tail"]), 1, 2, 3, 4), (3, "unlike " * 60, 1, 2, 3, 4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, d int, _d int, _runs int, _left int")  # names used inside
+    got = {r.doc_id: r for r in dedup_lines(df).collect()}
+    assert got[1].text == "one line of six words here" and got[1].n_lines == 20_000  # a run may overlap the earlier one that it equals
+    assert got[2].text == "head\ntail" and got[3].text == docs[2][1] and got[3]._left == 4 and got[3].d == 1
+
+
+def test_near_duplicates_of_all_degrees(spark):
+    """A large group whose members differ by little to much, against all pairs."""
+    rng = random.Random(11)
+    base = words(160, 77, 5000).split()
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randrange(0, 12)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w[: rng.choice([160, 160, 150, 130])])))
+    rows += [(500, rows[3][1]), (501, rows[3][1])]
+
+    def shingle(t):
+        w = t.split()
+        return {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+
+    sets, parent = {k: shingle(t) for k, t in rows}, {k: k for k, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: find(k) for k in sets} and 3 < len(set(got.values())) < 160
+
+
 def test_near_duplicates(spark, corpus):
     rng = random.Random(5)
     base = words(150, 77).split()
@@ -348,16 +467,86 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def raked(start, goals, rounds=500):
+    """Iterative proportional fitting of {cell: weight} to {margin: {value: share}}, by hand."""
+    w = {c: x / sum(start.values()) for c, x in start.items()}
+    for _ in range(rounds if goals else 0):
+        for m, goal in goals.items():
+            now = collections.Counter()
+            for c, x in w.items():
+                now[c[m]] += x
+            w = {c: x * goal.get(c[m], 0) / now[c[m]] if now[c[m]] else x for c, x in w.items()}
+    return w
+
+
+def all_targets(cells, named):
+    """Named margins, and for the others those of the flattened cells raked to the named ones."""
+    flat = raked({c: n**mixing.FLATTEN for c, n in cells.items()}, named)
+    out = dict(named)
+    for m in range(3):
+        if m not in out:
+            t = collections.Counter()
+            for c, x in flat.items():
+                t[c[m]] += x
+            out[m] = dict(t)
+    return out
+
+
 def test_mixing(spark, corpus):
     out = mixing.mix(corpus.selectExpr("*", "'x' as topic"), keep=0.5).collect()
     assert len(out) == 18 and all(0 <= r.probability <= 1 for r in out) and not any(r.kept for r in out if not (r.text or "").split())
     assert mixing.mix(corpus.where("false")).count() == 0
     cells = [(s, g, t, n) for (s, g, t), n in zip(((s, g, t) for s in "abc" for g in "xy" for t in "pq"), (500, 20, 30, 400, 90, 10, 60, 200, 5, 70, 300, 15), strict=True)]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
-    wanted = {"lang": {"x": 0.5, "y": 0.5}}
-    near, far = ({tuple(r)[:3]: r.probability for r in mixing.calibrate(df, wanted, 0.4).collect()}, {tuple(r)[:3]: r.probability for r in mixing._rake_spark(df, wanted, 0.4, rounds=6).collect()})
-    assert all(abs(near[k] - far[k]) < 0.02 for k in near)
-    assert abs(sum(n * near[s, g, t] for s, g, t, n in cells) / sum(c[3] for c in cells) - 0.4) < 1e-6
+    total = sum(c[3] for c in cells)
+
+    def margins(p):
+        got = {m: collections.Counter() for m in range(3)}
+        for *cell, n in cells:
+            for m in range(3):
+                got[m][cell[m]] += n * p[tuple(cell)]
+        kept = sum(got[0].values())
+        return kept, {m: {v: x / kept for v, x in c.items()} for m, c in got.items()}
+
+    for wanted, keep in (({"lang": {"x": 0.5, "y": 0.5}}, 0.4), ({"lang": {"x": 0.5, "y": 0.5}, "source": {"a": 0.2, "b": 0.5, "c": 0.3}, "topic": {"p": 0.3, "q": 0.7}}, 0.9), ({}, 0.8)):
+        rows = mixing.calibrate(df, wanted, keep).collect()
+        p = {tuple(r)[:3]: r.probability for r in rows}
+        kept, got = margins(p)
+        named = {m: {v: x / sum(wanted[n].values()) for v, x in wanted[n].items()} for m, n in enumerate(mixing.MARGINS) if n in wanted}
+        for m, goal in all_targets({tuple(c[:3]): c[3] for c in cells}, named).items():
+            assert all(abs(got[m][v] - x) < 2e-6 for v, x in goal.items())
+        assert all(0 <= x <= 1 for x in p.values()) and abs(kept / total - rows[0].share) < 1e-6 and rows[0].share <= keep + 1e-9 and rows[0].miss < 2e-6
+    even = spark.createDataFrame([(s, g, "p", a * b) for s, a in (("a", 3), ("b", 5)) for g, b in (("x", 20), ("y", 70))], df.schema)  # raked in one round
+    near, far = ({tuple(r)[:3]: (r.probability, r.share) for r in mixing.calibrate(even, {"lang": {"x": 0.3, "y": 0.7}}, 0.6, limit).collect()} for limit in (mixing.MAX_LOCAL, 0))
+    assert all(np.allclose(near[k], far[k], atol=1e-9) for k in near) and len(far) == 4
+    # no table with these cells has such margins
+    odd = spark.createDataFrame([("a", "x", "p", 10), ("b", "y", "p", 10)], df.schema)
+    assert mixing.calibrate(odd, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}).first().miss > 0.1
+    clash = mixing.mix(corpus.selectExpr("*", "1 as _source", "2 as _lang", "3 as _topic", "4 as kept", "5 as _p"), keep=0.5)
+    assert clash.count() == 18 and {"_source", "_lang", "_topic", "_p"} <= set(clash.columns)
+
+
+def test_mixing_against_brute_force(spark):
+    """Raking, scaling and the draw, done again by hand on rows whose topics are fixed by the fitted centres."""
+    rng = random.Random(8)
+    rows = [(i, words(rng.randrange(1, 60), i), rng.choice(["en", "de", None]), rng.choice("ab"), 1) for i in range(120)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix(df, {"lang": {"en": 0.4, "de": 0.4, "": 0.2}}, keep=0.5, topics=2)
+    got = out.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(17)), F.lit(1 << 52)) / float(1 << 52)).collect()
+    cells = collections.Counter()
+    for r in got:
+        assert r.n_tokens == len(r.text.split()) and r.kept == (r.draw < r.probability)
+        cells[r.source or "", r.lang or "", r.topic] += r.n_tokens
+    goal = all_targets(cells, {1: {"en": 0.4, "de": 0.4, "": 0.2}})
+    w = raked(cells, goal)
+    p = {c: x * sum(cells.values()) / cells[c] for c, x in w.items()}
+    if max(p.values()) <= 2:  # then no probability is capped at keep = 0.5
+        assert all(abs(r.probability - p[r.source or "", r.lang or "", r.topic] / 2) < 1e-6 for r in got)
+    else:
+        lang = collections.Counter()
+        for r in got:
+            lang[r.lang or ""] += r.n_tokens * r.probability
+        assert all(abs(lang[v] / sum(lang.values()) - x) < 2e-6 for v, x in goal[1].items())
 
 
 def test_topics_are_fitted_on_all_documents(spark):
@@ -394,6 +583,21 @@ def test_bpe_is_exact(spark, fuzz):
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids) and r.decoded == t.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_is_exact_for_every_code_point():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    t, v = Tokenizer.from_file(path), bpe.Vocabulary(open(path).read())
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x33480), *range(0xE0000, 0xE0200)]]
+    usual = [c for c in every if not bpe._UNUSUAL.search(c)]
+    assert len(usual) > 30_000
+    for form in ("{}", "ab{}1", "a{}\u0323\u0301", "A{0}{0} {0}b"):
+        for some in (usual, every[:: 1 if form == "ab{}1" else 7]):
+            texts = [form.format(c) for c in some]
+            for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+                assert np.frombuffer(v.ids(x), "<u4").tolist() == e.ids, ascii(x)
+
+
 def test_token_store(spark, fuzz, tmp_path):
     from tokenizers import Tokenizer
 
