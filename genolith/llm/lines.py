@@ -68,7 +68,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text",
     """docs with the text less its later repeated runs, plus n_lines and n_removed (long).
 
     A run of consecutive lines, blank lines and outer blanks aside, with at least min_words words is deleted where it occurred before: in any document with a smaller
-    key (then smaller text hash; null keys last) or higher up in the same one. The first occurrence always stays.
+    key (then smaller text hash; null keys last) or higher up in the same one, where the two may overlap: of a line repeated on end one stays. The first occurrence always stays.
     Every other line stays as it is. Rows with equal key and text are one document and get the same result. A null text stays null with no lines;
     an empty text has one blank line. Columns of docs named n_lines or n_removed are replaced. An empty table gives an empty result.
     """
