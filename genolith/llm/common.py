@@ -37,16 +37,19 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-#: Rows of an Arrow batch: whole texts and shingle sets pass through Python, and a batch of them must stay small.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch: whole texts and shingle sets pass through Python, and a batch of them must stay small.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS, so a Python worker never holds thousands of whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, so a Python worker never holds thousands of whole texts.
+
+    The setting stays: plans read it when the caller runs them.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(name).rstrip("Bb"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -3,8 +3,10 @@
 Texts with equal shingle sets form classes first; only one representative of each class goes on, so exact
 copies never meet in pairs. Representatives that share a band are linked in a star to a few leaders
 of the band (chosen by hashes, map-side combined), which joins large groups with a linear number of pairs. What
-remains, pairs in one band that are still in different components, is then compared in full, so
-no link that the bands find gets lost and no group is expanded when it is already connected.
+remains, pairs in one band that are still in different components, is tried in full, so no link that the bands find gets
+lost and no group is expanded when it is already connected. Before such pairs are formed, documents leave that can't link: only shingles that also occur in
+another component can be common, which bounds the intersection, and the bound must reach what the sizes ask for. Pairs
+of the others must pass the same bound and longer sketches.
 """
 
 from __future__ import annotations
@@ -29,6 +31,14 @@ MAX_BROADCAST = 1_000_000
 #: Four bits of each coordinate are kept; a pair of similarity 0.75 differs in 60 coordinates on average, with a deviation
 #: of 6.8. A pair that differs in more than this is not verified (about 1e-8 of the pairs at 0.75).
 MAX_DIFFER = 101
+#: Documents that are still apart after the leaders get longer sketches of one bit a coordinate: at 0.75 two differ in 256 of these bits on average, with a deviation of 15.
+LONG, MAX_LONG = 2048, 340
+#: The same for their first words of 64 bits: 64 on average, with a deviation of 7.5.
+FIRST, MAX_FIRST = 8, 107
+#: Documents of a band that meet the others of the band in one task.
+CROWD = 256
+#: Shingles of documents that are still apart are counted in ranges of about this many, at least SPREAD ranges.
+RANGE, SPREAD = 500_000, 32
 
 _SKETCH = pa.schema([("key", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
@@ -43,6 +53,12 @@ def _nibbles(s: np.ndarray) -> np.ndarray:
     return _signed(low.sum(axis=2, dtype=np.uint64))
 
 
+def _bits(s: np.ndarray) -> np.ndarray:
+    """One bit of each coordinate, 64 coordinates to a 64-bit integer."""
+    low = (s & np.uint64(1)).reshape(len(s), -1, 64) << np.arange(64, dtype=np.uint64)
+    return _signed(low.sum(axis=2, dtype=np.uint64))
+
+
 def _differ(x: Column, y: Column) -> Column:
     """Number of coordinates in which two packed sketches differ."""
 
@@ -55,6 +71,13 @@ def _differ(x: Column, y: Column) -> Column:
     return sum((word(i) for i in range(1, COORDINATES // 16)), word(0))
 
 
+def _alike(x: Column, y: Column) -> Column:
+    """Whether two long sketches differ in MAX_LONG bits at most. The first FIRST words decide on most pairs; written out in full the test would be too long to be compiled."""
+    words = [F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(FIRST)]
+    whole = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+    return (sum(words[1:], words[0]) <= MAX_FIRST) & (whole <= MAX_LONG)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Set size, two set fingerprints, four bits of each coordinate, and band hashes of each text."""
     salts = mix(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :]
@@ -78,7 +101,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in shingle_sets(batch.column(2)):
             sets.append(x)
             size += len(x) + COORDINATES
-            if size > 250_000:
+            if size > 100_000:
                 yield flush(done)
                 done += len(sets)
                 sets.clear()
@@ -87,16 +110,51 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush(done)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        done, out = 0, []
-        for x in shingle_sets(batch.column(1)):
-            out.append(x.tobytes())
-            if len(out) == 500:
-                yield pa.record_batch([batch.column(0).slice(done, 500), pa.array(out, pa.binary())], ["id", "set"])
-                done, out = done + 500, []
-        if out:
-            yield pa.record_batch([batch.column(0).slice(done, len(out)), pa.array(out, pa.binary())], ["id", "set"])
+def _sets(long: bool):
+    """id, its set and the set's size; long: also its long sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, size, sets = 0, 0, []
+            for k, x in enumerate(shingle_sets(batch.column(1))):
+                sets.append(x)
+                size += len(x) + LONG
+                if size > 100_000 or k == batch.num_rows - 1:
+                    out = [batch.column(0).slice(done, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())]
+                    if long:
+                        out.append(pa.array(list(_bits(sketches(sets, LONG))), pa.list_(pa.int64())))
+                    yield pa.record_batch(out, ["id", "set", "n", "bits"][: len(out)])
+                    done, size, sets = k + 1, 0, []
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+
+    return run
+
+
+def _cut(ranges: int):
+    """The set of each (id, c) cut into ranges of hashed shingles."""
+    step = (1 << 64) // ranges + 1
+    bounds = np.array([r * step for r in range(1, ranges)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                parts = np.split(x := np.frombuffer(x.as_buffer(), np.uint64), np.searchsorted(x, bounds))
+                full = [(r, p.tobytes()) for r, p in enumerate(parts) if len(p)]
+                yield pa.record_batch([pa.array([r for r, _ in full], pa.int64()), pa.array([i] * len(full), pa.int64()), pa.array([c] * len(full), pa.int64()), pa.array([p for _, p in full], pa.binary())], ["r", "id", "c", "part"])
+
+    return run
+
+
+def _foreign(rows: pa.Table) -> pa.Table:
+    """Of each id, how many shingles of one range occur in another component as well."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in rows["part"].chunks for x in chunk]
+    at = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    _, c = np.unique(rows["c"].to_numpy(), return_inverse=True)
+    value, place = np.unique(np.concatenate(parts), return_inverse=True)
+    low, high = np.full(len(value), len(c)), np.full(len(value), -1)
+    np.minimum.at(low, place, c[at])
+    np.maximum.at(high, place, c[at])
+    return pa.table({"id": rows["id"], "s": np.bincount(at[(low != high)[place]], minlength=len(parts))})
 
 
 def _verify(share: int):
@@ -110,6 +168,7 @@ def _verify(share: int):
                 c = common(p, q)
                 ok.append(100 * c >= share * (len(p) + len(q) - c) and c > 0)
             yield batch.select([0, 1]).filter(pa.array(ok))
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -138,7 +197,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     real = found.where("key is not null and n > 0")
     # a class: equal sets; its smallest key stands for it
     classes = real.groupBy("f1", "f2", "n").agg(F.min_by(F.struct("bits", "bands"), F.struct("key", "tie")).alias("s"), F.min(F.struct("key", "tie")).alias("k"))
-    reps = stored(classes.select(F.xxhash64("f1", "f2", "n").alias("id"), "f1", "f2", F.col("k.key").alias("key"), F.col("k.tie").alias("tie"), "s.bits", "s.bands"))
+    reps = stored(classes.select(F.xxhash64("f1", "f2", "n").alias("id"), "f1", "f2", "n", F.col("k.key").alias("key"), F.col("k.tie").alias("tie"), "s.bits", "s.bands"))
 
     buckets = reps.select("id", F.explode("bands").alias("band"))
     crowds = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -154,17 +213,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         return rows.withColumn("c", F.col("id")) if joined is None else rows.join(joined, rows["id"] == joined["node"], "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
 
     # pairs in one band that are still apart
-    apart = of(crowded.select("band", "id"))
-    mixed = apart.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    left = stored(apart.join(mixed, "band").select("band", "id", "c").join(reps.select("id", "bits", "bands"), "id"))
-    x, y = (left.select("band", F.col("id").alias(i), F.col("c").alias(c), F.col("bits").alias(b), F.col("bands").alias(s)) for i, c, b, s in (("p", "cp", "bp", "sp"), ("q", "cq", "bq", "sq")))
-    once = F.get(F.array_intersect("sp", "sq"), 0) == F.col("band")  # a pair counts in its first common band
-    tried = _ordered(stars)
-    rest = _ordered(x.join(y, "band").where((F.col("p") < F.col("q")) & (F.col("cp") != F.col("cq")) & (_differ(F.col("bp"), F.col("bq")) <= MAX_DIFFER) & once).select("p", "q")).join(tried, ["a", "b"], "left_anti")
-    more = _confirm(rest, reps, base, share, max_broadcast, ordered=True)
-    if more is not None:
-        both = more if links is None else links.unionByName(more)
-        joined = stored(components(both))
+    def apart(rows: DataFrame) -> DataFrame:
+        """Rows (band, c, n) of bands in which components of like sizes meet, with the smallest size in their band."""
+        met = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("band", "least")
+        return rows.join(met, "band")
+
+    left = stored(apart(of(crowded.select("band", "id")).join(reps.select("id", "n", "key", "tie"), "id")).drop("least", "n"))
+    which = stored(left.select("id", "key", "tie", "c").distinct())
+    if count := which.count():
+        sets = stored(_texts(which, base, count, max_broadcast).mapInArrow(_sets(True), "id long, set binary, n long, bits array<long>").dropDuplicates(["id"]))
+        total = sets.agg(F.sum("n")).first()[0]
+        parts = sets.join(which.select("id", "c"), "id").select("id", "c", "set").mapInArrow(_cut(max(SPREAD, total // RANGE)), "r long, id long, c long, part binary")
+        foreign = parts.groupBy("r").applyInArrow(_foreign, "id long, s long").groupBy("id").agg(F.sum("s").alias("s"))
+        known = stored(sets.drop("set").join(foreign, "id").where((100 * F.col("s") >= share * F.col("n"))))
+        # an intersection of o needs (100 + share) * o >= share * (sum of sizes), and sizes in a link differ by share at most
+        near = apart(left.select("band", "id", "c").join(known.select("id", "n", "s"), "id"))
+        other = F.greatest("least", F.ceil(F.col("n") * share / 100))
+        near = near.where((100 + share) * F.col("s") >= share * (F.col("n") + other)).drop("least")
+        near = stored(near.join(known.select("id", "bits"), "id").join(reps.select("id", "bands"), "id"))
+        # a large band is dealt out: each of its documents meets the others in one of `deal` tasks
+        crowd = near.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("deal"))
+        near = near.join(crowd, "band").withColumn("task", F.pmod(F.xxhash64("id"), F.col("deal")).cast("int"))
+        x, y = (t.select("band", "task", *[F.col(c).alias(c + side) for c in ("id", "c", "n", "s", "bits", "bands")]) for t, side in ((near, "p"), (near.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))), "q")))
+        width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as the few bytes of these rows say nothing about the work
+        x, y = x.repartition(width, "band", "task"), y.repartition(width, "band", "task")
+        fits = (100 + share) * F.least("sp", "sq") >= share * (F.col("np") + F.col("nq"))
+        once = F.get(F.array_intersect("bandsp", "bandsq"), 0) == F.col("band")  # a pair counts in its first common band
+        found_pairs = x.join(y, ["band", "task"]).where((F.col("idp") < F.col("idq")) & (F.col("cp") != F.col("cq")) & fits & _alike(F.col("bitsp"), F.col("bitsq")) & once)
+        rest = found_pairs.select(F.col("idp").alias("a"), F.col("idq").alias("b")).join(_ordered(stars), ["a", "b"], "left_anti")
+        more = stored(_with(rest, sets, "set").mapInArrow(_verify(share), "a long, b long"))
+        joined = stored(components(more if links is None else links.unionByName(more)))
 
     named = of(reps.select("id", "f1", "f2", "key"))
     lowest = named.groupBy("c").agg(F.min("key").alias("component_id"))
@@ -186,16 +264,19 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, base: DataFrame, share: int, max_broadcast: int, ordered: bool = False) -> DataFrame | None:
-    """The pairs that hold on full sets; None if there are no candidates. ordered: distinct pairs (a, b) whose sketches were compared."""
-    if not ordered:
-        pairs = _with(_ordered(pairs), reps.select("id", "bits"), "bits").where(_differ(F.col("x"), F.col("y")) <= MAX_DIFFER).select("a", "b")
+def _texts(ids: DataFrame, base: DataFrame, count: int, max_broadcast: int) -> DataFrame:
+    """id and text of the rows of base that stand for ids (id, key, tie)."""
+    wanted = ids.select("id", "key", "tie")
+    return base.join(F.broadcast(wanted) if count <= max_broadcast else wanted, ["key", "tie"]).select("id", "text")
+
+
+def _confirm(pairs: DataFrame, reps: DataFrame, base: DataFrame, share: int, max_broadcast: int) -> DataFrame | None:
+    """The pairs that hold on full sets; None if there are no candidates."""
+    pairs = _with(_ordered(pairs), reps.select("id", "bits"), "bits").where(_differ(F.col("x"), F.col("y")) <= MAX_DIFFER).select("a", "b")
     likely = stored(pairs)
     ids = stored(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "key", "tie"), "id"))
     n = ids.count()
     if not n:
         return None
-    wanted = ids.select("id", "key", "tie")
-    texts = base.join(F.broadcast(wanted) if n <= max_broadcast else wanted, ["key", "tie"]).select("id", "text")
-    sets = stored(texts.mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]))
+    sets = stored(_texts(ids, base, n, max_broadcast).mapInArrow(_sets(False), "id long, set binary, n long").dropDuplicates(["id"]))
     return stored(_with(likely, sets, "set").mapInArrow(_verify(share), "a long, b long"))
