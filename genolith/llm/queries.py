@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genolith.llm import bpe, licenses, tokenstore
+from genolith.llm import alignment, bpe, licenses, secrets, tokenstore
 from genolith.llm.common import shared_path, table
 from genolith.llm.embeddings import near_vectors
 from genolith.llm.html import extract
@@ -72,8 +72,17 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return docs
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_url_filter": op2_url_filter, "op3_licenses": op3_licenses, "op4_html": op4_html, "op5_embeddings": op5_embeddings, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_token_store": op8_token_store, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe}
+    return {"op1_quality": op1_quality, "op2_url_filter": op2_url_filter, "op3_licenses": op3_licenses, "op4_html": op4_html, "op5_embeddings": op5_embeddings, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_token_store": op8_token_store, "op9_minhash": op9_minhash, "op10_bpe": op10_bpe, "op11_secrets": op11_secrets, "op12_alignment": op12_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
