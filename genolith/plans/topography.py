@@ -17,7 +17,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genolith.plans.model import BoostedModel, alpha_from_target, boosted_locus_model, convex_update, init_from_signatures, learning_rate, should_stop
+from genolith.plans import trees
+from genolith.plans.model import BoostedModel, alpha_from_target, convex_update, init_from_signatures, learning_rate, should_stop
+from genolith.plans.trees import TreeRate
 
 CELL = ("locus", "configuration", "context")
 
@@ -67,7 +69,7 @@ class Topography:
     components: list[str]
     contexts: list[str]
     effects: np.ndarray
-    rates: list[LinearRate | BoostedModel]
+    rates: list[LinearRate | BoostedModel | TreeRate]
     alpha: np.ndarray
     log_norm: np.ndarray
     scores: list[float] = field(default_factory=list)
@@ -83,8 +85,11 @@ class Topography:
 
     def locus_rates(self, loci: DataFrame) -> DataFrame:
         """(locus, exposure, theta ARRAY[K]) from loci (locus, exposure, features)."""
-        theta = [m.log_rate() for m in self.rates] or [F.lit(0.0)] * self.k
-        return loci.select("locus", F.col("exposure").cast("double").alias("exposure"), F.array(*theta).alias("theta"))
+        if self.rates and all(isinstance(m, TreeRate) for m in self.rates):
+            theta = trees.log_rates(self.rates)
+        else:
+            theta = F.array(*([m.log_rate() for m in self.rates] or [F.lit(0.0)] * self.k))
+        return loci.select("locus", F.col("exposure").cast("double").alias("exposure"), theta.alias("theta"))
 
     def cells(self, freq: DataFrame, loci: DataFrame) -> DataFrame:
         """Unnormalised rates of all cells of freq (locus, configuration, context, freq): rate ARRAY[K]. Cells without frequency or exposure have none."""
@@ -186,8 +191,10 @@ class Topography:
         """(locus, component, feature, value, effect): Shapley values of every feature in a component's locus effect.
 
         Linear effects take the feature's mean over all loci as background. Boosted effects are sums of functions of one feature each, so their exact values are the
-        feature's own terms less their mean over at most `background` loci (those with the least hashes of their key).
+        feature's own terms less their mean over at most `background` loci (those with the least hashes of their key). Trees of any depth: see trees.attributions.
         """
+        if self.rates and all(isinstance(m, TreeRate) for m in self.rates):
+            return trees.attributions(loci, self.components, self.rates, background)
         features = sorted({f for m in self.rates for f in m.features()})
         some = loci.orderBy(F.xxhash64("locus"), "locus").limit(background)
         parts = []
@@ -271,10 +278,11 @@ def newton_rates(stats: DataFrame, offsets: DataFrame, loci: DataFrame, features
 def fit(
     observations: DataFrame, freq: DataFrame, loci: DataFrame, features: Sequence[str], k: int, epochs: int = 30, locus_model: str = "linear", subsample: float = 1.0, rounds: int = 5, seed: int = 0,
     fixed: dict[str, dict[str, float]] | None = None, test: DataFrame | None = None, patience: int = 5, prior: float = 1.0, tau: float = 1.0, kappa: float = 0.5, callback: Callable[[int, float], None] | None = None,
+    tree_settings: trees.Settings | None = None,
 ) -> Topography:
     """Train on observations (sample, locus, configuration, context, weight), freq (locus, configuration, context, freq) and loci (locus, exposure, features).
 
-    locus_model: linear, boosted or none (context-only). subsample: the share of loci that an epoch uses, drawn by a hash of locus and epoch; statistics are scaled up and
+    locus_model: linear, boosted (trees, grown by tree_settings) or none (context-only). subsample: the share of loci that an epoch uses, drawn by a hash of locus and epoch; statistics are scaled up and
     parameters then move by the learning rate (tau + epoch)**-kappa. fixed: spectra by component name that stay as they are. Ends early when the score on `test` (else on the
     training data) hasn't risen for `patience` epochs; callback(epoch, score) follows each epoch.
     """
@@ -284,7 +292,8 @@ def fit(
     effects = np.random.default_rng(seed).normal(0, 0.3, (len(names), len(contexts)))
     if fixed:
         effects[: len(fixed)] = init_from_signatures(np.array([[v.get(c, 0.0) for c in contexts] for v in fixed.values()]))
-    rates: list = [] if locus_model == "none" else [LinearRate(dict.fromkeys(features, 0.0)) for _ in names] if locus_model == "linear" else [BoostedModel(0.0, []) for _ in names]
+    rates: list = [] if locus_model == "none" else [LinearRate(dict.fromkeys(features, 0.0)) for _ in names] if locus_model == "linear" else [TreeRate(list(features)) for _ in names]
+    cuts = trees.quantile_cuts(loci, features) if locus_model == "boosted" else []
     model = Topography(names, contexts, effects, rates, np.ones(len(names)), np.zeros(len(names)))
     observations = observations.groupBy("sample", *CELL).agg(F.sum("weight").cast("double").alias("weight"))
     nk = None
@@ -313,7 +322,7 @@ def fit(
                 fresh = newton_rates(stats, offsets, part, features, model.rates)
                 model.rates = [a.blend(b, rate) for a, b in zip(model.rates, fresh, strict=True)]
             else:
-                model.rates = [_boosted(m, i, stats, offsets, part, features, rate) for i, m in enumerate(model.rates)]
+                model.rates = more_trees(model.rates, stats, offsets, part, features, cuts, tree_settings, rate)
         prior_row = nk.select(F.zip_with("nk", F.array(*[F.lit(float(a)) for a in model.alpha]), lambda n, a: n + a).alias("g")).withColumn("t", digamma(_total(F.col("g"))))
         means = prior_row.agg(*[F.avg(digamma(F.get("g", i)) - F.col("t")) for i in range(model.k)], F.avg(F.get("g", 0)), F.avg(_total(F.col("g")))).first()
         model.alpha = alpha_from_target(model.alpha, np.array(means[: model.k], float), float(means[model.k] / means[model.k + 1]))
@@ -328,16 +337,19 @@ def fit(
     return model
 
 
-def _boosted(model: BoostedModel, i: int, stats: DataFrame, offsets: DataFrame, loci: DataFrame, features: Sequence[str], rate: float) -> BoostedModel:
-    """One more stump for component i, fitted to what its locus effect leaves over and shrunk by the learning rate."""
-    mean = F.get("offset", i) * F.exp(model.log_rate())
-    rows = offsets.join(loci, "locus").join(stats.select("locus", F.get("value", i).alias("seen")), "locus", "left").select(*features, F.coalesce("seen", F.lit(0.0)).alias("seen"), mean.alias("mu"))
-    total = rows.agg(F.sum("seen"), F.sum("mu")).first()
-    if not total[0] or not total[1]:
-        return model
-    rows = rows.where("mu > 0").withColumn("w_", F.col("mu") * (total[0] / total[1])).withColumn("y_", F.col("seen") / F.col("w_"))
-    more = boosted_locus_model(rows, features, "y_", "w_", rounds=1)
-    return BoostedModel(model.base, [*model.stumps, *[(f, cut, a * rate, b * rate) for f, cut, a, b in more.stumps]])
+def more_trees(old: Sequence[TreeRate], stats: DataFrame, offsets: DataFrame, loci: DataFrame, features: Sequence[str], cuts: Sequence[Sequence[float]], settings: trees.Settings | None, rate: float, valid: float = 0.2) -> list[TreeRate]:
+    """Every component's trees and some more, fitted to what its locus effect leaves over and shrunk by the learning rate.
+
+    A fixed part `valid` of the loci (by a hash of the key) takes no part in growing and ends it.
+    """
+    k = len(old)
+    rows = offsets.join(loci, "locus").join(stats.select("locus", F.col("value").alias("seen")), "locus", "left").withColumn("theta", trees.log_rates(old))
+    rows = rows.withColumn("mu", F.zip_with("offset", "theta", lambda o, t: o * F.exp(t))).withColumn("y", F.coalesce("seen", F.array(*[F.lit(0.0)] * k)))
+    held = F.pmod(F.xxhash64("locus", F.lit("valid")), F.lit(1 << 20)) < int(valid * (1 << 20))
+    table = _cut(trees.binned(rows, features, cuts, valid=held))
+    more = trees.grow(table, features, cuts, k, settings, rate)
+    table.unpersist()
+    return [TreeRate(list(features), [*m.trees, *new]) for m, new in zip(old, more, strict=True)]
 
 
 def polyak_predict(model: Topography, observations: DataFrame, freq: DataFrame, loci: DataFrame, subsample: float = 1 / 128, least: int = 30, most: int = 500, tolerance: float = 0.01, rounds: int = 20, seed: int = 0) -> DataFrame:
