@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,18 +27,20 @@ from genolith.llm.common import bound_batches, stored
 
 #: The routing tree is fitted on SAMPLE vectors at most and has at most LEAVES leaves, each for about SHARD vectors; a shard's tree has
 #: buckets of BUCKET vectors; QUERIES queries meet a shard at a time.
-SAMPLE, LEAVES, SHARD, BUCKET, QUERIES = 16_384, 1_024, 4_096, 128, 256
+SAMPLE, LEAVES, SHARD, BUCKET, QUERIES = 16_384, 1_024, 4_096, 256, 256
 
 
 class Tree:
-    """A vantage-point tree over integer vectors (rows of x)."""
+    """A vantage-point tree over integer vectors. x: the rows in the tree's order; order: which rows they were."""
 
     FIELDS = ("x", "order", "nodes", "ranges")
 
     def __init__(self, x: np.ndarray, order: np.ndarray, nodes: np.ndarray, ranges: np.ndarray):
         self.x, self.order, self.nodes, self.ranges = x, order, nodes, ranges
+        self.each, self.spans = nodes.tolist(), ranges.tolist()
         norms = (x.astype(float) ** 2).sum(axis=1)
         self.most = float(norms.max()) if len(x) else 0.0
+        self.floats = x.astype(float)
 
     @classmethod
     def build(cls, x: np.ndarray, bucket: int) -> Tree:
@@ -67,7 +70,7 @@ class Tree:
             half = len(d) // 2
             ranges[me] = [d[0], d[half - 1], d[half], d[-1]]
             todo += [(lo + 1 + half, hi, me, 1), (lo + 1, lo + 1 + half, me, 0)]
-        return cls(x, order, np.array(nodes, np.int64).reshape(-1, 5), np.array(ranges, float).reshape(-1, 4))
+        return cls(x[order], order, np.array(nodes, np.int64).reshape(-1, 5), np.array(ranges, float).reshape(-1, 4))
 
     def save(self, **more: np.ndarray) -> bytes:
         out = io.BytesIO()
@@ -79,50 +82,65 @@ class Tree:
         z = np.load(io.BytesIO(data))
         return cls(*(z[n] for n in cls.FIELDS)), {n: z[n] for n in z.files if n not in cls.FIELDS}
 
-    def nearest_first(self, q: np.ndarray, ids: np.ndarray, keep: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
+    def nearest_first(self, q: np.ndarray, ids: np.ndarray, starts: np.ndarray, keep: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
         """score, id of the kept rows with low <= score <= high, highest score first, ties by smaller id; lazily.
 
-        ids: a row's ids in each row of x, filled up with -1 behind (a row may stand for several ids).
+        ids[starts[r]:starts[r + 1]] are the ids of row r in the tree's order (a row may stand for several), keep says which of its rows count.
         """
         if not len(self.x):
             return
         f = q.astype(float)
-        c = float(f @ f) + self.most  # squared distance plus twice the score
+        norm = float(f @ f)
+        c = norm + self.most  # squared distance plus twice the score
         slack = 1e-9 * c + 1e-6
+        exact = math.sqrt(norm * self.most) < 1 << 52  # then a score and all sums on the way to it are whole numbers that doubles hold
+        x, y = (self.floats, f) if exact else (self.x, q)
         heap: list[tuple] = [(-math.inf, 0, 0, 0.0, math.inf)]
 
-        def offer(rows: np.ndarray, scores: np.ndarray) -> None:
-            some = keep[rows] & (scores >= low) & (scores <= high)
-            for r, s in zip(rows[some].tolist(), scores[some].tolist(), strict=True):
-                for i in ids[r].tolist():
-                    if i == NONE:
-                        break
-                    heapq.heappush(heap, (-s, 1, i))
+        def offer(lo: int, hi: int) -> None:
+            """The ids of a bucket wait in order behind its first."""
+            scores = x[lo:hi] @ y
+            some = np.flatnonzero(keep[lo:hi] & (scores >= low) & (scores <= high))
+            if not len(some):
+                return
+            first, size = starts[lo + some], starts[lo + some + 1] - starts[lo + some]
+            if size.max() > 1:
+                who = ids[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            else:
+                who = ids[first]
+            s = np.repeat(scores[some], size)
+            by = np.lexsort((who, -s))
+            advance(zip(s[by].tolist(), who[by].tolist(), strict=True))
+
+        def advance(rest: Iterator[tuple[float, int]]) -> None:
+            for s, i in rest:
+                heapq.heappush(heap, (-s, 1, i, id(rest), rest))
+                return
 
         while heap:
             top = heapq.heappop(heap)
             if top[1]:
-                yield -top[0], top[2]
+                yield int(-top[0]), top[2]
+                advance(top[4])
                 continue
             _, _, node, near, far = top
-            place, lo, hi, *children = self.nodes[node].tolist()
+            place, lo, hi, *children = self.each[node]
             if children[0] < 0:
-                rows = self.order[lo:hi]
-                offer(rows, self.x[rows] @ q)
+                offer(lo, hi)
                 continue
-            v = self.order[place : place + 1]
-            score = self.x[v] @ q
-            offer(v, score)
-            d = math.sqrt(max(c - 2.0 * float(score[0]), 0.0))
-            a, b, y, z = self.ranges[node].tolist()
-            for child, least, most in ((children[0], a, b), (children[1], y, z)):
+            score = float(x[place] @ y)
+            if keep[place] and low <= score <= high:
+                offer(place, place + 1)
+            d = math.sqrt(max(c - 2.0 * score, 0.0))
+            a, b, u, v = self.spans[node]
+            for child, least, most in ((children[0], a, b), (children[1], u, v)):
                 n, w = max(near, d - most, least - d), min(far, d + most)
                 if (c - n * n) / 2 + slack >= low and (w == math.inf or (c - w * w) / 2 - slack <= high):
                     heapq.heappush(heap, (-((c - n * n) / 2 + slack), 0, child, n, w))
 
 
-#: Fills up the ids of a row.
-NONE = -(1 << 63)
+#: The least 64-bit number: no score is below it.
+LEAST = -(1 << 63)
 
 
 class Router:
@@ -158,15 +176,16 @@ class Router:
         f = x.astype(float)
         return np.column_stack((f, np.sqrt(np.maximum(self.most - (f * f).sum(axis=1), 0))))
 
-    def place(self, x: np.ndarray) -> tuple[int, list[float]]:
-        """The leaf of a vector and its distances to the points above it."""
-        if not self.points:
-            return 0, []
-        f, at, found = self.augmented(x[None])[0], 0, []
-        while at >= 0:
-            d = math.sqrt(((f - self.points[at]) ** 2).sum())
-            found.append(d)
-            at = self.children[at][d > self.radius[at]]
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each row, and its distances to the points above it (as many as its path is long, then NaN)."""
+        full, at = self.augmented(x), np.full(len(x), 0 if self.points else -1)
+        found = np.full((len(x), max(map(len, self.paths), default=0)), np.nan)
+        for depth in range(found.shape[1]):
+            for node in np.unique(at[at >= 0]).tolist():
+                rows = np.flatnonzero(at == node)
+                d = np.sqrt(((full[rows] - self.points[node]) ** 2).sum(axis=1))
+                found[rows, depth] = d
+                at[rows] = np.where(d > self.radius[node], self.children[node][1], self.children[node][0])
         return -at - 1, found
 
     def reach(self, q: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -187,14 +206,12 @@ class Router:
 
 def _shard(bucket: int) -> Callable[[pa.Table], pa.Table]:
     def build(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("rid")
-        x = np.array(rows["vec"].to_pylist(), np.int64).reshape(rows.num_rows, -1)
-        lists = rows["ids"].to_pylist()
-        ids = np.full((len(lists), max(map(len, lists))), NONE, np.int64)
-        for i, found in enumerate(lists):
-            ids[i, : len(found)] = found
+        rows = rows.sort_by("rid").combine_chunks()
+        x = rows["vec"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
         tree = Tree.build(x, bucket)
-        return pa.table({"dim": rows["dim"][:1], "leaf": rows["leaf"][:1], "salt": rows["salt"][:1], "tree": pa.array([tree.save(ids=ids, labels=np.array(rows["label"].to_pylist(), np.int64))], pa.binary())})
+        lists = rows["ids"].combine_chunks().take(pa.array(tree.order))
+        starts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+        return pa.table({"dim": rows["dim"][:1], "leaf": rows["leaf"][:1], "salt": rows["salt"][:1], "tree": pa.array([tree.save(ids=lists.flatten().to_numpy(), starts=starts, labels=rows["label"].to_numpy()[tree.order])], pa.binary())})
 
     return build
 
@@ -212,8 +229,7 @@ def hard_negatives(
 
     Scale: equal vectors of one label become one row with the few smallest keys that any list can need, so a group of copies
     costs one row; equal anchors are one query. A leaf is cut into shards by count and its queries into blocks, and a pair of both
-    is one row of work. First the query's own leaf gives the score that a positive must reach, then the leaves that can reach it are
-    visited; negatives visit the leaves that meet one of their windows.
+    is one row of work. First a query visits its own leaf, which says what score each of its windows needs, then the leaves that can reach that.
     """
     spark = rows.sparkSession
     bound_batches(spark)
@@ -237,8 +253,11 @@ def hard_negatives(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [given.value[len(x)].place(np.array(x, np.int64)) for x in b.column(0).to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.float64()))], [*b.schema.names, "leaf", "above"])
+            dims = b.column(4).to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = b.filter(pa.array(dims == dim))
+                leaf, above = given.value[dim].place(part.column(0).flatten().to_numpy().reshape(-1, dim))
+                yield pa.record_batch([*part.columns, pa.array(leaf, pa.int32()), pa.array([d[~np.isnan(d)] for d in above], pa.list_(pa.float64()))], [*b.schema.names, "leaf", "above"])
 
     placed = stored(reps.select("vec", "label", "ids", "rid", "dim").mapInArrow(place, "vec array<long>, label long, ids array<long>, rid long, dim int, leaf int, above array<double>"))
     above = placed.select("dim", "leaf", F.posexplode_outer("above").alias("at", "d")).groupBy("dim", "leaf", "at").agg(F.min("d").alias("least"), F.max("d").alias("most"))
@@ -287,10 +306,10 @@ def hard_negatives(
                     for ask in b.column(0)[i].as_py():
                         spans = list(zip(ask["lows"], ask["highs"], strict=True))
                         left = dict.fromkeys(range(len(spans)), k)
-                        keep = (more["labels"] == ask["label"]) == same_label
+                        keep = more["labels"] == ask["label"] if same_label else more["labels"] != ask["label"]
                         if not spans or not keep.any():
                             continue
-                        for score, row in tree.nearest_first(np.array(ask["vec"], np.int64), more["ids"], keep, min(ask["lows"]), max(ask["highs"])):
+                        for score, row in tree.nearest_first(np.array(ask["vec"], np.int64), more["ids"], more["starts"], keep, min(ask["lows"]), max(ask["highs"])):
                             for w in [w for w in left if spans[w][0] <= score <= spans[w][1]]:
                                 out.append((ask["qid"], w, score, row))
                                 left[w] -= 1
@@ -305,19 +324,25 @@ def hard_negatives(
         order = Window.partitionBy("qid", "w").orderBy(F.desc("score"), "id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    least, greatest = F.lit(NONE).cast("long"), F.lit((1 << 63) - 1).cast("long")
+    least, greatest = F.lit(LEAST).cast("long"), F.lit((1 << 63) - 1).cast("long")
     open_ = queries.withColumns({"lows": F.array(least), "highs": F.array(greatest)})
-    home = stored(met(open_, lambda r, x, lo, hi: [r.place(x)[0]] if r.place(x)[0] in r.ranges else [], True, positives + 1))
-    reached = first(home, positives + 1).where(F.col("rank") == positives + 1).select("qid", F.col("score").alias("need"))
-    nearer = open_.join(reached, "qid", "left").withColumn("lows", F.array(F.coalesce("need", least)))
+    own = lambda r, x, lo, hi: r.place(x[None])[0].tolist()
+
+    def rest(r: Router, x: np.ndarray, lo: list[int], hi: list[int]) -> list[int]:
+        """Leaves other than the query's own that can have a row in one of its windows."""
+        names, lows, highs = r.reach(x)
+        mine = own(r, x, lo, hi)[0]
+        return [n for n, a, b in zip(names, lows, highs, strict=True) if n != mine and any(c <= d and b >= c and a <= d for c, d in zip(lo, hi, strict=True))]
 
-    def others(r: Router, x: np.ndarray, lo: list[int], hi: list[int]) -> list[int]:
-        own = r.place(x)[0]
-        names, _, highs = r.reach(x)
-        return [n for n, h in zip(names, highs, strict=True) if n != own and h >= lo[0]]
+    def nearest(asked: DataFrame, same_label: bool, k: int) -> DataFrame:
+        """qid, w, score, id, rank: the first k rows of all in each window. What the query's own leaf has k of is the least that the others must reach."""
+        home = stored(met(asked, own, same_label, k))
+        reached = first(home, k).where(F.col("rank") == k).groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("need"))  # a row for each window
+        raised = F.transform("lows", lambda x, i: F.greatest(x, F.coalesce(F.try_element_at("need", i.cast("long")), x)))
+        away = met(asked.join(reached, "qid", "left").withColumn("lows", raised), rest, same_label, k)
+        return first(home.unionByName(away), k)
 
-    away = stored(met(nearer, others, True, positives + 1))
-    best = stored(first(home.unionByName(away), positives + 1).select("qid", "score", "id"))
+    best = stored(nearest(open_, True, positives + 1).select("qid", "score", "id"))
 
     scores = best.select("qid", "score").distinct().groupBy("qid").agg(F.sort_array(F.collect_list("score")).alias("scores"))  # at most positives + 1
     s = F.col("scores")
@@ -325,11 +350,7 @@ def hard_negatives(
     bound = {"lows": F.transform(s, lambda x: -F.floor(-(x * low).cast("decimal(38,0)") / 100).cast("long")), "highs": F.transform(s, lambda x: F.floor((x * high).cast("decimal(38,0)") / 100).cast("long"))}
     wanted = queries.join(scores, "qid").withColumns(bound)
 
-    def crossed(r: Router, x: np.ndarray, lo: list[int], hi: list[int]) -> list[int]:
-        names, lows, highs = r.reach(x)
-        return [n for n, a, b in zip(names, lows, highs, strict=True) if any(c <= d and b >= c and a <= d for c, d in zip(lo, hi, strict=True))]
-
-    mined = first(met(wanted, crossed, False, negatives), negatives)
+    mined = nearest(wanted, False, negatives)
     hard = mined.join(scores, "qid").select("qid", F.element_at("scores", (F.col("w") + 1).cast("int")).alias("positive_score"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     lists = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id"))).alias("best"))  # at most positives + 1
     each = anchors.join(queries.join(lists, "qid"), ["vec", "label"]).select(F.col("id").alias("anchor_id"), "qid", F.explode(F.slice(F.filter("best", lambda b: b["id"] != F.col("id")), 1, positives)).alias("p"))
