@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genolith.plans import states as st
 from genolith.plans import topography as tp
 from genolith.plans.queries_tensor import regions, tensor
 
@@ -135,13 +136,44 @@ def mixture_estep(spark, d):
     return mixture.named(mixture.estep(seen, rounds=2)).withColumn("value", F.round("value", 9))
 
 
+STATES = st.States(["strand"], {"arm": [".", "p", "q"]})
+
+
+def state_model(spark, d, stranded: bool = True) -> tuple[tp.Topography, DataFrame]:
+    """The model with states of a strand feature (p_partkey % 3 - 1) and an arm (by p_partkey % 5), and its loci."""
+    wide = loci(spark, d).withColumns({"strand": F.col("locus") % 3 - 1, "arm": F.when(F.col("locus") % 5 == 0, "p").when(F.col("locus") % 5 == 1, "q").otherwise(".")})
+    r = len(STATES.names())
+    shared = np.array([[0.1 * ((i + j) % 3) for j in range(r)] for i in range(3)])
+    interactions = np.array([[[0.2 * ((i + 2 * c + j) % 3 == 0) for j in range(r)] for c in range(6)] for i in range(3)])
+    m = tp.Topography(NAMES, CONTEXTS, EFFECTS, [tp.LinearRate(c) for c in COEFFICIENTS], ALPHA, np.zeros(3), states=STATES, shared=shared, interactions=interactions, stranded=stranded)
+    m.log_norm = m.normalizers(freq(spark, d), wide)
+    return m, wide
+
+
+def state_offsets(spark, d):
+    m, wide = state_model(spark, d)
+    return _out(m, m.context_offsets(freq(spark, d), wide), "offset", ["context", "state"]).withColumn("state", F.col("state").cast("long"))
+
+
+def state_likelihood(spark, d):
+    m, wide = state_model(spark, d)
+    seen = m.observed(observations(spark, d), freq(spark, d), wide)
+    return _out(m, seen.withColumn("like", F.transform("like", lambda x: F.ln(x))), "like", ["sample", *tp.CELL])
+
+
+def unstranded_state_statistics(spark, d):
+    m, wide = state_model(spark, d, False)
+    seen = m.observed(observations(spark, d), freq(spark, d), wide)
+    return _out(m, m.context_stats(m.posteriors(seen, m.estep(seen, rounds=1))), "value", ["context", "state"]).withColumn("state", F.col("state").cast("long"))
+
+
 def topography_model(spark, d):
     """Trained with the production defaults; no SQL, tests recover a simulated model."""
     m = tp.fit(observations(spark, d), freq(spark, d), loci(spark, d), ["f", "g"], 3, seed=2)
     return m.spectra(spark)
 
 
-_ALL = (topography_normalizers, context_only_normalizers, exposure_offsets_context, exposure_offsets_locus, observation_likelihood, estep_contributions, component_posteriors, context_statistics, locus_statistics, marginal_prediction, component_distributions, component_locus_rates, shap_values, component_spectra, deviance_score, mixture_estep, topography_model)
+_ALL = (topography_normalizers, context_only_normalizers, exposure_offsets_context, exposure_offsets_locus, observation_likelihood, estep_contributions, component_posteriors, context_statistics, locus_statistics, marginal_prediction, component_distributions, component_locus_rates, shap_values, component_spectra, deviance_score, mixture_estep, state_offsets, state_likelihood, unstranded_state_statistics, topography_model)
 QUERIES = {f.__name__: f for f in _ALL}
 
 
@@ -189,7 +221,29 @@ def _mix_round(r: int) -> str:
     return f"{s}, {e}, {t}, m{r} AS (SELECT sample, source, component, sum(e * l * weight / total) AS n FROM ml JOIN f{r} USING (sample, source, component) JOIN u{r} USING ({_CELLS}) GROUP BY ALL)"
 
 
+# states: strand and arm of a locus, features strand:-1, strand:1, arm:p, arm:q in this order
+_STATES = f"""{_BASE}, fe(j, name) AS (VALUES (0, 'strand:-1'), (1, 'strand:1'), (2, 'arm:p'), (3, 'arm:q')),
+ck(component, k) AS (VALUES ('c0', 0), ('c1', 1), ('c2', 2)),
+cs AS (SELECT fr.locus, configuration, context, cx.i AS i, freq, exposure, CASE WHEN configuration = 1 THEN 1 - fr.locus % 3 ELSE fr.locus % 3 - 1 END AS strand, CASE fr.locus % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS arm FROM fr JOIN lo USING (locus) JOIN cx USING (context)),
+se AS (SELECT cs.locus, configuration, context, component, (strand + 1) * 3 + arm AS state, ra.theta, freq * cs.exposure AS base, ra.effect
+    + CASE strand WHEN -1 THEN 0.1 * (k % 3) + 0.2 * (CASE WHEN (k + 2 * i) % 3 = 0 THEN 1 ELSE 0 END) WHEN 1 THEN 0.1 * ((k + 1) % 3) + 0.2 * (CASE WHEN (k + 2 * i + 1) % 3 = 0 THEN 1 ELSE 0 END) ELSE 0 END
+    + CASE arm WHEN 1 THEN 0.1 * ((k + 2) % 3) + 0.2 * (CASE WHEN (k + 2 * i + 2) % 3 = 0 THEN 1 ELSE 0 END) WHEN 2 THEN 0.1 * ((k + 3) % 3) + 0.2 * (CASE WHEN (k + 2 * i + 3) % 3 = 0 THEN 1 ELSE 0 END) ELSE 0 END AS full_effect
+    FROM cs JOIN ra USING (locus, configuration, context, freq) JOIN ck USING (component))"""
+
+
 ORACLE = {
+    "state_offsets": f"{_STATES} SELECT context, state::BIGINT AS state, component, round(sum(base * exp(theta)), 9) AS value FROM se GROUP BY ALL",
+    "state_likelihood": f"""{_STATES}, sz AS (SELECT component, ln(sum(base * exp(theta + full_effect))) AS z FROM se GROUP BY ALL)
+SELECT sample, locus, configuration, context, component, round(ln(base) + theta + full_effect - z, 9) AS value FROM ob JOIN se USING (locus, configuration, context) JOIN sz USING (component)""",
+    "unstranded_state_statistics": f"""{_STATES}, su AS (SELECT locus, context, component, state, theta, full_effect, sum(base) OVER (PARTITION BY locus, context, component) AS base, configuration FROM se QUALIFY configuration = 0),
+sz AS (SELECT component, ln(sum(base * exp(theta + full_effect))) AS z FROM su GROUP BY ALL),
+so AS (SELECT sample, locus, context, sum(weight) AS weight FROM ob GROUP BY ALL),
+sl AS (SELECT so.*, component, state, exp(ln(base) + theta + full_effect - z) AS l FROM so JOIN su USING (locus, context) JOIN sz USING (component)),
+s0 AS (SELECT sample, component, sum(weight) / 3 AS n FROM sl GROUP BY ALL), s1 AS (SELECT sample, component, exp({_digamma('(n + a)')}) AS e FROM s0 JOIN co USING (component)),
+s2 AS (SELECT *, e * l AS p, sum(e * l) OVER (PARTITION BY sample, locus, context) AS t FROM sl JOIN s1 USING (sample, component)),
+s3 AS (SELECT sample, component, sum(p * weight / t) AS n FROM s2 GROUP BY ALL), s4 AS (SELECT sample, component, exp({_digamma('(n + a)')}) AS e FROM s3 JOIN co USING (component)),
+s5 AS (SELECT sl.*, e * l AS p, sum(e * l) OVER (PARTITION BY sample, locus, context) AS t FROM sl JOIN s4 USING (sample, component))
+SELECT context, state::BIGINT AS state, component, round(sum(p * weight / t), 9) AS value FROM s5 GROUP BY ALL""",
     "topography_normalizers": f"{_BASE} SELECT component, round(z, 9) AS value FROM nz",
     "context_only_normalizers": f"{_BASE} SELECT component, round(ln(sum(freq * exposure * exp(effect))), 9) AS value FROM ra GROUP BY component",
     "exposure_offsets_context": f"{_BASE} SELECT context, component, round(sum(freq * exposure * exp(theta)), 9) AS value FROM ra GROUP BY ALL",

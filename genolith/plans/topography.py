@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genolith.plans import states as st
 from genolith.plans import trees
 from genolith.plans.model import BoostedModel, alpha_from_target, convex_update, init_from_signatures, learning_rate, should_stop
 from genolith.plans.trees import TreeRate
@@ -73,15 +74,49 @@ class Topography:
     alpha: np.ndarray
     log_norm: np.ndarray
     scores: list[float] = field(default_factory=list)
+    #: Genome states with their effects (K x features, K x contexts x features), and whether the two configurations of a locus are told apart.
+    states: st.States | None = None
+    shared: np.ndarray | None = None
+    interactions: np.ndarray | None = None
+    stranded: bool = True
 
     @property
     def k(self) -> int:
         return len(self.components)
 
+    @property
+    def _strata(self) -> list[str]:
+        """Columns that context effects depend on."""
+        return ["context", "state"] if self.states else ["context"]
+
     def _effect(self) -> Column:
-        """Context effects of a cell: a literal map from context to an array of K numbers."""
-        pairs = [x for j, c in enumerate(self.contexts) for x in (F.lit(c), F.array(*[F.lit(float(v)) for v in self.effects[:, j]]))]
-        return F.try_element_at(F.create_map(*pairs), F.col("context"))
+        """Context effects of a cell: a literal map from context to an array of K numbers, or to one such array for each state."""
+        if not self.states:
+            pairs = [x for j, c in enumerate(self.contexts) for x in (F.lit(c), F.array(*[F.lit(float(v)) for v in self.effects[:, j]]))]
+            return F.try_element_at(F.create_map(*pairs), F.col("context"))
+        table = self.state_effects()
+        pairs = [x for j, c in enumerate(self.contexts) for x in (F.lit(c), F.array(*[F.array(*[F.lit(float(v)) for v in table[:, j, z]]) for z in range(table.shape[2])]))]
+        return F.get(F.try_element_at(F.create_map(*pairs), F.col("context")), F.col("state"))
+
+    def state_effects(self) -> np.ndarray:
+        """K x contexts x states."""
+        design = self.states.design()
+        return np.array([st.log_effects(self.effects[i], self.shared[i], self.interactions[i], design) for i in range(self.k)])
+
+    def state_summary(self, spark: SparkSession) -> DataFrame:
+        """(component, context, state, value): log effects of the baseline and of each state feature by itself."""
+        names = self.states.names() if self.states else []
+        none = np.zeros((self.k, len(self.contexts), 0))
+        shared, interactions = (self.shared, self.interactions) if self.states else (none[:, 0], none)
+        rows = [(n, *r) for i, n in enumerate(self.components) for r in st.state_summary(self.contexts, self.effects[i], shared[i], interactions[i], names)]
+        return spark.createDataFrame(rows, "component string, context string, state string, value double")
+
+    def fold(self, rows: DataFrame, value: str) -> DataFrame:
+        """Rows of freq or observations as the model sees them: an unstranded model adds up the configurations of a locus."""
+        if self.stranded:
+            return rows
+        keys = [c for c in rows.columns if c not in (value, "configuration")]
+        return rows.groupBy(*keys).agg(F.sum(value).alias(value)).withColumn("configuration", F.lit(0))
 
     def locus_rates(self, loci: DataFrame) -> DataFrame:
         """(locus, exposure, theta ARRAY[K]) from loci (locus, exposure, features)."""
@@ -89,33 +124,41 @@ class Topography:
             theta = trees.log_rates(self.rates)
         else:
             theta = F.array(*([m.log_rate() for m in self.rates] or [F.lit(0.0)] * self.k))
-        return loci.select("locus", F.col("exposure").cast("double").alias("exposure"), theta.alias("theta"))
+        seen = [self.states.index().alias("plus"), self.states.index(minus=True).alias("minus")] if self.states else []
+        return loci.select("locus", F.col("exposure").cast("double").alias("exposure"), theta.alias("theta"), *seen)
+
+    def _placed(self, freq: DataFrame, loci: DataFrame) -> DataFrame:
+        """Rows of freq with a rate, their locus' exposure and theta, and the state seen from the configuration."""
+        rows = self.fold(freq, "freq").where("freq > 0").join(self.locus_rates(loci).where("exposure > 0"), "locus")
+        return rows.withColumn("state", F.when(F.col("configuration") == 1, F.col("minus")).otherwise(F.col("plus"))) if self.states else rows
 
     def cells(self, freq: DataFrame, loci: DataFrame) -> DataFrame:
         """Unnormalised rates of all cells of freq (locus, configuration, context, freq): rate ARRAY[K]. Cells without frequency or exposure have none."""
-        rows = freq.where("freq > 0").join(self.locus_rates(loci).where("exposure > 0"), "locus").withColumn("effect", self._effect())
+        rows = self._placed(freq, loci).withColumn("effect", self._effect())
         base = F.col("freq").cast("double") * F.col("exposure")
-        return rows.select(*CELL, F.zip_with("effect", "theta", lambda a, b: base * F.exp(a + b)).alias("rate"))
+        return rows.select(*CELL, *self._strata[1:], F.zip_with("effect", "theta", lambda a, b: base * F.exp(a + b)).alias("rate"))
 
     def normalizers(self, freq: DataFrame, loci: DataFrame) -> np.ndarray:
         """log of each component's sum over all cells."""
         return np.log(np.array(self.cells(freq, loci).agg(_sums(F.col("rate"), self.k)).first()[0], float))
 
     def context_offsets(self, freq: DataFrame, loci: DataFrame) -> DataFrame:
-        """(context, offset ARRAY[K]): exposure-weighted rates without the context effect, summed over loci."""
-        rows = freq.where("freq > 0").join(self.locus_rates(loci).where("exposure > 0"), "locus")
-        return rows.groupBy("context").agg(_sums(F.transform("theta", lambda t: F.col("freq") * F.col("exposure") * F.exp(t)), self.k).alias("offset"))
+        """(context, state if there are any, offset ARRAY[K]): exposure-weighted rates without the context effect, summed over loci."""
+        return self._placed(freq, loci).groupBy(*self._strata).agg(_sums(F.transform("theta", lambda t: F.col("freq") * F.col("exposure") * F.exp(t)), self.k).alias("offset"))
 
     def locus_offsets(self, freq: DataFrame, loci: DataFrame) -> DataFrame:
         """(locus, offset ARRAY[K]): exposure-weighted rates without the locus effect, summed over contexts."""
-        rows = freq.where("freq > 0").withColumn("effect", self._effect()).groupBy("locus").agg(_sums(F.transform("effect", lambda e: F.col("freq") * F.exp(e)), self.k).alias("o"))
+        if self.states:
+            rows = self._placed(freq, loci).withColumn("effect", self._effect()).groupBy("locus", "exposure").agg(_sums(F.transform("effect", lambda e: F.col("freq") * F.exp(e)), self.k).alias("o"))
+            return rows.select("locus", F.transform("o", lambda o: o * F.col("exposure")).alias("offset"))
+        rows = self.fold(freq, "freq").where("freq > 0").withColumn("effect", self._effect()).groupBy("locus").agg(_sums(F.transform("effect", lambda e: F.col("freq") * F.exp(e)), self.k).alias("o"))
         return rows.join(loci.where("exposure > 0").select("locus", "exposure"), "locus").select("locus", F.transform("o", lambda o: o * F.col("exposure")).alias("offset"))
 
     def observed(self, observations: DataFrame, freq: DataFrame, loci: DataFrame) -> DataFrame:
         """observations that fall into a cell with a rate, with like ARRAY[K]: each component's probability of the cell."""
         norm = F.array(*[F.lit(float(z)) for z in self.log_norm])
         rates = self.cells(freq, loci).withColumn("like", F.zip_with("rate", norm, lambda r, z: F.exp(F.ln(r) - z))).drop("rate")
-        return observations.join(rates, list(CELL))
+        return self.fold(observations, "weight").join(rates, list(CELL))
 
     def start(self, observed: DataFrame) -> DataFrame:
         """(sample, nk): the weight of a sample spread evenly over the components."""
@@ -141,7 +184,7 @@ class Topography:
         return self._weighted(observed, nk)
 
     def context_stats(self, phi: DataFrame) -> DataFrame:
-        return phi.groupBy("context").agg(_sums(F.col("phi"), self.k).alias("value"))
+        return phi.groupBy(*self._strata).agg(_sums(F.col("phi"), self.k).alias("value"))
 
     def locus_stats(self, phi: DataFrame) -> DataFrame:
         return phi.groupBy("locus").agg(_sums(F.col("phi"), self.k).alias("value"))
@@ -158,7 +201,7 @@ class Topography:
 
     def deviance(self, observed: DataFrame, nk: DataFrame, freq: DataFrame, loci: DataFrame) -> float:
         """Explained deviance against a model whose cells have the rate exposure * freq alone."""
-        base = freq.where("freq > 0").join(loci.select("locus", "exposure").where("exposure > 0"), "locus").select(*CELL, (F.col("freq") * F.col("exposure")).cast("double").alias("base"))
+        base = self.fold(freq, "freq").where("freq > 0").join(loci.select("locus", "exposure").where("exposure > 0"), "locus").select(*CELL, (F.col("freq") * F.col("exposure")).cast("double").alias("base"))
         total = base.agg(F.sum("base")).first()[0]
         prior = F.array(*[F.lit(float(a)) for a in self.alpha])
         share = nk.withColumn("v", F.zip_with("nk", prior, lambda n, a: n + a)).select("sample", F.transform("v", lambda x: x / _total(F.col("v"))).alias("share"))
@@ -172,7 +215,7 @@ class Topography:
     # annotations
     def component_distributions(self, freq: DataFrame, loci: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Each component's expected share of every cell's rate per base, relative to its largest: (locus, configuration, context, component, value); and the same summed over a locus per unit of length."""
-        shares = self.cells(freq, loci).join(freq, list(CELL)).withColumn("per", F.transform("rate", lambda r: r / F.col("freq")))
+        shares = self.cells(freq, loci).join(self.fold(freq, "freq"), list(CELL)).withColumn("per", F.transform("rate", lambda r: r / F.col("freq")))
         most = shares.agg(F.array(*[F.max(F.get("per", i)) for i in range(self.k)])).first()[0]
         scale = F.array(*[F.lit(float(m)) for m in most])
         by_cell = self.named(shares.withColumn("x", F.zip_with("per", scale, lambda a, b: a / b)), "x", CELL)
@@ -278,13 +321,14 @@ def newton_rates(stats: DataFrame, offsets: DataFrame, loci: DataFrame, features
 def fit(
     observations: DataFrame, freq: DataFrame, loci: DataFrame, features: Sequence[str], k: int, epochs: int = 30, locus_model: str = "linear", subsample: float = 1.0, rounds: int = 5, seed: int = 0,
     fixed: dict[str, dict[str, float]] | None = None, test: DataFrame | None = None, patience: int = 5, prior: float = 1.0, tau: float = 1.0, kappa: float = 0.5, callback: Callable[[int, float], None] | None = None,
-    tree_settings: trees.Settings | None = None,
+    tree_settings: trees.Settings | None = None, states: st.States | None = None, stranded: bool = True, alpha: float = 1e-4, l1: float = 0.5,
 ) -> Topography:
     """Train on observations (sample, locus, configuration, context, weight), freq (locus, configuration, context, freq) and loci (locus, exposure, features).
 
     locus_model: linear, boosted (trees, grown by tree_settings) or none (context-only). subsample: the share of loci that an epoch uses, drawn by a hash of locus and epoch; statistics are scaled up and
     parameters then move by the learning rate (tau + epoch)**-kappa. fixed: spectra by component name that stay as they are. Ends early when the score on `test` (else on the
-    training data) hasn't risen for `patience` epochs; callback(epoch, score) follows each epoch.
+    training data) hasn't risen for `patience` epochs; callback(epoch, score) follows each epoch. states: strand and label columns of loci whose effects on the spectra are
+    learned, with an elastic net of strength alpha and L1 share l1; stranded: whether the configurations of a locus have spectra of their own states, or are added up.
     """
     contexts = sorted(r[0] for r in freq.select("context").distinct().collect())  # the context vocabulary is fixed and small
     fixed = fixed or {}
@@ -294,7 +338,10 @@ def fit(
         effects[: len(fixed)] = init_from_signatures(np.array([[v.get(c, 0.0) for c in contexts] for v in fixed.values()]))
     rates: list = [] if locus_model == "none" else [LinearRate(dict.fromkeys(features, 0.0)) for _ in names] if locus_model == "linear" else [TreeRate(list(features)) for _ in names]
     cuts = trees.quantile_cuts(loci, features) if locus_model == "boosted" else []
-    model = Topography(names, contexts, effects, rates, np.ones(len(names)), np.zeros(len(names)))
+    model = Topography(names, contexts, effects, rates, np.ones(len(names)), np.zeros(len(names)), states=states, stranded=stranded)
+    if states:
+        r = len(states.names())
+        model.shared, model.interactions = np.zeros((len(names), r)), np.zeros((len(names), len(contexts), r))
     observations = observations.groupBy("sample", *CELL).agg(F.sum("weight").cast("double").alias("weight"))
     nk = None
     for epoch in range(epochs):
@@ -307,15 +354,17 @@ def fit(
         nk = _cut(model.estep(seen, known, rounds))
         phi = model.posteriors(seen, nk)
         rate = 1.0 if subsample >= 1 else learning_rate(epoch, tau, kappa)
-        # context effects: closed-form Poisson estimate given the locus rates, smoothed towards an even spectrum
-        got = {r.context: r.value for r in model.context_stats(phi).collect()}
-        offset = {r.context: r.offset for r in model.context_offsets(freq, loci).collect()}
-        s = np.array([got.get(c, [0.0] * len(names)) for c in contexts]).T + prior / len(contexts)
-        o = np.array([offset.get(c, [0.0] * len(names)) for c in contexts]).T
-        new = np.log(s / np.maximum(o, 1e-300) + 1e-12)
-        new -= new.mean(axis=1, keepdims=True)
-        new[: len(fixed)] = model.effects[: len(fixed)]
-        model.effects = convex_update(model.effects, new, rate)
+        if states:
+            _state_step(model, phi, model.context_offsets(freq, loci), len(fixed), rate, alpha, l1, prior)
+        else:  # closed-form Poisson estimate given the locus rates, smoothed towards an even spectrum
+            got = {r.context: r.value for r in model.context_stats(phi).collect()}
+            offset = {r.context: r.offset for r in model.context_offsets(freq, loci).collect()}
+            s = np.array([got.get(c, [0.0] * len(names)) for c in contexts]).T + prior / len(contexts)
+            o = np.array([offset.get(c, [0.0] * len(names)) for c in contexts]).T
+            new = np.log(s / np.maximum(o, 1e-300) + 1e-12)
+            new -= new.mean(axis=1, keepdims=True)
+            new[: len(fixed)] = model.effects[: len(fixed)]
+            model.effects = convex_update(model.effects, new, rate)
         if rates:
             stats, offsets = model.locus_stats(phi), model.locus_offsets(freq, part)
             if locus_model == "linear":
@@ -337,6 +386,25 @@ def fit(
     return model
 
 
+def _state_step(model: Topography, phi: DataFrame, offsets: DataFrame, fixed: int, rate: float, alpha: float, l1: float, prior: float) -> None:
+    """Move the context and state effects towards the elastic-net regression of the sums by (context, state); contexts x states x K numbers reach the driver."""
+    design, c = model.states.design(), len(model.contexts)
+    place = {x: i for i, x in enumerate(model.contexts)}
+    tables = np.zeros((2, model.k, c, len(design)))
+    for z, (rows, column) in enumerate(((model.context_stats(phi), "value"), (offsets, "offset"))):
+        for r in rows.collect():
+            if r.state is not None:
+                tables[z, :, place[r.context], r.state] = r[column]
+    for i in range(model.k):
+        offset = tables[1, i]
+        share = offset / np.maximum(offset.sum(axis=1, keepdims=True), 1e-300)
+        seen = tables[0, i] + prior / c * share  # smoothed towards an even spectrum, evenly over the states
+        start = model.effects[i], model.shared[i], model.interactions[i]
+        own, shared, interactions = st.elastic_net(seen, offset, design, start, alpha, l1, keep_own=i < fixed)
+        own = own - own.mean() if i >= fixed else model.effects[i]
+        model.effects[i], model.shared[i], model.interactions[i] = (convex_update(a, b, rate) for a, b in zip(start, (own, shared, interactions), strict=True))
+
+
 def more_trees(old: Sequence[TreeRate], stats: DataFrame, offsets: DataFrame, loci: DataFrame, features: Sequence[str], cuts: Sequence[Sequence[float]], settings: trees.Settings | None, rate: float, valid: float = 0.2) -> list[TreeRate]:
     """Every component's trees and some more, fitted to what its locus effect leaves over and shrunk by the learning rate.
 
