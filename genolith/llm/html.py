@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +36,8 @@ JUNK_NAMES = set("nav navbar navigation menu header masthead footer sidebar asid
 NEUTRAL_NAMES = set("a area article bar block body bottom box button buttons center col column container content element entry fixed floating form full global group head holder id in inline inner item items layer left link links list main mobile module outer page panel post primary right row secondary section side site slot small sticky strip text title top unit wrap wrapper zone".split())
 KEEP_NAMES = set("content main article post body text story entry page".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+#: Blocks that are lines of a container rather than containers.
+_LINES = HEADINGS | {"p", "li", "pre", "blockquote", "td", "th", "tr", "dt", "dd"}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}}
 
 
@@ -44,12 +48,20 @@ class Page:
         self.parent, self.tag, self.name, self.junk = [-1], [""], [""], [False]
         self.blocks: list[tuple[int, str, float]] = []  # element, text, share of it outside links
         self._stack, self._buffer, self._linked, self._link = [0], [], 0, 0
-        at = 0
+        self._open_at: dict[str, list[int]] = defaultdict(list)  # where on the stack each tag is open, and all blocks
+        self._open_blocks: list[int] = []
+        self._holder, self._open_junk = [0], 0
+        at, last = 0, source.rfind(">") + 1  # no tag ends behind the last bracket
+        unclosed: set[str] = set()
         while True:
-            m = _TAG.search(source, at)
-            self._add(source[at : m.start()] if m else source[at:])
+            m = _TAG.search(source, at, last)
             if not m:
+                end = source.find("<!--", max(at, last))
+                self._add(source[at : end if end >= 0 else len(source)])
                 break
+            self._add(source[at : m.start()])
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break  # a comment that doesn't end
             at = m.end()
             name = (m[2] or m[5] or "").lower()
             if not name:
@@ -57,7 +69,9 @@ class Page:
             if m[1] or m[4]:
                 self._close(name)
             elif name in RAW:
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                if not close:
+                    unclosed.add(name)  # nor is there an end tag further on
                 at = close.end() if close else at if name in {"svg", "math"} else len(source)
             else:
                 self._open(name, m[3] or m[6] or "")
@@ -78,24 +92,25 @@ class Page:
             self._buffer, self._linked = [], 0
 
     def _pop_to(self, depth: int) -> None:
-        for e in self._stack[depth:]:
-            self._link -= self.tag[e] == "a"
+        for e in reversed(self._stack[depth:]):
+            tag = self.tag[e]
+            self._link -= tag == "a"
+            self._open_junk -= self.junk[e]
+            self._open_at[tag].pop()
+            if tag in BLOCK:
+                self._open_blocks.pop()
         del self._stack[depth:]
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag in BLOCK:
             self._flush()
-            tags = [self.tag[e] for e in self._stack]
-            if "p" in tags:
-                p = len(tags) - 1 - tags[::-1].index("p")
-                if not any(t in BLOCK for t in tags[p + 1 :]):
-                    self._pop_to(p)
-                    del tags[p:]
-            for k in range(len(tags) - 1, 0, -1):
-                if tags[k] in _SCOPE.get(tag, {"table"}):
-                    break
-                if tags[k] in _CLOSES.get(tag, ()):
-                    self._pop_to(k)
+            if self._open_blocks and self.tag[self._stack[self._open_blocks[-1]]] == "p":
+                self._pop_to(self._open_blocks[-1])
+            if tag in _CLOSES:
+                scope = max((self._open_at[t][-1] for t in _SCOPE.get(tag, {"table"}) if self._open_at[t]), default=0)
+                over = [x[i] for t in _CLOSES[tag] if (i := bisect_right(x := self._open_at[t], scope)) < len(x)]
+                if over:
+                    self._pop_to(min(over))
         elif tag in VOID:
             self._buffer.append(" " if tag == "br" else "")
         if tag in VOID:
@@ -112,25 +127,26 @@ class Page:
         junk = self.junk[up] or tag in JUNK_TAGS or role in {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog"}
         if not junk and tag not in {"html", "body", "main", "article"} and any(n & JUNK_NAMES and n <= JUNK_NAMES | NEUTRAL_NAMES for n in names) and not any(n and n <= KEEP_NAMES for n in names):
             junk = True
-        if junk and tag in HEADINGS and self.tag[up] == "header" and any(self.tag[e] in {"article", "main"} for e in self._stack):
-            junk = any(self.junk[e] for e in self._stack[:-1])  # the headline of the article itself
+        if junk and tag in HEADINGS and self.tag[up] == "header" and (self._open_at["article"] or self._open_at["main"]):
+            junk = self._open_junk > self.junk[up]  # the headline of the article itself
         self.parent.append(up)
         self.tag.append(tag)
         self.name.append(tag + "".join("." + g for g in sorted({re.sub(r"\d+", "", w) for w in words})[:3]))
         self.junk.append(junk)
+        self._open_at[tag].append(len(self._stack))
+        if tag in BLOCK:
+            self._open_blocks.append(len(self._stack))
+        self._open_junk += junk
+        self._holder.append(self._holder[up] if tag not in BLOCK or tag in _LINES else len(self.tag) - 1)
         self._stack.append(len(self.tag) - 1)
         self._link += tag == "a"
 
     def _close(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
-        for k in range(len(self._stack) - 1, 0, -1):
-            here = self.tag[self._stack[k]]
-            if here == tag:
-                self._pop_to(k)
-                return
-            if tag not in BLOCK and here in BLOCK:
-                return  # an inline end tag doesn't reach out of its block
+        at = self._open_at[tag]
+        if at and (tag in BLOCK or not self._open_blocks or at[-1] > self._open_blocks[-1]):  # an inline end tag doesn't reach out of its block
+            self._pop_to(at[-1])
 
     def path(self, element: int) -> str:
         names = []
@@ -145,9 +161,7 @@ class Page:
         for e, text, free in self.blocks:
             if self.junk[e]:
                 continue
-            worth, holder = len(text) * free, e
-            while holder > 0 and (self.tag[holder] not in BLOCK or self.tag[holder] in HEADINGS | {"p", "li", "pre", "blockquote", "td", "th", "tr", "dt", "dd"}):
-                holder = self.parent[holder]
+            worth, holder = len(text) * free, self._holder[e]
             while holder >= 0 and worth >= 1:
                 score[holder] = score.get(holder, 0) + worth * (1.5 if self.tag[holder] in {"article", "main"} else 1)
                 holder, worth = self.parent[holder], worth / 2
@@ -164,13 +178,17 @@ class Page:
         for e in chain:
             if self.tag[e] in {"article", "main"}:
                 return e
-        level = {e: k for k, e in enumerate(chain)}
+        level = [0] * len(self.tag)
+        for k, e in enumerate(chain):
+            level[e] = k
+        known = set(chain)
+        for e in range(1, len(level)):  # parents come first
+            if e not in known:
+                level[e] = level[self.parent[e]]
         text, junk = [0.0] * len(chain), [0.0] * len(chain)  # by the first ancestor that holds them; links count as boilerplate
         for e, words, free in self.blocks:
-            free, at = 0.0 if self.junk[e] else free, e
-            while at not in level:
-                at = self.parent[at]
-            if k := level[at]:
+            free = 0.0 if self.junk[e] else free
+            if k := level[e]:
                 text[k] += len(words) * free
                 junk[k] += len(words) * (1 - free)
         out, had, added, spoilt = element, 0.0, 0.0, 0.0
@@ -183,10 +201,12 @@ class Page:
     def text(self, path: str | None) -> str:
         """Blocks inside the elements at path, or inside the page's own best container."""
         inside = [False] * len(self.tag)
-        names = [""] * len(self.tag)
+        met = [0] + [-1] * (len(self.tag) - 1)  # how much of path the elements down to this one spell, if they spell its beginning
         for e in range(1, len(self.tag)):  # parents come first
-            names[e] = f"{names[self.parent[e]]}>{self.name[e]}" if self.parent[e] else self.name[e]
-            inside[e] = inside[self.parent[e]] or (path is not None and names[e] == path)
+            up = self.parent[e]
+            if path is not None and met[up] >= 0 and path.startswith(part := f">{self.name[e]}" if up else self.name[e], met[up]):
+                met[e] = met[up] + len(part)
+            inside[e] = inside[up] or (path is not None and met[e] == len(path))
         if not any(inside[e] and not self.junk[e] for e, _, _ in self.blocks):
             root = self.best()[0]
             for e in range(len(self.tag)):
