@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Bytes hashed at a time; some ten arrays of 8 bytes for each live meanwhile.
 CHUNK = 1 << 18
 _BLANK = np.zeros(256, bool)
@@ -15,7 +14,6 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULT = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,16 +23,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))):
-            f = np.full(n, b, np.uint64)
-            f[0] = 1
-            _powers[k] = np.multiply.accumulate(f)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets of rows) of runs of rows of about `limit` bytes; a longer text stands alone."""
     arr = texts.cast(pa.large_binary())
@@ -80,10 +68,11 @@ def _word_hashes(data: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.nda
     start[1:] &= ~inside[:-1] | cut[1:-1]
     end[:-1] &= ~inside[1:] | cut[1:-1]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-    up, down = _power(len(data) + 1)
+    sizes = np.diff(np.concatenate(([0], start, [len(data)])))
+    place = np.arange(len(data), dtype=np.uint64) - np.repeat(np.concatenate(([0], start)), sizes).astype(np.uint64)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    np.cumsum(mix(place << np.uint64(8) | data), out=total[1:])  # every letter is mixed with its place before the sum, so no choice of letters makes sums meet
+    h = mix(total[end] - total[start] + (end - start).astype(np.uint64))
     return h, np.searchsorted(start, off)
 
 

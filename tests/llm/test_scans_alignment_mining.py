@@ -227,3 +227,28 @@ def test_hard_negatives_of_nothing(spark):
     assert hard_negatives(empty, F.col("vec_id") % 2 == 0).count() == 0
     alone = spark.createDataFrame([(0, 1, [3])], "vec_id long, label int, vec array<long>")
     assert hard_negatives(alone, F.col("vec_id") % 2 == 0).count() == 0
+
+
+# --- mended faults of earlier operators
+
+
+def test_chosen_words_do_not_collide():
+    """Words whose letters follow the parity of their place's bits meet in any polynomial modulo a power of two."""
+    from genolith.llm.shingles import shingle_sets
+
+    for n in (1024, 2048, 4096):
+        word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        one, two, same = shingle_sets(pa.array([word, other, f" {word}\n"]))
+        assert one != two and one == same
+
+
+@pytest.mark.parametrize("markup", ["<div" * 250_000, "<div>x" * 100_000, "<p>a <b " * 100_000, "<b>" * 100_000 + "<hr>" * 100_000, "<svg>" * 100_000, "<a '" * 100_000 + ">", "<li><b>" * 50_000 + "<li>x" * 50_000, "<!--" * 200_000, "<h1>x<header>" * 50_000])
+def test_broken_and_deep_markup_takes_linear_time(markup):
+    from genolith.llm.html import Page
+
+    start = time.perf_counter()
+    page = Page(markup)
+    e, _ = page.best()
+    page.text(page.path(e) if e >= 0 else None)
+    assert time.perf_counter() - start < 10  # the quadratic parser took hours
