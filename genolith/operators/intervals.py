@@ -78,13 +78,34 @@ def weighted_mean(a: DataFrame, b: DataFrame, key: Sequence[str], value: str = "
     return a.join(got, list(key), "left")
 
 
+#: Bases of a range: what runs along a chrom is summed up by range first, so a chrom is as many tasks as it has ranges.
+RANGE = 1 << 20
+
+
+def running(df: DataFrame, by: Sequence[str], pos: str, order: Sequence[Column], value: str | Column, name: str, kind: str = "max", inclusive: bool = False, backwards: bool = False, width: int = RANGE) -> DataFrame:
+    """Running max, min or sum of value over the rows of a group that come before a row (inclusive: and the row itself) along pos.
+
+    order: begins with pos, descending if backwards. Groups are cut into ranges of pos; a range's own result is a row, and what earlier ranges give
+    is carried in by a join, so no window holds more than a range. Rows without a group or a position have what their range gives.
+    """
+    made = {"max": F.max, "min": F.min, "sum": F.sum}[kind]
+    at, own, carry, v = _names(df, "range_", "own_", "carry_", "value_")
+    rows = df.withColumn(at, F.floor(F.col(pos) / width)).withColumn(v, F.col(value) if isinstance(value, str) else value)
+    earlier = Window.partitionBy(*by).orderBy(F.desc(at) if backwards else F.asc(at)).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = rows.groupBy(*by, at).agg(made(v).alias(own)).select(*by, at, made(own).over(earlier).alias(carry))
+    here = made(v).over(Window.partitionBy(*by, at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    joined = rows.join(before, [*by, at], "left")
+    total = F.coalesce(here, F.lit(0)) + F.coalesce(carry, F.lit(0)) if kind == "sum" else (F.greatest if kind == "max" else F.least)(here, F.col(carry))
+    return joined.withColumn(name, total).drop(at, carry, v)
+
+
 def islands(df: DataFrame, by: Sequence[str] = ("chrom",), gap: int = 0, order: Sequence[str] = ("start", "end"), name: str = "island") -> DataFrame:
-    """Number runs of intervals that overlap, abut or lie within gap of the running end; gap -1 keeps abutting ones apart."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh, = _names(df, "fresh")
-    flagged = df.withColumn(fresh, F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0))
-    return flagged.withColumn(name, F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop(fresh)
+    """Number runs of intervals that overlap, abut or lie within gap of the running end; gap -1 keeps abutting ones apart. order begins with start."""
+    along = [F.col(c) for c in order]
+    reach, fresh = _names(df, "reach_", "fresh_")
+    far = running(df, by, "start", along, "end", reach)
+    flagged = far.withColumn(fresh, F.when(F.col(reach).isNull() | (F.col("start") > F.col(reach) + gap), 1).otherwise(0))
+    return running(flagged, by, "start", along, fresh, name, "sum", inclusive=True).drop(reach, fresh)
 
 
 def merge(df: DataFrame, by: Sequence[str] = ("chrom",), gap: int = 0, aggs: dict[str, Column] | None = None) -> DataFrame:
@@ -130,8 +151,8 @@ def breakpoints(*tables: DataFrame) -> DataFrame:
     for t in tables:
         p = t.select("chrom", F.explode(F.array("start", "end")).alias("pos"))
         points = p if points is None else points.unionByName(p)
-    w = Window.partitionBy("chrom").orderBy("pos")
-    return points.distinct().select("chrom", F.col("pos").alias("start"), F.lead("pos").over(w).alias("end")).where("end is not null")
+    found = running(points.distinct(), ["chrom"], "pos", [F.desc("pos")], "pos", "end", "min", backwards=True)
+    return found.select("chrom", F.col("pos").alias("start"), "end").where("end is not null")
 
 
 def endpoints(tracks: DataFrame) -> DataFrame:
@@ -193,8 +214,8 @@ def slop(points: DataFrame, distance: int, pos: str = "pos") -> DataFrame:
 
 def nearest_neighbor(points: DataFrame, pos: str = "pos") -> DataFrame:
     """Distance to the nearest point at another position of the chrom (null if none) and that position; ties take the left one."""
-    w = Window.partitionBy("chrom").orderBy(pos)
-    places = points.select("chrom", pos).distinct().withColumns({"before": F.lag(pos).over(w), "after": F.lead(pos).over(w)})
+    places = running(points.select("chrom", pos).distinct(), ["chrom"], pos, [F.col(pos)], pos, "before")
+    places = running(places, ["chrom"], pos, [F.desc(pos)], pos, "after", "min", backwards=True)
     left, right = F.col(pos) - F.col("before"), F.col("after") - F.col(pos)
     take_left = F.col("before").isNotNull() & (F.col("after").isNull() | (left <= right))
     near = places.select("chrom", pos, F.when(take_left, left).otherwise(right).alias("distance"), F.when(take_left, F.col("before")).otherwise(F.col("after")).alias("neighbor"))
@@ -208,12 +229,12 @@ def nearest_directional(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataF
     """
     q = a.select(*key, *SPAN)
     ends = b.select("chrom", F.col("end").alias("at"), F.lit(0).alias("kind"), F.col("end").alias("seen"))
-    up = Window.partitionBy("chrom").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = q.select("*", F.col("start").alias("at"), F.lit(1).alias("kind")).unionByName(ends, allowMissingColumns=True).withColumn("prev", F.max("seen").over(up)).where("kind = 1")
+    both = q.select("*", F.col("start").alias("at"), F.lit(1).alias("kind")).unionByName(ends, allowMissingColumns=True)
+    before = running(both, ["chrom"], "at", [F.col("at"), F.col("kind")], "seen", "prev", inclusive=True).where("kind = 1")
     starts = b.select("chrom", F.col("start").alias("at"), F.lit(1).alias("kind"), F.col("start").alias("seen"))
-    down = Window.partitionBy("chrom").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a growing frame, so each row costs one step
     base = before.select(*key, *SPAN, "prev")
-    after = base.select("*", F.col("end").alias("at"), F.lit(0).alias("kind")).unionByName(starts, allowMissingColumns=True).withColumn("next", F.min("seen").over(down)).where("kind = 0")
+    both = base.select("*", F.col("end").alias("at"), F.lit(0).alias("kind")).unionByName(starts, allowMissingColumns=True)
+    after = running(both, ["chrom"], "at", [F.desc("at"), F.desc("kind")], "seen", "next", "min", inclusive=True, backwards=True).where("kind = 0")
     return after.select(*key, *SPAN, (F.col("start") - F.col("prev")).alias("upstream"), (F.col("next") - F.col("end")).alias("downstream"))
 
 
@@ -234,6 +255,20 @@ def band_rate(points: DataFrame, rates: DataFrame, key: Sequence[str], distance:
     return hits.join(F.broadcast(n)).select(*key, (F.col("rate") / F.col("width") * F.col("n")).alias("local_rate"))
 
 
+def tile_genes(genes: DataFrame, width: int = 2_000, overhang: int = 1, max_id: int = 100) -> DataFrame:
+    """(chrom, start, end, tile): genes (chrom, start, end, strand) cut into tiles from their 5' end, joined where tiles overlap; the least number stays.
+
+    Tile 0 begins at the 5' end; `overhang` tiles before it have negative numbers, and no gene has tiles beyond max_id. Tiles that only abut stay apart. Genes without a strand have no tiles.
+    """
+    ahead = overhang * width
+    n = F.least(F.ceil((F.col("end") - F.col("start") + ahead) / width).cast("long"), F.lit(max_id + overhang + 1))
+    rows = genes.where(F.col("strand").isin("+", "-")).select("chrom", "start", "end", "strand", n.alias("n")).where("n > 0")
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    at = F.greatest(F.lit(0), F.when(F.col("strand") == "+", F.col("start") - ahead + F.col("i") * width).otherwise(F.col("end") + ahead - F.col("i") * width))
+    tiles = rows.select("chrom", at.cast("long").alias("start"), (at + width).cast("long").alias("end"), (F.col("i") - overhang).alias("tile"))
+    return merge(tiles, gap=-1, aggs={"tile": F.min("tile")})
+
+
 def unstack(regions: DataFrame) -> DataFrame:
     """One row per block of each region, the other columns repeated."""
     rest = [c for c in regions.columns if c not in ("start", "end", "blocks")]

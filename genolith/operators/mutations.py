@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genolith.functions import sequence as sq
-from genolith.operators.intervals import band_rate, nearest_neighbor, overlap_filter, overlap_join
+from genolith.operators.intervals import band_rate, nearest_neighbor, overlap_filter, overlap_join, running
 
 MAX_GAP, ALPHA, REACH = 10_000, 0.005, 25_000
 
@@ -74,10 +74,11 @@ def cluster_mutations(rain: DataFrame, alpha: float = ALPHA, max_gap: int = MAX_
     ratio = -log10(distance / critical).
     """
     rows = rain.where("distance is not null and local_rate > 0").withColumn("critical", sq.exponential_quantile(alpha, F.col("local_rate")))
-    w = Window.partitionBy("chrom").orderBy("pos", "id")
-    gap, limit = F.col("pos") - F.lag("pos").over(w), F.least(F.lit(float(max_gap)), F.lag("critical").over(w))
+    along = [F.col("pos"), F.col("id")]
+    rows = running(rows, ["chrom"], "pos", along, F.struct("pos", "id", "critical"), "before_")
+    gap, limit = F.col("pos") - F.col("before_.pos"), F.least(F.lit(float(max_gap)), F.col("before_.critical"))
     rows = rows.withColumn("new_", F.when(gap.isNull() | (gap > limit), 1).otherwise(0))
-    rows = rows.withColumn("n_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = running(rows, ["chrom"], "pos", along, "new_", "n_", "sum", inclusive=True).drop("before_")
     rows = rows.withColumn("cluster", F.concat_ws(":", "chrom", "n_")).withColumn("ratio", -F.log10(F.col("distance") / F.col("critical")))
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
     return rows.join(sizes, "cluster").drop("new_", "n_")

@@ -163,6 +163,11 @@ def distance_features(spark, d):
     return iv.distance_features(a, b, ["id"]).select("id", F.round("progress", 9).alias("progress"), F.col("total").cast("long").alias("total"))
 
 
+def gene_tiles(spark, d):
+    genes = view(spark, d).withColumn("strand", F.when(F.col("id") % 5 == 0, "-").when(F.col("id") % 7 == 0, ".").otherwise("+"))
+    return iv.tile_genes(genes, width=90, max_id=4)
+
+
 def cluster_islands(spark, d):
     return iv.islands(view(spark, d), gap=30, order=("start", "end", "id")).select("id", "chrom", F.col("island").cast("long").alias("island"))
 
@@ -188,7 +193,7 @@ def window_report(spark, d):
     return length_report(iv.merge(view(spark, d)).withColumn("length", F.col("end") - F.col("start")))
 
 
-QUERIES = {f.__name__: f for f in (fixed_windows, overlap_join, overlap_semi, overlap_anti, map_mean, map_distinct_priority, strand_feature, weighted_coverage_mean, coverage_fraction, coverage_counts, background_rate, merge_intervals, merge_apart, merge_by_label_max, endpoint_stream, segments, multi_block_regions, linearize, unstack, nearest_neighbor, nearest_directional, distance_features, cluster_islands, local_rate, slop_windows, slice_regions, window_report)}
+QUERIES = {f.__name__: f for f in (fixed_windows, overlap_join, overlap_semi, overlap_anti, map_mean, map_distinct_priority, strand_feature, weighted_coverage_mean, coverage_fraction, coverage_counts, background_rate, merge_intervals, merge_apart, merge_by_label_max, endpoint_stream, segments, multi_block_regions, linearize, unstack, nearest_neighbor, nearest_directional, distance_features, gene_tiles, cluster_islands, local_rate, slop_windows, slice_regions, window_report)}
 
 _JOIN = 'a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end"'
 _ISLAND = """i0 AS (SELECT *, CASE WHEN start > max("end") OVER (PARTITION BY {by} ORDER BY start, "end"{tie} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + ({gap}) THEN 1 ELSE 0 END AS f FROM ev),
@@ -224,6 +229,10 @@ u AS (SELECT chrom, min(start) AS start, max("end") AS "end" FROM m1 GROUP BY ch
     "coverage_counts": _q("", 'SELECT a."window", count(b.id) AS n FROM win a LEFT JOIN ev b ON a.chrom = b.chrom AND b.start >= a.start AND b.start < a."end" GROUP BY a."window"'),
     "background_rate": _q("""c AS (SELECT a."window", count(b.id) AS n FROM win a LEFT JOIN ev b ON a.chrom = b.chrom AND b.start >= a.start AND b.start < a."end" GROUP BY a."window")""", 'SELECT "window", n, round((n + 1) / ((SELECT sum(n) FROM c) + (SELECT count(*) FROM c)), 12) AS rate FROM c'),
     "merge_intervals": _q(_ISLAND.format(by="chrom", tie="", gap=0), 'SELECT chrom, min(start) AS start, max("end") AS "end", count(*) AS n, max(score) AS top FROM i1 GROUP BY chrom, island'),
+    "gene_tiles": _q("""g0 AS (SELECT chrom, start, "end", CASE WHEN id % 5 = 0 THEN '-' WHEN id % 7 = 0 THEN '.' ELSE '+' END AS strand FROM ev),
+g1 AS (SELECT *, unnest(CASE strand WHEN '+' THEN range(start - 90, "end", 90) WHEN '-' THEN range("end" + 90, start, -90) ELSE [] END) AS p, generate_subscripts(CASE strand WHEN '+' THEN range(start - 90, "end", 90) WHEN '-' THEN range("end" + 90, start, -90) ELSE [] END, 1) - 2 AS tile FROM g0),
+g2 AS (SELECT chrom, greatest(p, 0) AS start, greatest(p, 0) + 90 AS "end", tile FROM g1 WHERE tile <= 4),
+""" + _ISLAND.format(by="chrom", tie="", gap=-1).replace("FROM ev)", "FROM g2)"), 'SELECT chrom, min(start) AS start, max("end") AS "end", min(tile)::BIGINT AS tile FROM i1 GROUP BY chrom, island'),
     "merge_apart": _q(_ISLAND.format(by="chrom, label", tie="", gap=-1), 'SELECT chrom, label, min(start) AS start, max("end") AS "end", min(score) AS low FROM i1 GROUP BY chrom, label, island'),
     "merge_by_label_max": _q(_ISLAND.format(by="chrom", tie="", gap=0), 'SELECT chrom, min(start) AS start, max("end") AS "end", last(label ORDER BY score, label) AS label, max(score) AS top FROM i1 GROUP BY chrom, island'),
     "endpoint_stream": _q("""p AS (SELECT chrom, start AS pos, label, 1 AS step FROM ev UNION ALL SELECT chrom, "end", label, -1 FROM ev)""", "SELECT chrom, pos, 'ev' AS track, label AS feature, sum(step)::BIGINT AS net, count(*) AS n FROM p GROUP BY ALL"),

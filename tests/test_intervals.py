@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from genolith.operators import intervals as iv
 from genolith.operators import ordered as od
@@ -80,3 +82,17 @@ def test_sampling_is_repeatable(spark):
     assert sorted(one) == sorted(two) and len(one) == 10
     a, b = od.hash_split(df, "id", 0.8)
     assert a.count() + b.count() == 100 and a.intersect(b).isEmpty()
+
+
+def test_running_values_over_ranges(spark):
+    """Ranges of any width give what one window over the whole group gives; ties, gaps of many ranges and negative places included."""
+    rng = random.Random(3)
+    rows = [(rng.choice("xy"), rng.choice([-5, 0, 3, 3, 7, 90, 91, 1000]) + rng.randrange(3), i, rng.randrange(100)) for i in range(300)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, id long, v long")
+    for kind, backwards, inclusive in (("max", False, False), ("min", True, True), ("sum", False, True)):
+        order = [F.desc("pos"), F.desc("id")] if backwards else [F.col("pos"), F.col("id")]
+        w = Window.partitionBy("chrom").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        want = {r.id: r.x for r in df.withColumn("x", {"max": F.max, "min": F.min, "sum": F.sum}[kind]("v").over(w)).collect()}
+        for width in (4, 1 << 20):
+            got = {r.id: r.x for r in iv.running(df, ["chrom"], "pos", order, "v", "x", kind, inclusive, backwards, width).collect()}
+            assert got == want
