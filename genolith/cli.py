@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from genolith.operators import intervals as iv
 from genolith.operators import mutations as mu
 from genolith.operators.tensor import split_by_group
-from genolith.plans import model as md
 from genolith.plans.compose import Config, compose
+from genolith.plans.trained import Trained
 from genolith.sources import text as tx
 from genolith.sources.store import Dataset
 
@@ -50,8 +50,11 @@ def parser() -> argparse.ArgumentParser:
     add("sample-rm", "dataset", "name")
     add("query-gtf", "gtf", "template", type={}, has={"nargs": "*", "default": []}, zero_based={"action": "store_true"})
     add("fill-template", "template").add_argument("values", nargs="*", help="name=value")
-    add("train", "dataset", "model", components={"type": int, "default": 5}, epochs={"type": int, "default": 20}, seed={"type": int, "default": 0})
+    add("train", "dataset", "model", components={"type": int, "default": 5}, epochs={"type": int, "default": 20}, seed={"type": int, "default": 0}, locus_model={"choices": ["linear", "boosted", "none"], "default": "linear"}, subsample={"type": float, "default": 1.0},
+        unstranded={"action": "store_true"}, fixed={"help": "JSON file of components that stay as they are"}, test={"help": "dataset that decides when to stop"}, source={})
     add("predict", "dataset", "model", "out")
+    add("annotate", "dataset", "model", "out")
+    add("mutation-posteriors", "dataset", "model", "vcf", "out", sample={}, all={"action": "store_true"}, whitelist={"help": "BED file of the parts that were assayed"})
     add("split", "dataset", "train", "test").add_argument("chroms", nargs="+")
     add("slice-samples", "dataset", "out").add_argument("samples", nargs="+")
     add("background-rate", "vcf", "sizes", "out", window={"type": int, "default": 50_000}, sample={}, all={"action": "store_true", "help": "not only PASS"})
@@ -88,9 +91,12 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
     elif a.command == "fill-template":
         return [tx.fill_template(Path(a.template).read_text(), **dict(v.split("=", 1) for v in a.values))]
     elif a.command == "train":
-        m = md.fit(ds.observations(), a.components, a.epochs, a.seed)
-        m.save(spark, a.model)
-        return [f"score\t{m.scores[-1]:.6f}"]
+        fixed = {}
+        for r in tx.read_components(spark, a.fixed).collect() if a.fixed else ():
+            fixed.setdefault(r.component, {})[r.context] = r.value
+        m = Trained.fit(ds, a.components, test=Dataset(spark, a.test) if a.test else None, source=a.source, epochs=a.epochs, seed=a.seed, locus_model=a.locus_model, subsample=a.subsample, stranded=not a.unstranded, fixed=fixed)
+        m.save(a.model)
+        return [f"score\t{m.topography.scores[-1]:.6f}"]
     elif a.command == "split":
         regions = ds.table("regions")
         train, test = split_by_group(regions, a.chroms, "chrom")
@@ -112,7 +118,14 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
         fields = dict(f.split(":", 1) for f in a.fields)
         tx.annotate_vcf(spark, a.vcf, spark.read.parquet(a.notes), fields).orderBy("rank").select("value").write.text(a.out)
     elif a.command == "predict":
-        md.FactorModel.load(spark, a.model).predict(ds.observations()).write.parquet(a.out)
+        Trained.load(spark, a.model).predict(ds).write.parquet(a.out)
+    elif a.command == "annotate":
+        for name, table in Trained.load(spark, a.model).annotate(ds).items():
+            table.write.parquet(f"{a.out}/{name}")
+    elif a.command == "mutation-posteriors":
+        m = Trained.load(spark, a.model)
+        notes, fields = m.notes(ds, tx.read_vcf(spark, a.vcf, a.sample, not a.all), tx.read_bed(spark, a.whitelist) if a.whitelist else None)
+        tx.annotate_vcf(spark, a.vcf, notes, fields).orderBy("rank").select("value").write.text(a.out)
     return []
 
 

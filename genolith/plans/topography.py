@@ -7,6 +7,7 @@ map-side combined sums of K columns, so no sample and no locus is ever gathered
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -98,6 +99,29 @@ class Topography:
         pairs = [x for j, c in enumerate(self.contexts) for x in (F.lit(c), F.array(*[F.array(*[F.lit(float(v)) for v in table[:, j, z]]) for z in range(table.shape[2])]))]
         return F.get(F.try_element_at(F.create_map(*pairs), F.col("context")), F.col("state"))
 
+    def to_json(self) -> str:
+        kinds = {LinearRate: ("linear", lambda m: m.coefficients), TreeRate: ("trees", lambda m: m.to_json()), BoostedModel: ("stumps", lambda m: [m.base, m.stumps])}
+        rates = [(kinds[type(m)][0], kinds[type(m)][1](m)) for m in self.rates]
+        arrays = {n: None if (v := getattr(self, n)) is None else v.tolist() for n in ("effects", "alpha", "log_norm", "shared", "interactions")}
+        states = [self.states.strands, self.states.labels] if self.states else None
+        return json.dumps(arrays | {"components": self.components, "contexts": self.contexts, "rates": rates, "scores": self.scores, "states": states, "stranded": self.stranded})
+
+    @classmethod
+    def from_json(cls, text: str) -> Topography:
+        d = json.loads(text)
+        make = {"linear": LinearRate, "trees": TreeRate.from_json, "stumps": lambda x: BoostedModel(x[0], [tuple(y) for y in x[1]])}
+        arrays = {n: None if d[n] is None else np.array(d[n], float) for n in ("effects", "alpha", "log_norm", "shared", "interactions")}
+        states = st.States(*d["states"]) if d["states"] else None
+        return cls(d["components"], d["contexts"], arrays["effects"], [make[kind](x) for kind, x in d["rates"]], arrays["alpha"], arrays["log_norm"], d["scores"], states, arrays["shared"], arrays["interactions"], d["stranded"])
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row with everything; its size is K x (contexts x states + what the locus effects have)."""
+        spark.createDataFrame([(self.to_json(),)], "topography string").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Topography:
+        return cls.from_json(spark.read.parquet(path).first().topography)
+
     def state_effects(self) -> np.ndarray:
         """K x contexts x states."""
         design = self.states.design()
@@ -379,6 +403,8 @@ def fit(
         data = test if test is not None else observations
         held = _cut(model.observed(data, freq, loci))
         model.scores.append(model.deviance(held, model.estep(held, rounds=rounds), freq, loci))
+        for done in (seen, held):  # nk stays: the next epoch starts from it
+            done.unpersist()
         if callback:
             callback(epoch, model.scores[-1])
         if should_stop(model.scores, patience):
@@ -423,21 +449,34 @@ def more_trees(old: Sequence[TreeRate], stats: DataFrame, offsets: DataFrame, lo
 def polyak_predict(model: Topography, observations: DataFrame, freq: DataFrame, loci: DataFrame, subsample: float = 1 / 128, least: int = 30, most: int = 500, tolerance: float = 0.01, rounds: int = 20, seed: int = 0) -> DataFrame:
     """(sample, component, value): contributions averaged over E-steps on subsamples of loci, until the relative standard error is small.
 
-    The running mean and sum of squares of each (sample, component) stay in a table.
+    The sums and sums of squares of each (sample, component) over all steps stay in a table; the error of every sample has to be small.
     """
-    state = None
+    named = F.array(*map(F.lit, model.components))
+    state = _cut(observations.select("sample").distinct().select("sample", F.explode(named).alias("component"), F.lit(0.0).alias("value"), F.lit(0.0).alias("square")))
+    last = None
     for step in range(most):
         part = loci.where(F.pmod(F.xxhash64("locus", F.lit(seed), F.lit(step)), F.lit(1 << 20)) < max(1, int(subsample * (1 << 20)))) if subsample < 1 else loci
-        seen = model.observed(observations.withColumn("weight", F.col("weight") * (1 / min(subsample, 1.0))), freq, part)
-        one = model.named(model.estep(_cut(seen), rounds=rounds), "nk", ["sample"]).select("sample", "component", F.lit(1).alias("n"), "value", (F.col("value") * F.col("value")).alias("square"))
-        state = _cut((one if state is None else state.unionByName(one)).groupBy("sample", "component").agg(F.sum("n").alias("n"), F.sum("value").alias("value"), F.sum("square").alias("square")))
-        if step + 1 >= least:
-            mean = F.col("value") / F.col("n")
-            error = F.sqrt(F.greatest(F.lit(0.0), F.col("square") / F.col("n") - mean * mean) / F.col("n"))
-            worst = state.agg(F.sum(error) / F.sum(mean)).first()[0]
+        seen = _cut(model.observed(observations.withColumn("weight", F.col("weight") * (1 / min(subsample, 1.0))), freq, part))
+        start = model.start(seen)
+        if last is not None:  # go on from what the sample had when it last occurred
+            start = start.join(last.select("sample", F.col("nk").alias("was")), "sample", "left").select("sample", F.coalesce("was", "nk").alias("nk"))
+        nk = _cut(model.estep(seen, start, rounds))
+        before = last, state
+        last = nk if last is None else _cut(nk.unionByName(last.join(nk, "sample", "left_anti")))
+        one = model.named(nk, "nk", ["sample"]).withColumnRenamed("value", "now")
+        # a sample without a mutation in this part counts with zeros: the mean over all steps has the sample's weight
+        state = _cut(state.join(one, ["sample", "component"], "left").select("sample", "component", (F.col("value") + F.coalesce("now", F.lit(0.0))).alias("value"), (F.col("square") + F.coalesce(F.col("now") * F.col("now"), F.lit(0.0))).alias("square")))
+        n = step + 1
+        last.count(), state.count()  # made before what they come from is let go
+        for done in (seen, *(b for b in before if b is not None)):
+            done.unpersist()
+        if n >= least:
+            mean = F.col("value") / n
+            error = F.sqrt(F.greatest(F.lit(0.0), F.col("square") / n - mean * mean) / n)
+            worst = state.groupBy("sample").agg((F.sum(error) / F.sum(mean)).alias("e")).agg(F.max("e")).first()[0]
             if worst is None or worst < tolerance:
                 break
-    return state.select("sample", "component", (F.col("value") / F.col("n")).alias("value"))
+    return state.select("sample", "component", (F.col("value") / n).alias("value"))
 
 
 @dataclass
@@ -492,6 +531,14 @@ class Mixture:
             model = model.mstep(nk)
         return model, nk
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(self.sources, self.components, [float(a) for a in self.alpha], [float(t) for t in self.tau])], "sources array<string>, components array<string>, alpha array<double>, tau array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Mixture:
+        r = spark.read.parquet(path).first()
+        return cls(list(r.sources), list(r.components), np.array(r.alpha), np.array(r.tau))
+
     def named(self, nk: DataFrame) -> DataFrame:
         """(sample, source, component, value)."""
         k = len(self.components)
