@@ -14,6 +14,7 @@ from genolith.operators import mutations as mu
 from genolith.operators.tensor import split_by_group
 from genolith.plans.compose import Config, compose
 from genolith.plans.trained import Trained
+from genolith.plans.tuning import SharedStudy, topography_trial
 from genolith.sources import text as tx
 from genolith.sources.store import Dataset
 
@@ -55,6 +56,10 @@ def parser() -> argparse.ArgumentParser:
     add("predict", "dataset", "model", "out")
     add("annotate", "dataset", "model", "out")
     add("mutation-posteriors", "dataset", "model", "vcf", "out", sample={}, all={"action": "store_true"}, whitelist={"help": "BED file of the parts that were assayed"})
+    add("study-create", "study", "train", min_components={"type": int, "default": 2}, max_components={"type": int, "default": 20}, test={}, epochs={"type": int, "default": 20}, seed={"type": int, "default": 0}, locus_models={"nargs": "+", "default": ["linear"]})
+    add("study-run", "study", trials={"type": int, "default": 20, "help": "stop when the study has so many"})
+    add("study-summary", "study")
+    add("study-retrain", "study", "model")
     add("split", "dataset", "train", "test").add_argument("chroms", nargs="+")
     add("slice-samples", "dataset", "out").add_argument("samples", nargs="+")
     add("background-rate", "vcf", "sizes", "out", window={"type": int, "default": 50_000}, sample={}, all={"action": "store_true", "help": "not only PASS"})
@@ -97,6 +102,15 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
         m = Trained.fit(ds, a.components, test=Dataset(spark, a.test) if a.test else None, source=a.source, epochs=a.epochs, seed=a.seed, locus_model=a.locus_model, subsample=a.subsample, stranded=not a.unstranded, fixed=fixed)
         m.save(a.model)
         return [f"score\t{m.topography.scores[-1]:.6f}"]
+    elif a.command == "study-create":
+        space = {"components": (a.min_components, a.max_components), "locus_model": a.locus_models, "seed": [a.seed]}
+        SharedStudy.create(spark, a.study, space, a.seed, train=a.train, test=a.test, epochs=a.epochs)
+    elif a.command in ("study-run", "study-retrain"):
+        study = SharedStudy(spark, a.study)
+        train = topography_trial(spark, study.about)
+        return [f"ran {n}" for n in study.run(train, a.trials)] if a.command == "study-run" else [f"score\t{study.retrain(train, a.model):.6f}"]
+    elif a.command == "study-summary":
+        return ["\t".join(map(str, r)) for r in SharedStudy(spark, a.study).study().summary(spark).collect()]
     elif a.command == "split":
         regions = ds.table("regions")
         train, test = split_by_group(regions, a.chroms, "chrom")
