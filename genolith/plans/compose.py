@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import json
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,8 +81,79 @@ def region_sequences(blocks: DataFrame, chunks: DataFrame, chunk: int = tx.CHUNK
     return joined.select("locus", "start", F.substring(F.col("seq"), (begin + 1).cast("int"), (high + 1 - shift - begin).cast("int")).alias("seq"))
 
 
+@dataclass
+class Step:
+    """One output of a build. key: a digest of the settings and files that it comes from, kept with the dataset once the output is whole."""
+
+    name: str
+    key: str
+    stale: bool
+
+
+def _print_of(spark: SparkSession, path: str | None) -> list:
+    """Path, length and time of change of a file, in any file system that Spark knows."""
+    if not path:
+        return []
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(at)
+    return [path, status.getLen(), status.getModificationTime()]
+
+
+def steps(spark: SparkSession, config: Config, path: str) -> list[Step]:
+    """What a build consists of, and which of it the dataset at path doesn't have as the configuration asks."""
+
+    def digest(*parts) -> str:
+        return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
+
+    try:
+        known = Dataset(spark, path).attrs()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known = {}
+    base = digest(config.region_size, config.min_region_size, config.dtype, *[_print_of(spark, f) for f in (config.sizes, config.fasta, config.blacklist)], sorted([n, _print_of(spark, config.features[n].path)] for n in config.cutouts()))
+    wanted = {"regions": base} | {f"feature.{n}": digest(base, asdict(f), _print_of(spark, f.path)) for n, f in config.features.items()} | {f"sample.{n}": digest(base, asdict(s), _print_of(spark, s.path)) for n, s in config.samples.items()}
+    return [Step(n, k, known.get(f"key.{n}") != k) for n, k in wanted.items()]
+
+
 def compose(spark: SparkSession, config: Config, path: str) -> Dataset:
-    """Regions from windows cut by the BED features, context frequencies, then each feature and sample."""
+    """Regions from windows cut by the BED features, context frequencies, then each feature and sample.
+
+    Done again, only what has changed is made anew: a step whose settings and files are the same is left out, other regions mean a new dataset.
+    A step's key is written after its output, so a build that was broken off goes on where it stopped. Features and samples that the configuration has no more are removed.
+    """
+    todo = {s.name: s for s in steps(spark, config, path)}
+    ds = Dataset(spark, path)
+    chunks = tx.read_fasta(spark, config.fasta)
+    if todo["regions"].stale:
+        _regions(spark, config, ds, chunks)
+        todo = {n: Step(n, s.key, True) for n, s in todo.items()}
+        ds.set_attrs(**{"key.regions": todo["regions"].key})
+    mode = modality(config.dtype)
+    stored = iv.unstack(ds.table("regions").select("locus", "chrom", "start", "end", "blocks"))
+    for name, f in config.features.items():
+        if (step := todo[f"feature.{name}"]).stale:
+            ds.add_feature(name, feature_values(spark, stored, f, config.region_size), f.kind(), f.normalization, f.source, f.group, ft.class_order(f.priority) if f.priority else None)
+            ds.set_attrs(**{f"key.{step.name}": step.key})
+    for name, s in config.samples.items():
+        if (step := todo[f"sample.{name}"]).stale:
+            v = tx.read_vcf(spark, s.path, s.name_in_file, s.pass_only, s.weight)
+            ds.add_sample(name, mode.ingest(v, chunks, stored, width=config.region_size).drop("sample"))
+            ds.set_attrs(**{f"key.{step.name}": step.key})
+    for r in ds.list_features().collect():
+        if f"key.feature.{r.name}" in ds.attrs() and f"feature.{r.name}" not in todo:
+            ds.remove_feature(r.name, r.source)
+            ds.set_attrs(**{f"key.feature.{r.name}": ""})
+    for name in ds.list_samples():
+        if f"key.sample.{name}" in ds.attrs() and f"sample.{name}" not in todo:
+            ds.remove_sample(name)
+            ds.set_attrs(**{f"key.sample.{name}": ""})
+    return ds
+
+
+def _regions(spark: SparkSession, config: Config, ds: Dataset, chunks: DataFrame) -> None:
+    """The dataset with its regions and context frequencies, and nothing else; an older one made from other regions is written over."""
     sizes = tx.read_sizes(spark, config.sizes)
     windows = iv.fixed_windows(sizes, config.region_size)
     beds = {n: tx.read_bed(spark, config.features[n].path) for n in config.cutouts()}
@@ -92,21 +165,12 @@ def compose(spark: SparkSession, config: Config, path: str) -> Dataset:
     if tracks is None:
         tracks = spark.createDataFrame([], "chrom string, start long, end long, track string, feature string")
     regions = iv.multi_block_regions(tracks, windows, black, config.min_region_size, config.region_size)
-    mode = modality(config.dtype)
-    chunks = tx.read_fasta(spark, config.fasta)
     blocks = iv.unstack(regions.select("locus", "chrom", "start", "end", "blocks"))
     sequences = region_sequences(blocks, chunks)
-    freq = mode.context_frequencies(sequences.withColumn("piece", F.monotonically_increasing_id()), "locus", "seq")
+    freq = modality(config.dtype).context_frequencies(sequences.withColumn("piece", F.monotonically_increasing_id()), "locus", "seq")
     length = regions.select("*", F.col("length").alias("bp_length")).drop("length")
     total = freq.groupBy("locus").agg((F.sum("freq") * 3).alias("length"))
-    ds = Dataset.create(spark, path, config.name, length.join(total, "locus", "left").na.fill(0.0, ["length"]), freq, config.dtype, region_size=str(config.region_size), fasta_file=config.fasta)
-    stored = iv.unstack(ds.table("regions").select("locus", "chrom", "start", "end", "blocks"))
-    for name, f in config.features.items():
-        ds.add_feature(name, feature_values(spark, stored, f, config.region_size), f.kind(), f.normalization, f.source, f.group, ft.class_order(f.priority) if f.priority else None)
-    for name, s in config.samples.items():
-        v = tx.read_vcf(spark, s.path, s.name_in_file, s.pass_only, s.weight)
-        ds.add_sample(name, mode.ingest(v, chunks, stored, width=config.region_size).drop("sample"))
-    return ds
+    Dataset.create(spark, ds.path, config.name, length.join(total, "locus", "left").na.fill(0.0, ["length"]), freq, config.dtype, mode="overwrite", region_size=str(config.region_size), fasta_file=config.fasta)
 
 
 def feature_values(spark: SparkSession, blocks: DataFrame, f: Feature, width: int) -> DataFrame:

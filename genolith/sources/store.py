@@ -36,17 +36,17 @@ class Dataset:
         fixed.write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, name: str, regions: DataFrame, context_freq: DataFrame | None = None, dtype: str = "sbs", **attrs: str) -> Dataset:
-        """A new dataset; exposures default to 1."""
+    def create(cls, spark: SparkSession, path: str, name: str, regions: DataFrame, context_freq: DataFrame | None = None, dtype: str = "sbs", mode: str = "errorifexists", **attrs: str) -> Dataset:
+        """A new dataset; exposures default to 1. mode overwrite: instead of the tables that are there; their features and samples are forgotten."""
         ds = cls(spark, path)
         full = regions if "exposure" in regions.columns else regions.withColumn("exposure", F.lit(1.0))
-        ds.write("regions", full)
+        ds.write("regions", full, mode)
         if context_freq is not None:
-            ds.write("context_freq", context_freq)
+            ds.write("context_freq", context_freq, mode)
         pairs = {"name": name, "dtype": dtype} | attrs
-        ds.write("attrs", spark.createDataFrame(list(pairs.items()), "key string, value string"))
-        ds.write("feature_meta", spark.createDataFrame([], "source string, name string, kind string, normalization string, grp string, active boolean, classes array<string>"))
-        ds.write("samples", spark.createDataFrame([], "sample string, active boolean"))
+        ds.write("attrs", spark.createDataFrame(list(pairs.items()), "key string, value string"), mode)
+        ds.write("feature_meta", spark.createDataFrame([], "source string, name string, kind string, normalization string, grp string, active boolean, classes array<string>"), mode)
+        ds.write("samples", spark.createDataFrame([], "sample string, active boolean"), mode)
         return ds
 
     def attrs(self) -> dict[str, str]:
@@ -56,10 +56,11 @@ class Dataset:
         self.replace("attrs", self.spark.createDataFrame(list((self.attrs() | values).items()), "key string, value string"))
 
     def add_feature(self, name: str, values: DataFrame, kind: str, normalization: str, source: str | None = None, grp: str = "all", classes: list[str] | None = None) -> None:
-        """values: (locus, num). The normalization must fit the kind."""
+        """values: (locus, num). The normalization must fit the kind. Adding a feature again replaces it (dynamic partition overwrite)."""
         if normalization not in KINDS.get(kind, set()):
             raise ValueError(f"{normalization} does not fit a {kind} feature")
-        self.write("features", values.select("locus", "num").withColumns({"source": F.lit(source or SHARED), "name": F.lit(name)}), "append")
+        rows = values.select("locus", "num").withColumns({"source": F.lit(source or SHARED), "name": F.lit(name)})
+        rows.write.partitionBy(*PARTITIONS["features"]).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.path}/features")
         row = self.spark.createDataFrame([(source, name, kind, normalization, grp, True, classes)], self.table("feature_meta").schema)
         old = self.table("feature_meta").where(~(F.col("source").eqNullSafe(source) & (F.col("name") == name)))
         self.replace("feature_meta", old.unionByName(row))

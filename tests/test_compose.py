@@ -53,3 +53,37 @@ def test_mixture_estep_keeps_all_weight():
     w = rng.random(40)
     nk = md.mixture_estep(np.ones(3), np.ones(2), rng.random((2, 3, 40)), w)
     assert nk.shape == (2, 3) and nk.sum() == pytest.approx(w.sum())
+
+
+def test_a_second_compose_makes_only_what_changed(spark, tmp_path):
+    from genolith.plans.compose import steps
+
+    seq = "ACGTTGCACCGGATCTTAGC" * 5
+    (tmp_path / "a.sizes").write_text("c1\t100\n")
+    (tmp_path / "a.fa").write_text(f">c1\n{seq}\n")
+    for name in "rq":
+        (tmp_path / f"{name}.bedgraph").write_text("c1\t0\t40\t1.5\nc1\t40\t100\t3.0\n")
+    (tmp_path / "a.vcf").write_text(f"#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\nc1\t6\t.\t{seq[5]}\t{'A' if seq[5] != 'A' else 'C'}\t.\tPASS\t.\tGT\t1\n")
+    config = {"name": "toy", "sizes": str(tmp_path / "a.sizes"), "fasta": str(tmp_path / "a.fa"), "region_size": 40, "features": {n: {"path": str(tmp_path / f"{n}.bedgraph"), "normalization": "standardize"} for n in "rq"}, "samples": {"s": {"path": str(tmp_path / "a.vcf")}}}
+    path = str(tmp_path / "d")
+    stale = lambda c: sorted(s.name for s in steps(spark, Config.parse(c), path) if s.stale)
+    assert stale(config) == ["feature.q", "feature.r", "regions", "sample.s"]
+    ds = compose(spark, Config.parse(config), path)
+    assert stale(config) == []
+    age = lambda *names: {n: sorted((f.name, f.stat().st_mtime_ns) for f in (tmp_path / "d" / n).rglob("*.parquet")) for n in names}
+    kept = ("regions", "context_freq", "features/source=_shared/name=q", "observations")
+    before = age(*kept)
+    (tmp_path / "r.bedgraph").write_text("c1\t0\t100\t7.25\n")
+    assert stale(config) == ["feature.r"]
+    compose(spark, Config.parse(config), path)
+    assert age(*kept) == before and stale(config) == []
+    assert {r.num for r in ds.features().where("name = 'r'").collect()} == {7.25} and ds.features().where("name = 'r'").count() == ds.table("regions").count()
+    less = config | {"features": {"q": config["features"]["q"]}}
+    compose(spark, Config.parse(less), path)
+    assert [r.name for r in ds.list_features().collect()] == ["q"] and age(*kept) == before
+    compose(spark, Config.parse(config), path)  # back again
+    assert [r.name for r in ds.list_features().collect()] == ["q", "r"]
+    wider = config | {"region_size": 50}
+    assert stale(wider) == ["feature.q", "feature.r", "regions", "sample.s"]
+    compose(spark, Config.parse(wider), path)
+    assert ds.table("regions").count() == 2 and ds.features().count() == 4 and ds.problems() == []
