@@ -205,12 +205,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     central = crowded.groupBy("id").agg(F.sum("size").alias("company"))
     lead = [F.max_by("id", F.struct("company", "id")).alias("l"), *[F.min_by("id", F.xxhash64(F.col("id"), F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]]
     leaders = stored(crowded.join(central, "id").groupBy("band").agg(*lead))
-    stars = crowded.select("band", F.col("id").alias("p")).join(leaders, "band").select("p", F.explode(F.array_distinct(F.array("l", *[f"l{i}" for i in range(LEADERS)]))).alias("q")).where("p <> q")
-    links = _confirm(stars, reps, base, share, max_broadcast)
-    joined = stored(components(links)) if links is not None else None
-
-    def of(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("c", F.col("id")) if joined is None else rows.join(joined, rows["id"] == joined["node"], "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
+    def of(rows: DataFrame, joined: DataFrame | None, column: str = "id", name: str = "c") -> DataFrame:
+        """rows with the component of the document in `column` under `name`."""
+        if joined is None:
+            return rows.withColumn(name, F.col(column))
+        return rows.join(joined.select(F.col("node").alias("node_"), F.col("component").alias("component_")), F.col(column) == F.col("node_"), "left").withColumn(name, F.coalesce("component_", column)).drop("node_", "component_")
+
+    # the documents of a band meet its central one; those that it didn't bring together meet the others
+    links, tested, joined = None, None, None
+    for names in (["l"], [f"l{i}" for i in range(LEADERS)]):
+        stars = crowded.select("band", F.col("id").alias("p")).join(leaders, "band").select("p", F.explode(F.array_distinct(F.array(*names))).alias("q")).where("p <> q")
+        stars = _ordered(stars)
+        if joined is not None:
+            stars = of(of(stars, joined, "a", "ca"), joined, "b", "cb").where("ca <> cb").select("a", "b")
+        stars = stored(stars)
+        tested = stars if tested is None else tested.unionByName(stars)
+        more = _confirm(stars, reps, base, share, max_broadcast)
+        if more is not None:
+            links = more if links is None else links.unionByName(more)
+            joined = stored(components(links))
 
     # pairs in one band that are still apart
     def apart(rows: DataFrame) -> DataFrame:
@@ -218,7 +231,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         met = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("band", "least")
         return rows.join(met, "band")
 
-    left = stored(apart(of(crowded.select("band", "id")).join(reps.select("id", "n", "key", "tie"), "id")).drop("least", "n"))
+    left = stored(apart(of(crowded.select("band", "id"), joined).join(reps.select("id", "n", "key", "tie"), "id")).drop("least", "n"))
     which = stored(left.select("id", "key", "tie", "c").distinct())
     if count := which.count():
         sets = stored(_texts(which, base, count, max_broadcast).mapInArrow(_sets(True), "id long, set binary, n long, bits array<long>").dropDuplicates(["id"]))
@@ -240,11 +253,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         fits = (100 + share) * F.least("sp", "sq") >= share * (F.col("np") + F.col("nq"))
         once = F.get(F.array_intersect("bandsp", "bandsq"), 0) == F.col("band")  # a pair counts in its first common band
         found_pairs = x.join(y, ["band", "task"]).where((F.col("idp") < F.col("idq")) & (F.col("cp") != F.col("cq")) & fits & _alike(F.col("bitsp"), F.col("bitsq")) & once)
-        rest = found_pairs.select(F.col("idp").alias("a"), F.col("idq").alias("b")).join(_ordered(stars), ["a", "b"], "left_anti")
+        rest = found_pairs.select(F.col("idp").alias("a"), F.col("idq").alias("b")).join(tested, ["a", "b"], "left_anti")
         more = stored(_with(rest, sets, "set").mapInArrow(_verify(share), "a long, b long"))
         joined = stored(components(more if links is None else links.unionByName(more)))
 
-    named = of(reps.select("id", "f1", "f2", "key"))
+    named = of(reps.select("id", "f1", "f2", "key"), joined)
     lowest = named.groupBy("c").agg(F.min("key").alias("component_id"))
     each = named.join(lowest, "c").select("f1", "f2", "component_id")
     out = found.select("key", "tie", "n", "f1", "f2").join(each, ["f1", "f2"], "left").withColumn("component_id", F.when(F.col("key").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "key")))
@@ -271,8 +284,8 @@ def _texts(ids: DataFrame, base: DataFrame, count: int, max_broadcast: int) -> D
 
 
 def _confirm(pairs: DataFrame, reps: DataFrame, base: DataFrame, share: int, max_broadcast: int) -> DataFrame | None:
-    """The pairs that hold on full sets; None if there are no candidates."""
-    pairs = _with(_ordered(pairs), reps.select("id", "bits"), "bits").where(_differ(F.col("x"), F.col("y")) <= MAX_DIFFER).select("a", "b")
+    """The pairs (a, b) that hold on full sets; None if there are no candidates."""
+    pairs = _with(pairs, reps.select("id", "bits"), "bits").where(_differ(F.col("x"), F.col("y")) <= MAX_DIFFER).select("a", "b")
     likely = stored(pairs)
     ids = stored(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "key", "tie"), "id"))
     n = ids.count()
