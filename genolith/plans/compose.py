@@ -13,10 +13,11 @@ from genolith.functions.modality import modality
 from genolith.operators import features as ft
 from genolith.operators import intervals as iv
 from genolith.sources import text as tx
+from genolith.sources.bigwig import read_bigwig
 from genolith.sources.store import Dataset
 
 #: Kinds of feature files by extension and the normalizations that fit them.
-BED, GRAPH = (".bed", ".bed.gz"), (".bedgraph", ".bedgraph.gz", ".bg")
+BED, GRAPH, BIGWIG = (".bed", ".bed.gz"), (".bedgraph", ".bedgraph.gz", ".bg"), (".bw", ".bigwig")
 
 
 @dataclass
@@ -174,8 +175,12 @@ def _regions(spark: SparkSession, config: Config, ds: Dataset, chunks: DataFrame
 
 
 def feature_values(spark: SparkSession, blocks: DataFrame, f: Feature, width: int) -> DataFrame:
-    """(locus, num): mean of a numeric track, or the ordinal of a class or strand."""
+    """(locus, num): mean of a numeric track (of a bigWig file over the covered bases), or the ordinal of a class or strand."""
     loci = blocks.select("locus").distinct()
+    if f.kind() == "continuous" and f.path.lower().endswith(BIGWIG):
+        overlap = F.least("end", "end_b") - F.greatest("start", "start_b")
+        got = iv.overlap_join(blocks, read_bigwig(spark, f.path), width).groupBy("locus").agg((F.sum(F.col("score_b") * overlap) / F.sum(overlap)).alias("num"))
+        return loci.join(got, "locus", "left")
     if f.kind() == "continuous":
         track = tx.read_bedgraph(spark, f.path)
         got = iv.overlap_join(blocks, track, width).groupBy("locus").agg(F.avg("score_b").alias("num"))

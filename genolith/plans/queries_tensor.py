@@ -113,9 +113,7 @@ def normalize_gex(spark, d):
 
 
 def normalize_quantile(spark, d):
-    """Ranks on a grid of exact quantiles; checked as bounds and order per group."""
-    out = ft.quantile(regions(spark, d), "value", ["grp"])
-    return out.groupBy("grp").agg(F.count("norm").alias("n"), F.min("norm").alias("low"), F.max("norm").alias("high"))
+    return ft.quantile(regions(spark, d), "value", ["grp"]).select("locus", F.round("norm", 6).alias("norm"))
 
 
 def ordinal_encode(spark, d):
@@ -382,7 +380,8 @@ ORACLE = {
     "normalize_minmax": _q("", "SELECT locus, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 6) AS norm FROM rg WINDOW w AS (PARTITION BY grp)"),
     "normalize_standardize": _q("", "SELECT locus, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) AS norm FROM rg WINDOW w AS (PARTITION BY grp)"),
     "normalize_robust": _q("s AS (SELECT grp, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS b FROM rg GROUP BY grp)", "SELECT locus, round((value - m) / (b - a), 6) AS norm FROM rg JOIN s USING (grp)"),
-    "normalize_quantile": _q("", "SELECT grp, count(*) AS n, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high FROM rg GROUP BY grp"),
+    "normalize_quantile": _q(f"s AS (SELECT grp, quantile_cont(value, [{', '.join(repr(i / 999) for i in range(1000))}]) AS q FROM rg GROUP BY grp), c AS (SELECT locus, value, q, len(list_filter(q, lambda v: v < value)) AS below, len(list_filter(q, lambda v: v <= value)) AS upto FROM rg JOIN s USING (grp))",
+        "SELECT locus, round(CASE WHEN q[1] = q[1000] OR below = 0 THEN 0 WHEN upto = 1000 THEN 1 WHEN upto > below THEN (below + upto - 1) / 2 / 999 ELSE (upto - 1 + (value - q[upto]) / (q[upto + 1] - q[upto])) / 999 END, 6) AS norm FROM c"),
     "ordinal_encode": _q("", f"SELECT locus, ({_CODE})::BIGINT AS code FROM rg"),
     "one_hot": _q("", "SELECT locus, (grp = 'MEDIUM')::INT AS medium, (grp = 'LARGE')::INT AS large FROM rg"),
     "mesoscale_state": _q("", f"SELECT locus, (length % 3) * 6 + {_CODE} AS plus, (2 - length % 3) * 6 + {_CODE} AS minus FROM rg"),
