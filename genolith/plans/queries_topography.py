@@ -152,7 +152,7 @@ def state_model(spark, d, stranded: bool = True) -> tuple[tp.Topography, DataFra
 
 def state_offsets(spark, d):
     m, wide = state_model(spark, d)
-    return _out(m, m.context_offsets(freq(spark, d), wide), "offset", ["context", "state"]).withColumn("state", F.col("state").cast("long"))
+    return _out(m, m.context_offsets(freq(spark, d), wide), "offset", ["context", "state"]).withColumns({"state": F.col("state").cast("long"), "value": F.round("value", 5)})  # sums of thousands: the order of adding shows in the ninth digit
 
 
 def state_likelihood(spark, d):
@@ -164,7 +164,7 @@ def state_likelihood(spark, d):
 def unstranded_state_statistics(spark, d):
     m, wide = state_model(spark, d, False)
     seen = m.observed(observations(spark, d), freq(spark, d), wide)
-    return _out(m, m.context_stats(m.posteriors(seen, m.estep(seen, rounds=1))), "value", ["context", "state"]).withColumn("state", F.col("state").cast("long"))
+    return _out(m, m.context_stats(m.posteriors(seen, m.estep(seen, rounds=1))), "value", ["context", "state"]).withColumns({"state": F.col("state").cast("long"), "value": F.round("value", 5)})
 
 
 def topography_model(spark, d):
@@ -232,7 +232,7 @@ se AS (SELECT cs.locus, configuration, context, component, (strand + 1) * 3 + ar
 
 
 ORACLE = {
-    "state_offsets": f"{_STATES} SELECT context, state::BIGINT AS state, component, round(sum(base * exp(theta)), 9) AS value FROM se GROUP BY ALL",
+    "state_offsets": f"{_STATES} SELECT context, state::BIGINT AS state, component, round(sum(base * exp(theta)), 5) AS value FROM se GROUP BY ALL",
     "state_likelihood": f"""{_STATES}, sz AS (SELECT component, ln(sum(base * exp(theta + full_effect))) AS z FROM se GROUP BY ALL)
 SELECT sample, locus, configuration, context, component, round(ln(base) + theta + full_effect - z, 9) AS value FROM ob JOIN se USING (locus, configuration, context) JOIN sz USING (component)""",
     "unstranded_state_statistics": f"""{_STATES}, su AS (SELECT locus, context, component, state, theta, full_effect, sum(base) OVER (PARTITION BY locus, context, component) AS base, configuration FROM se QUALIFY configuration = 0),
@@ -243,7 +243,7 @@ s0 AS (SELECT sample, component, sum(weight) / 3 AS n FROM sl GROUP BY ALL), s1
 s2 AS (SELECT *, e * l AS p, sum(e * l) OVER (PARTITION BY sample, locus, context) AS t FROM sl JOIN s1 USING (sample, component)),
 s3 AS (SELECT sample, component, sum(p * weight / t) AS n FROM s2 GROUP BY ALL), s4 AS (SELECT sample, component, exp({_digamma('(n + a)')}) AS e FROM s3 JOIN co USING (component)),
 s5 AS (SELECT sl.*, e * l AS p, sum(e * l) OVER (PARTITION BY sample, locus, context) AS t FROM sl JOIN s4 USING (sample, component))
-SELECT context, state::BIGINT AS state, component, round(sum(p * weight / t), 9) AS value FROM s5 GROUP BY ALL""",
+SELECT context, state::BIGINT AS state, component, round(sum(p * weight / t), 5) AS value FROM s5 GROUP BY ALL""",
     "topography_normalizers": f"{_BASE} SELECT component, round(z, 9) AS value FROM nz",
     "context_only_normalizers": f"{_BASE} SELECT component, round(ln(sum(freq * exposure * exp(effect))), 9) AS value FROM ra GROUP BY component",
     "exposure_offsets_context": f"{_BASE} SELECT context, component, round(sum(freq * exposure * exp(theta)), 9) AS value FROM ra GROUP BY ALL",
