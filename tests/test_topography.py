@@ -65,6 +65,13 @@ def test_estep_is_the_fixed_point(world):
     assert abs(total[0] + total[1] - total[2]) < 1e-6
     logp = m.mutation_posteriors(world["obs"].withColumn("id", tp.F.monotonically_increasing_id()).limit(5), world["freq"], world["loci"]).collect()
     assert len(logp) == 10 and all(r.logp is None or r.logp <= 1e-9 for r in logp)
+    own = [x for x in world["seen"] if x[0] == "s0"]
+    some = m.mutation_posteriors(world["obs"].where("sample = 's0'").withColumn("id", tp.F.concat_ws(":", *tp.CELL)), world["freq"], world["loci"], rounds=30).collect()
+    like = np.array([np.array(world["rate"][x[1:4]]) / world["norm"] for x in own]).T
+    w = np.array([x[4] for x in own])
+    want = np.log(md.posterior(m.alpha, like, w, md.estep(m.alpha, like, w, iters=30, tol=0)) / w)
+    place = {":".join(map(str, x[1:4])): i for i, x in enumerate(own)}
+    assert len(some) == 2 * len(own) and all(abs(r.logp - want[m.components.index(r.component), place[r.id]]) < 1e-6 for r in some)
 
 
 def test_annotations(spark, world):
@@ -115,5 +122,10 @@ def test_mixture(world):
     like = np.array([np.array(world["rate"][x[1:4]]) / world["norm"] for x in own]).T
     want = md.mixture_estep(np.ones(2), np.ones(2), np.array([like, like]), np.array([x[4] for x in own]), iters=10, tol=0)
     assert np.allclose([[got["s1", d, k] for k in NAMES] for d in "pq"], want, rtol=1e-6)
-    fitted, _ = mixture.fit(seen, epochs=1, rounds=2)
-    assert (fitted.alpha > 0).all() and (fitted.tau > 0).all()
+    fitted, nk = mixture.fit(seen, epochs=1, rounds=2)
+    g = np.array([r.nk for r in nk.collect()]).reshape(-1, 2, 2)  # samples, sources, components
+    for axis, found in ((1, fitted.alpha), (2, fitted.tau)):
+        gamma = g.sum(axis=axis) + 1.0
+        target = (md.digamma(gamma) - md.digamma(gamma.sum(axis=1))[:, None]).mean(axis=0)
+        want = md.alpha_from_target(np.ones(2), target, 0.5)
+        assert np.allclose(found, want, rtol=1e-4)  # Newton steps from sums that agree to nine digits
