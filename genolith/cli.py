@@ -53,9 +53,10 @@ def parser() -> argparse.ArgumentParser:
     add("fill-template", "template").add_argument("values", nargs="*", help="name=value")
     add("train", "dataset", "model", components={"type": int, "default": 5}, epochs={"type": int, "default": 20}, seed={"type": int, "default": 0}, locus_model={"choices": ["linear", "boosted", "none"], "default": "linear"}, subsample={"type": float, "default": 1.0},
         unstranded={"action": "store_true"}, fixed={"help": "JSON file of components that stay as they are"}, test={"help": "dataset that decides when to stop"}, source={})
-    add("predict", "dataset", "model", "out")
+    rounds = {"type": int, "default": 50, "help": "rounds of a sample's fixed point"}
+    add("predict", "dataset", "model", "out", rounds=rounds)
     add("annotate", "dataset", "model", "out")
-    add("mutation-posteriors", "dataset", "model", "vcf", "out", sample={}, all={"action": "store_true"}, whitelist={"help": "BED file of the parts that were assayed"})
+    add("mutation-posteriors", "dataset", "model", "vcf", "out", sample={}, all={"action": "store_true"}, whitelist={"help": "BED file of the parts that were assayed"}, rounds=rounds)
     add("study-create", "study", "train", min_components={"type": int, "default": 2}, max_components={"type": int, "default": 20}, test={}, epochs={"type": int, "default": 20}, seed={"type": int, "default": 0}, locus_models={"nargs": "+", "default": ["linear"]})
     add("study-run", "study", trials={"type": int, "default": 20, "help": "stop when the study has so many"})
     add("study-summary", "study")
@@ -132,13 +133,13 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
         fields = dict(f.split(":", 1) for f in a.fields)
         tx.annotate_vcf(spark, a.vcf, spark.read.parquet(a.notes), fields).orderBy("rank").select("value").write.text(a.out)
     elif a.command == "predict":
-        Trained.load(spark, a.model).predict(ds).write.parquet(a.out)
+        Trained.load(spark, a.model).predict(ds, a.rounds).write.parquet(a.out)
     elif a.command == "annotate":
         for name, table in Trained.load(spark, a.model).annotate(ds).items():
             table.write.parquet(f"{a.out}/{name}")
     elif a.command == "mutation-posteriors":
         m = Trained.load(spark, a.model)
-        notes, fields = m.notes(ds, tx.read_vcf(spark, a.vcf, a.sample, not a.all), tx.read_bed(spark, a.whitelist) if a.whitelist else None)
+        notes, fields = m.notes(ds, tx.read_vcf(spark, a.vcf, a.sample, not a.all), tx.read_bed(spark, a.whitelist) if a.whitelist else None, a.rounds)
         tx.annotate_vcf(spark, a.vcf, notes, fields).orderBy("rank").select("value").write.text(a.out)
     return []
 

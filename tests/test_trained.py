@@ -37,13 +37,13 @@ def test_commands_from_dataset_to_annotated_vcf(spark, made):
     assert out[0].startswith("score\t")
     model = Trained.load(spark, str(at / "m"))
     assert model.topography.states.strands == ["side"] and model.transformer.names() == ["rate"]
-    cli.run(spark, ["predict", ds.path, str(at / "m"), str(at / "p")])
+    cli.run(spark, ["predict", ds.path, str(at / "m"), str(at / "p"), "--rounds", "5"])
     got = {(r.sample, r.component): r.value for r in spark.read.parquet(str(at / "p")).collect()}
     total = {r.sample: r.w for r in ds.observations().groupBy("sample").agg(F.sum("weight").alias("w")).collect()}
     assert all(sum(got[s, c] for c in model.topography.components) == pytest.approx(w, rel=1e-6) for s, w in total.items())
     for extra in ([], ["--whitelist", str(at / "white.bed")]):
         path = str(at / f"v{len(extra)}")
-        cli.run(spark, ["mutation-posteriors", ds.path, str(at / "m"), str(at / "one.vcf"), path, *extra])
+        cli.run(spark, ["mutation-posteriors", ds.path, str(at / "m"), str(at / "one.vcf"), path, "--rounds", "5", *extra])
         lines = [r.value for r in spark.read.text(path).collect()]
         assert sum(x.startswith("##INFO=<ID=logp_M") for x in lines) == 2
         body = [x.split("\t") for x in lines if not x.startswith("#")]
