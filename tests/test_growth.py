@@ -1,8 +1,15 @@
 """Steps whose work once grew faster than their input."""
 
+import numpy as np
+
+from genolith.operators import features as ft
 from genolith.operators import intervals as iv
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_segments_meet_each_label_once(spark, monkeypatch):
     rows = [("c", i, i + 300, "t", f"u{i % 2}") for i in range(300)] + [("c", 700, 700, "t", "u0"), ("c", 300, 310, "t", "u2")]
     tracks = spark.createDataFrame(rows, "chrom string, start long, end long, track string, feature string").cache()
@@ -17,3 +24,24 @@ def test_segments_meet_each_label_once(spark, monkeypatch):
             want[a, b] = "|".join(labels)
     assert got == want
     assert sum(df.count() for df in made) <= 3 * len(want)  # 90,000 pairs of segments and intervals before
+
+
+def test_quantile_ranks_by_halving(spark):
+    values = [float(v) for v in np.random.default_rng(1).integers(0, 400, 900)] + [None]
+    df = ft.quantile(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, x double"), "x", n=100)
+    assert "filter(q_" not in plan(df)
+    x = np.array(values[:-1])
+    q = np.quantile(x, np.arange(100) / 99)
+    below, upto = np.searchsorted(q, x, "left"), np.searchsorted(q, x, "right")
+    got = {r.id: r.norm for r in df.collect()}
+    assert got[900] is None
+    for i, v in enumerate(x):
+        if below[i] == 0:
+            want = 0.0
+        elif upto[i] == 100:
+            want = 1.0
+        elif upto[i] > below[i]:
+            want = (below[i] + upto[i] - 1) / 2 / 99
+        else:
+            want = (upto[i] - 1 + (v - q[upto[i] - 1]) / (q[upto[i]] - q[upto[i] - 1])) / 99
+        assert abs(got[i] - want) < 1e-9
