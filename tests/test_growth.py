@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from genolith.functions import sequence as sq
 from genolith.operators import features as ft
 from genolith.operators import intervals as iv
 
@@ -45,3 +46,12 @@ def test_quantile_ranks_by_halving(spark):
         else:
             want = (upto[i] - 1 + (v - q[upto[i] - 1]) / (q[upto[i]] - q[upto[i] - 1])) / 99
         assert abs(got[i] - want) < 1e-9
+
+
+def test_context_frequencies_shuffle_a_row_a_key(spark):
+    df = sq.context_frequencies(spark.createDataFrame([(1, "ACGTNACG"), (1, "TTT"), (2, "AC"), (3, None), (4, "nCCé")], "id int, seq string"), "id", "seq")
+    assert plan(df).count("Exchange hashpartitioning") == plan(sq.region_length(df, "id")).count("Exchange hashpartitioning") == 1
+    got = {(r.id, r.configuration, r.trinucleotide): r.freq for r in df.collect()}
+    assert len(got) == 128 and {k[0] for k in got} == {1, 4}
+    assert got[1, 0, "ACG"] == 2 + 3 / 64 and got[1, 1, "ACG"] == 1 + 3 / 64 and got[1, 1, "TTT"] == 3 / 64 and got[1, 0, "TTT"] == 1 + 3 / 64
+    assert {r.id: r.length for r in sq.region_length(df, "id").collect()} == {1: 21.0, 4: 6.0}
