@@ -1,9 +1,9 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one representative per group.
 
 Equal vectors form a class first. A pair within the threshold may straddle a border between cells: if v lies nearest
-to centre b, then u with cos(u, v) >= s lies within sin(acos(s)) of the plane halfway between its own centre and b. Every
-vector is therefore also sent, as a visitor, to the later cells whose border is that near, so no link is lost.
-Cells are cut into tiles of bounded size; a tile reports link counts and a spanning forest, never its pairs.
+to centre b, then u with cos(u, v) >= s lies within sin(acos(s)) of the plane halfway between its own centre and b. Cells are
+cut into blocks of bounded size, a row each; every two blocks meet once, and of two cells only the vectors that near to their border
+are multiplied, so no link is lost. Two blocks report link counts and a spanning forest, never their pairs.
 """
 
 from __future__ import annotations
@@ -12,18 +12,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genolith.llm.common import stored
+from genolith.llm.common import bound_batches, stored
 from genolith.llm.graph import components
 
 #: k-means is fitted on this many vectors at most (by a hash of the vector); cells aim at CELL vectors, MAX_CELLS at most.
 SAMPLE, CELL, MAX_CELLS, BLOCK = 16_384, 4_096, 2_048, 2_048
+#: Bytes of a block's vectors at most.
+BLOCK_BYTES = 1 << 20
 
 
-def _units(blobs: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), dim)
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
+    x /= np.abs(x).max(axis=1)[:, None]  # no overflow or underflow in squares
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -40,39 +44,39 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.nd
     return centres
 
 
-def _tile(threshold: float):
-    """Link counts and a spanning forest of one tile; side a meets side b, or itself where b is empty."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        side = rows["side"].to_numpy()
-        dim = rows["dim"][0].as_py()
-        ids, sizes = rows["id"].to_numpy(), rows["size"].to_numpy()
-        x = _units(rows["vec"].to_pylist(), dim)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = not rows["two"][0].as_py()
-        b = a if alone else b
-        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for lo in range(0, len(a), 256):
-            part = a[lo : lo + 256]
-            near = x[part] @ x[b].T >= threshold
-            if alone:
-                near[np.arange(len(part)), np.arange(lo, lo + len(part))] = False
-            links[part] += near @ sizes[b]
-            if not alone:
-                links[b] += sizes[part] @ near
-            i, j = near.nonzero()
-            p, q = part[i], b[j]
-            while len(p):  # the roots of a link's ends are united, so what earlier parts joined moves along; label stays flat
-                r, s = label[p], label[q]
-                apart = r != s
-                p, q = p[apart], q[apart]
-                np.minimum.at(label, np.maximum(r, s)[apart], np.minimum(r, s)[apart])
-                while (label[label] != label).any():
-                    label = label[label]
-        some = np.flatnonzero((links > 0) | (label != np.arange(len(ids))))
-        return pa.table({"id": ids[some], "links": links[some], "root": ids[label[some]]})
-
-    return run
+def _near(x: np.ndarray, own: int, other: int, centres: np.ndarray | None, reach: float) -> np.ndarray:
+    """Places of the rows of cell `own` that lie near enough to the border with cell `other` to link across it."""
+    if own == other or centres is None:
+        return np.arange(len(x))
+    across = centres[own] - centres[other]
+    return np.flatnonzero(x @ across <= reach * math.sqrt(across @ across) + 1e-12)
+
+
+def _tile(ids: tuple[np.ndarray, np.ndarray], sizes: tuple[np.ndarray, np.ndarray], x: tuple[np.ndarray, np.ndarray], threshold: float, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, link counts and roots of a spanning forest of two blocks, or of one with itself; rows without a link are left out."""
+    n = len(ids[0])
+    every, size = (ids[0], sizes[0]) if alone else (np.concatenate(ids), np.concatenate(sizes))
+    links, label = np.zeros(len(every), np.int64), np.arange(len(every))
+    for lo in range(0, n, 256):
+        near = x[0][lo : lo + 256] @ x[1].T >= threshold
+        if alone:
+            near[np.arange(len(near)), np.arange(lo, lo + len(near))] = False
+        if not near.any():
+            continue
+        i, j = near.nonzero()
+        p, q = lo + i, j if alone else n + j
+        np.add.at(links, p, size[q])
+        if not alone:
+            np.add.at(links, q, size[p])
+        while len(p):  # the roots of a link's ends are united, so what earlier parts joined moves along; label stays flat
+            r, s = label[p], label[q]
+            apart = r != s
+            p, q = p[apart], q[apart]
+            np.minimum.at(label, np.maximum(r, s)[apart], np.minimum(r, s)[apart])
+            while (label[label] != label).any():
+                label = label[label]
+    some = np.flatnonzero((links > 0) | (label != np.arange(len(every))))
+    return every[some], links[some], every[label[some]]
 
 
 def near_vectors(vectors: DataFrame, column: str = "embedding", key: str = "vec_id", threshold: float = 0.95, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
@@ -83,8 +87,11 @@ def near_vectors(vectors: DataFrame, column: str = "embedding", key: str = "vec_
     vectors of different lengths. Rows that repeat a key: each counts as a vector, and they share a component if their vectors link. An empty table gives an empty
     result; other columns are ignored.
     """
+    bound_batches(vectors.sparkSession)
     v = F.col("v")
-    base = vectors.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("v"))
+    single = vectors.schema[column].dataType.simpleString() == "array<float>"  # kept as it is: half the bytes, and the same vectors in double precision
+    kind, width = ("array<float>", "<f4") if single else ("array<double>", "<f8")
+    base = vectors.select(F.col(key).cast("long").alias("key"), F.col(column).cast(kind).alias("v"))
     usable = F.col("key").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     base = base.withColumn("h", F.when(F.coalesce(usable, F.lit(False)), F.struct(F.xxhash64("v").alias("a"), F.hash("v").alias("b"))))
     good = base.where("h is not null")
@@ -104,41 +111,42 @@ def near_vectors(vectors: DataFrame, column: str = "embedding", key: str = "vec_
 
     def place(batches):
         for batch in batches:
-            out = {c: [] for c in ("dim", "cell", "home", "id", "size", "vec")}
-            for i, s, vec in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                x = np.asarray(vec.values.to_numpy(zero_copy_only=False), "<f8")
-                scale = np.abs(x).max()
-                x = x / scale  # no overflow or underflow in squares
-                u = x / np.sqrt((x * x).sum())
-                c = given.value.get(len(x))
-                if c is None:
-                    cells = [(0, True)]
-                else:
-                    d = c @ u
-                    own = int(d.argmax())
-                    gap = np.sqrt(np.maximum(((c - c[own]) ** 2).sum(axis=1), 0))
-                    cells = [(own, True), *((int(z), False) for z in np.flatnonzero(d[own] - d <= reach * gap + 1e-12) if z > own)]
-                for z, home in cells:
-                    for name, value in zip(out, (len(x), z, home, i, s, x.tobytes()), strict=True):
-                        out[name].append(value)
-            yield pa.record_batch([pa.array(out["dim"], pa.int32()), pa.array(out["cell"], pa.int32()), pa.array(out["home"], pa.bool_()), pa.array(out["id"], pa.int64()), pa.array(out["size"], pa.int64()), pa.array(out["vec"], pa.binary())], list(out))
-
-    placed = stored(reps.select("id", "size", "v").mapInArrow(place, "dim int, cell int, home boolean, id long, size long, vec binary"))
-    counts = placed.groupBy("dim", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count_if("home") / block)).cast("int").alias("hb"), F.ceil(F.count_if(~F.col("home")) / block).cast("int").alias("vb"))
-    rows = placed.join(F.broadcast(counts), ["dim", "cell"])  # one row per cell
-    mine = F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("home"), F.col("hb")).otherwise(F.col("vb"))).cast("int")
-    rows = rows.withColumn("m", mine)
-
-    def tile(kind, i, j, side, two):
-        return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"), two.alias("two"))
-
-    m, hb, vb = F.col("m"), F.col("hb"), F.col("vb")
-    later = F.transform(F.sequence(m, hb - 1), lambda t: tile(0, m, t, 0, t != m))
-    earlier = F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), lambda t: tile(0, t, m, 1, F.lit(True)))).otherwise(F.array().cast(rows.select(later).schema[0].dataType))
-    guests = F.when(vb > 0, F.transform(F.sequence(F.lit(0), vb - 1), lambda t: tile(1, t, m, 1, F.lit(True)))).otherwise(F.array().cast(rows.select(later).schema[0].dataType))
-    visits = F.transform(F.sequence(F.lit(0), hb - 1), lambda t: tile(1, m, t, 0, F.lit(True)))
-    tiles = rows.withColumn("t", F.explode(F.when(F.col("home"), F.concat(later, earlier, guests)).otherwise(visits))).select("dim", "cell", "t.*", "id", "size", "vec")
-    found = stored(tiles.groupBy("dim", "cell", "kind", "i", "j").applyInArrow(_tile(threshold), "id long, links long, root long"))
+            cells = []
+            for vec in batch.column(2):
+                u = _units(vec.values.to_numpy(zero_copy_only=False)[None])[0]
+                c = given.value.get(len(u))
+                cells.append(0 if c is None else int((c @ u).argmax()))
+            yield pa.record_batch([*batch.columns, pa.array(cells, pa.int32())], [*batch.schema.names, "cell"])
+
+    placed = reps.select("id", "size", "v").mapInArrow(place, f"id long, size long, v {kind}, cell int").withColumn("dim", F.size("v"))
+    held = F.least(F.lit(block), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_BYTES // 8) / F.col("dim"))))
+    counts = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).select("dim", "cell", F.ceil(F.col("n") / held).cast("int").alias("blocks"))
+    rows = placed.join(F.broadcast(counts), ["dim", "cell"]).withColumn("m", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))  # one row per cell
+
+    def pack(part: pa.Table) -> pa.Table:
+        first = [part[c][0].as_py() for c in ("dim", "cell", "m")]
+        blobs = [part[c].to_numpy().astype("<i8").tobytes() for c in ("id", "size")] + [pc.list_flatten(part["v"]).to_numpy().astype(width).tobytes()]
+        return pa.table([[v] for v in (*first, *blobs)], schema=pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("m", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("x", pa.binary())]))
+
+    # a row a block: its vectors are shuffled and stored once
+    blocks = stored(rows.select("dim", "cell", "m", "id", "size", "v").groupBy("dim", "cell", "m").applyInArrow(pack, "dim int, cell int, m int, ids binary, sizes binary, x binary"))
+
+    def meet(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim, cell, m, cell_b, m_b = (batch.column(c)[r].as_py() for c in ("dim", "cell", "m", "cell_b", "m_b"))
+                ids, ids_b, sizes, sizes_b = (np.frombuffer(batch.column(c)[r].as_buffer(), "<i8") for c in ("ids", "ids_b", "sizes", "sizes_b"))
+                a, b = (_units(np.frombuffer(batch.column(c)[r].as_buffer(), width).reshape(-1, dim)) for c in ("x", "x_b"))
+                i, j = _near(a, cell, cell_b, given.value.get(dim), reach), _near(b, cell_b, cell, given.value.get(dim), reach)
+                if len(i) and len(j):
+                    out = _tile((ids[i], ids_b[j]), (sizes[i], sizes_b[j]), (a[i], b[j]), threshold, (cell, m) == (cell_b, m_b))
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in out], ["id", "links", "root"])
+
+    # every two blocks meet in a task that reads both where they are stored: nothing is copied on disk, however many blocks there are
+    later = blocks.select("dim", *[F.col(c).alias(f"{c}_b") for c in ("cell", "m", "ids", "sizes", "x")]).hint("shuffle_replicate_nl").alias("later")
+    after = (F.col("cell") < F.col("cell_b")) | ((F.col("cell") == F.col("cell_b")) & (F.col("m") <= F.col("m_b")))
+    pairs = blocks.alias("here").join(later, (F.col("here.dim") == F.col("later.dim")) & after).select("here.*", "cell_b", "m_b", "ids_b", "sizes_b", "x_b")
+    found = stored(pairs.mapInArrow(meet, "id long, links long, root long"))
 
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.where("id <> root"), "id", "root")

@@ -3,6 +3,7 @@
 import numpy as np
 
 from genolith.functions import sequence as sq
+from genolith.llm import embeddings
 from genolith.operators import features as ft
 from genolith.operators import intervals as iv
 
@@ -55,3 +56,14 @@ def test_context_frequencies_shuffle_a_row_a_key(spark):
     assert len(got) == 128 and {k[0] for k in got} == {1, 4}
     assert got[1, 0, "ACG"] == 2 + 3 / 64 and got[1, 1, "ACG"] == 1 + 3 / 64 and got[1, 1, "TTT"] == 3 / 64 and got[1, 0, "TTT"] == 1 + 3 / 64
     assert {r.id: r.length for r in sq.region_length(df, "id").collect()} == {1: 21.0, 4: 6.0}
+
+
+def test_blocks_of_vectors_are_stored_once_however_many_meet(spark, monkeypatch):
+    made, plain = [], embeddings.stored
+    monkeypatch.setattr(embeddings, "stored", lambda df: made.append(plain(df)) or made[-1])
+    x = np.random.default_rng(3).normal(size=(600, 4)).astype("float32")
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), cell=50, block=20).collect()}
+    held = sum(len(r.x) for df in made if "x" in df.columns for r in df.select("x").collect())
+    assert held == x.nbytes and not any("vec" in df.columns for df in made)  # a vector was stored for each cell that it visited
+    u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(axis=1))[:, None]
+    assert [got[i].n_links for i in range(600)] == ((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()
