@@ -1,5 +1,7 @@
 """Steps whose work once grew faster than their input."""
 
+import math
+
 import numpy as np
 
 from genolith.functions import sequence as sq
@@ -67,3 +69,24 @@ def test_blocks_of_vectors_are_stored_once_however_many_meet(spark, monkeypatch)
     assert held == x.nbytes and not any("vec" in df.columns for df in made)  # a vector was stored for each cell that it visited
     u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(axis=1))[:, None]
     assert [got[i].n_links for i in range(600)] == ((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()
+
+
+def test_local_rates_form_no_pairs(spark, monkeypatch):
+    made, plain = [], iv.overlap_join
+    monkeypatch.setattr(iv, "overlap_join", lambda *a, **k: made.append(a) or plain(*a, **k))
+    rng = np.random.default_rng(5)
+    rates = [("ab"[i % 2], int(s), int(s + n), float(v)) for i, (s, n, v) in enumerate(zip(rng.integers(0, 3_000_000, 400), rng.integers(0, 200_000, 400), 10.0 ** rng.integers(-9, 4, 400) / 3, strict=True))]
+    rates += [("a", 5_000_000, 5_000_010, None), ("a", 6_000_000, 6_000_010, float("nan")), ("a", 7_000_000, 7_000_010, float("inf")), ("a", 7_000_005, 7_000_010, 1.0)]
+    points = [(i, "ab"[i % 2], int(p)) for i, p in enumerate(rng.integers(0, 3_300_000, 300))]
+    points += [(300, "a", 5_000_900), (301, "a", 6_000_000), (302, "a", 7_000_000), (303, "a", 4_000_000), (304, None, 5), (305, "a", None), (299, "a", 1_000_000), (306, "a", 10)]
+    got = {r.id: r.local_rate for r in iv.band_rate(spark.createDataFrame(points, "id int, chrom string, pos long"), spark.createDataFrame(rates, "chrom string, start long, end long, score double"), ["id"], 900).collect()}
+    want: dict = {}
+    for i, c, p in points:
+        for d, s, e, v in rates if p is not None else []:
+            if c == d and max(p - 900, 0) < e and s < p + 900 and s < e:
+                want.setdefault(i, []).append((v, e - s))
+    assert set(got) == set(want) and not made
+    for i, found in want.items():
+        known = [v for v, _ in found if v is not None]
+        rate = math.fsum(known) / sum(w for _, w in found) * len(want) if known else None
+        assert got[i] == rate or (rate != rate and got[i] != got[i]) or math.isclose(got[i], rate, rel_tol=1e-14)
