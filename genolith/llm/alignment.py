@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from genolith.llm.common import bound_batches, stored
+from genolith.llm.common import BATCH_ROWS, bound_batches, stored
 from genolith.llm.tokenstore import _LOOSE, _runs
 
 #: Bytes of text whose pairs are counted together before Spark merges them, and distinct parts that a worker remembers at most.
-CHUNK, CACHE = 8_000_000, 400_000
+CHUNK, CACHE = 4_000_000, 400_000
+#: Pairs in a row: rows are small, since readers and writers of Parquet hold hundreds of them at once.
+SLICE = 4_096
 _CUT = re.compile(r"(?<=[^\s᠎])(?=[ \n])")
 
 _ALIGN = """
@@ -180,14 +182,20 @@ class _Chunk:
         self.docs += len(keys)
         self.size += size
 
-    def row(self, number: int, schema: pa.Schema) -> pa.RecordBatch:
+    def rows(self, number: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """A row for each document, then one for each SLICE of the chunk's distinct pairs."""
         doc, pair, n = (np.concatenate(x) for x in zip(*self.links, strict=True))
         distinct, at, held = np.unique(pair, return_inverse=True, return_counts=True)
-        ends = np.searchsorted(doc, np.arange(self.docs), "right")
-        counts = np.concatenate(self.counts)
-        keys = pa.concat_arrays(self.keys)
-        values = [pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v, t.type.value_type)) for v, t in zip((keys, *counts.T, self.sums, ends, at, n, distinct >> 32, distinct & 0xFFFFFFFF, held), list(schema)[1:], strict=True))]
-        return pa.record_batch([v.cast(t.type) for v, t in zip(values, schema, strict=True)], schema)
+        ends = np.concatenate(([0], np.searchsorted(doc, np.arange(self.docs), "right"))).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x, pa.int64())) for x in (at, n)]
+        given = dict(zip(schema.names, (np.full(self.docs, number), pa.concat_arrays(self.keys), *np.concatenate(self.counts).T, pa.array(self.sums, pa.string()), *lists), strict=False))
+        for lo in range(0, self.docs, BATCH_ROWS):
+            hi = min(self.docs, lo + BATCH_ROWS)
+            yield pa.record_batch([pa.array(given[f.name][lo:hi]).cast(f.type) if f.name in given else pa.nulls(hi - lo, f.type) for f in schema], schema)
+        for lo in range(0, len(distinct), SLICE):
+            some = slice(lo, lo + SLICE)
+            row = {"chunk": number, "first": lo, "a": distinct[some] >> 32, "b": distinct[some] & 0xFFFFFFFF, "docs": held[some]}
+            yield pa.record_batch([pa.array([row.get(f.name)], f.type) for f in schema], schema)
 
 
 def align(docs: DataFrame, left: str, right: str, text: str = "text", key: str = "doc_id", chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -209,9 +217,7 @@ def align(docs: DataFrame, left: str, right: str, text: str = "text", key: str =
     given = spark.sparkContext.broadcast((Path(left).read_text(), Path(right).read_bytes()))
     base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = base.schema[0].dataType.simpleString()
-    lists = {"keys": kind, "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "sums": "string", "ends": "bigint", "pair": "int", "times": "bigint", "a": "int", "b": "int", "docs": "int"}
-    sql = "chunk bigint, " + ", ".join(f"{n} array<{t}>" for n, t in lists.items())
-
+    sql = f"chunk bigint, key {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, sum string, pair array<int>, times array<bigint>, first int, a array<int>, b array<int>, docs array<int>"
     schema = to_arrow_schema(StructType.fromDDL(sql))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,32 +227,29 @@ def align(docs: DataFrame, left: str, right: str, text: str = "text", key: str =
                 part = batch.slice(lo, hi - lo)
                 one.add(part.column(0), *e.align(part.column(1)), pc.sum(pc.binary_length(part.column(1))).as_py() or 0)
                 if one.size >= chunk:
-                    yield one.row(number, schema)
+                    yield from one.rows(number, schema)
                     one, number = _Chunk(), number + 1
         if one.docs:
-            yield one.row(number, schema)
+            yield from one.rows(number, schema)
 
     made = stored(base.mapInArrow(run, sql))
-    each = made.select("chunk", F.posexplode(F.arrays_zip("a", "b", "docs")).alias("at", "p")).select("chunk", "at", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.docs").alias("docs"))
+    slices = made.where("first is not null").select("chunk", "first", F.posexplode(F.arrays_zip("a", "b", "docs")).alias("i", "p"))
+    each = slices.select("chunk", (F.col("first") + F.col("i")).alias("at"), F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.docs").alias("docs"))
     totals = stored(each.groupBy("a", "b").agg(F.sum("docs").alias("count")))
     most = totals.groupBy("a").agg(F.max("count").alias("most"))
     pairs = totals.join(most, "a").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
-    back = each.join(pairs, ["a", "b"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "count", "best")).alias("marks"))  # as many as a chunk has pairs
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                keys, n_a, n_b, n_groups, n_links, sums, ends, pair, times = (batch.column(i)[row].values for i in range(9))
-                marks = batch.column(9)[row].values
-                at = marks.field("at").to_numpy() if marks is not None else np.zeros(0, np.int64)
-                count, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                if len(at):
-                    count[at], best[at] = marks.field("count").to_numpy(), marks.field("best").to_numpy(zero_copy_only=False)
-                p, t = pair.to_numpy(), times.to_numpy()
-                bounds = np.concatenate(([0], ends.to_numpy()))
-                total = [np.diff(np.concatenate(([0], np.cumsum(x[p] * t)))[bounds]) for x in (best, count)]
-                yield pa.record_batch([keys, n_a, n_b, n_groups, n_links, *(pa.array(x, pa.int64()) for x in total), sums], [key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    whole = made.join(back, "chunk", "left").select("keys", "n_a", "n_b", "n_groups", "n_links", "sums", "ends", "pair", "times", "marks")
-    out = whole.mapInArrow(score, f"`{key}` {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string")
+    back = each.join(pairs, ["a", "b"]).select(F.col("chunk").alias("of"), "at", "count", "best")
+
+    def score(part: pa.Table, marks: pa.Table) -> pa.Table:
+        at = marks["at"].to_numpy()
+        count, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        count[at], best[at] = marks["count"].to_numpy(), marks["best"].to_numpy()
+        p, t = (pc.list_flatten(part[c]).to_numpy() for c in ("pair", "times"))
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(part["pair"]).to_numpy())))
+        total = [np.diff(np.concatenate(([0], np.cumsum(x[p] * t)))[ends]) for x in (best, count)]
+        return pa.table([*(part[c] for c in ("key", "n_a", "n_b", "n_groups", "n_links")), *(pa.array(x, pa.int64()) for x in total), part["sum"]], [key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+
+    # the documents of a chunk meet its pairs in a group of bounded size
+    whole = made.where("first is null").select("chunk", "key", "n_a", "n_b", "n_groups", "n_links", "sum", "pair", "times")
+    out = whole.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(score, f"`{key}` {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string")
     return out, pairs

@@ -252,3 +252,14 @@ def test_broken_and_deep_markup_takes_linear_time(markup):
     e, _ = page.best()
     page.text(page.path(e) if e >= 0 else None)
     assert time.perf_counter() - start < 10  # the quadratic parser took hours
+
+
+def test_alignment_stores_a_row_a_document(spark, monkeypatch):
+    made, plain = [], alignment.stored
+    monkeypatch.setattr(alignment, "stored", lambda df: made.append(plain(df)) or made[-1])
+    docs = spark.createDataFrame([(i, f"one{i} two{i % 7} three  four{i}\n" * 4) for i in range(300)] + [(300, None), (301, "")], "doc_id long, text string").coalesce(1)
+    out, _ = alignment.align(docs, queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("piece_bpe_32k.model"))
+    rows = {r.doc_id: r for r in out.collect()}
+    assert len(rows) == 302 and rows[300].n_links == rows[301].n_links == 0 < rows[5].n_links <= rows[5].count_sum
+    each = made[0].where("pair is not null").collect()
+    assert len(each) == 302 and max(len(r.pair) for r in each) <= 60  # a chunk of documents was one row
