@@ -67,3 +67,10 @@ def test_annealed_likelihood_equals_enumeration(model, seen):
     # one temperature step is importance sampling from the prior: unbiased as well, but wider
     rough = [r.value for r in sm.annealed_likelihood(model, seen.where("sample < 40"), steps=1, chains=25).collect()]
     assert np.std(rough) > np.std(got)
+
+
+def test_a_row_is_kept_a_cell_not_a_unit(model, seen, monkeypatch):
+    kept, plain = [], sm._cut
+    monkeypatch.setattr(sm, "_cut", lambda df: kept.append(plain(df)) or kept[-1])
+    sm.gibbs_draws(model, seen.withColumn("weight", F.lit(50.0)), steps=1, warmup=0).collect()
+    assert kept[0].count() == seen.select("sample", *sm.CELL).distinct().count()
