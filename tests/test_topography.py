@@ -129,3 +129,12 @@ def test_mixture(world):
         target = (md.digamma(gamma) - md.digamma(gamma.sum(axis=1))[:, None]).mean(axis=0)
         want = md.alpha_from_target(np.ones(2), target, 0.5)
         assert np.allclose(found, want, rtol=1e-4)  # Newton steps from sums that agree to nine digits
+
+
+def test_epochs_do_not_join_cells_again(world, monkeypatch):
+    keys, plain = [], tp.dealt_join
+    monkeypatch.setattr(tp, "dealt_join", lambda a, b, on, how="inner": keys.append(on) or plain(a, b, on, how))
+    m = tp.fit(world["obs"], world["freq"], world["loci"], ["f", "g"], 2, epochs=2, seed=1, rounds=2)
+    assert keys.count(list(tp.CELL)) == 1 and len(m.scores) == 2  # observations met the cells several times an epoch before
+    seen = m.observed(world["obs"], world["freq"], world["loci"])
+    assert "lambdafunction" not in m.locus_stats(m.posteriors(seen, m.start(seen)))._jdf.queryExecution().optimizedPlan().toString()
