@@ -90,3 +90,17 @@ def test_local_rates_form_no_pairs(spark, monkeypatch):
         known = [v for v, _ in found if v is not None]
         rate = math.fsum(known) / sum(w for _, w in found) * len(want) if known else None
         assert got[i] == rate or (rate != rate and got[i] != got[i]) or math.isclose(got[i], rate, rel_tol=1e-14)
+
+
+def test_overlapping_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(iv, "TASK_PAIRS", 500, raising=False)
+    rng = np.random.default_rng(7)
+    draw = lambda n, most: [(i, "ab"[i % 2], int(s), int(s + w)) for i, (s, w) in enumerate(zip(rng.integers(-900, 2_000, n), rng.integers(0, most, n), strict=True))]
+    a, b = draw(300, 700) + [(300, None, 0, 9), (301, "a", None, 9)], draw(260, 300)
+    da, db = (spark.createDataFrame(x, "id int, chrom string, start long, end long") for x in (a, b))
+    df = iv.overlap_join(da, db)
+    want = sorted((i, j) for i, c, s, e in a for j, d, t, f in b if s is not None and c == d and s < f and t < e and s < e and t < f)
+    for width in (None, 16, 90, 5_000):
+        assert sorted((r.id, r.id_b) for r in iv.overlap_join(da, db, width).collect()) == want
+    assert "BroadcastExchange" not in plan(df)  # a side of small files passed through the driver
+    assert df.rdd.getNumPartitions() > 4  # few tasks, however many the pairs, before
