@@ -29,6 +29,6 @@ def test_locus_models_send_no_locus_table_through_the_driver(spark):
 
 
 def test_rounds_go_over_stored_observations(spark):
-    for query in (qt.component_posteriors, qt.context_statistics, qt.locus_statistics):
+    for query in (qt.component_posteriors, qt.context_statistics, qt.locus_statistics, qt.estep_contributions):
         plan = query(spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan  # each round joined observations and cells anew, and dealt them by sample
