@@ -32,3 +32,10 @@ def test_rounds_go_over_stored_observations(spark):
     for query in (qt.component_posteriors, qt.context_statistics, qt.locus_statistics, qt.estep_contributions):
         plan = query(spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan  # each round joined observations and cells anew, and dealt them by sample
+
+
+def test_deviance_sends_the_samples_to_the_cells(spark, monkeypatch):
+    given, plain = [], qt.tp.Topography._explained
+    monkeypatch.setattr(qt.tp.Topography, "_explained", lambda self, cells, nk, total, few=False: given.append(few) or plain(self, cells, nk, total, few))
+    assert qt.deviance_score(spark, DATA).count() == 1
+    assert given == [True]  # all cells were dealt by their few samples
