@@ -138,3 +138,26 @@ def test_epochs_do_not_join_cells_again(world, monkeypatch):
     assert keys.count(list(tp.CELL)) == 1 and len(m.scores) == 2  # observations met the cells several times an epoch before
     seen = m.observed(world["obs"], world["freq"], world["loci"])
     assert "lambdafunction" not in m.locus_stats(m.posteriors(seen, m.start(seen)))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_epochs_go_over_alike_cells_as_one(spark, world, monkeypatch):
+    loci = world["loci"].select("locus", "exposure", tp.F.round("f").alias("f"), tp.F.when(tp.F.col("locus") % 7 > 0, tp.F.round("g")).alias("g"))
+    obs, test = world["obs"].where("locus % 3 > 0"), world["obs"].where("locus % 3 = 0")
+
+    def fit(few, **options):
+        monkeypatch.setattr(tp, "FEW_NUMBERS", few, raising=False)
+        group = f"fit {few} {options}"
+        spark.sparkContext.setJobGroup(group, group)
+        m = tp.fit(obs, world["freq"], loci, ["f", "g"], 2, seed=1, rounds=3, **options)
+        return m, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    one, jobs = fit(4_000_000, epochs=1, test=test)
+    more, same = fit(4_000_000, epochs=3, test=test)
+    assert jobs == same  # an epoch was a dozen jobs over all observations
+    by_spark, many = fit(0, epochs=3, test=test)
+    assert many > same
+    for a, b in ((more.effects, by_spark.effects), (more.scores, by_spark.scores), (more.alpha, by_spark.alpha), (more.log_norm, by_spark.log_norm), *((list(x.coefficients.values()), list(y.coefficients.values())) for x, y in zip(more.rates, by_spark.rates, strict=True))):
+        assert np.allclose(a, b, rtol=1e-6)
+    by_locus, _ = fit(0, epochs=1, test=test, subsample=1 - 1e-9)  # rows of single cells, all of them
+    assert np.allclose(one.effects, by_locus.effects, rtol=1e-5) and np.allclose(one.scores, by_locus.scores, rtol=1e-5)
+    assert np.allclose([list(r.coefficients.values()) for r in one.rates], [list(r.coefficients.values()) for r in by_locus.rates], rtol=1e-5)
