@@ -104,3 +104,25 @@ def test_overlapping_pairs_are_dealt_by_their_number(spark, monkeypatch):
         assert sorted((r.id, r.id_b) for r in iv.overlap_join(da, db, width).collect()) == want
     assert "BroadcastExchange" not in plan(df)  # a side of small files passed through the driver
     assert df.rdd.getNumPartitions() > 4  # few tasks, however many the pairs, before
+
+
+def test_overlapping_rows_are_shuffled_once_a_stretch(spark, monkeypatch):
+    monkeypatch.setattr(iv, "TASK_PAIRS", 500, raising=False)
+    rng = np.random.default_rng(8)
+    draw = lambda n: [(i, "abc"[i % 3], int(s), int(s + w)) for i, (s, w) in enumerate(zip(rng.integers(-40_000, 40_000, n), rng.integers(1, 1_600, n), strict=True))]
+    a, b = draw(700), draw(600)
+    a[0] = (0, "a", -39_000, 39_000)  # over many stretches, as some of b
+    b[0] = (0, "a", -41_000, 12_345)
+    da, db = (spark.createDataFrame(x, "id int, chrom string, start long, end long") for x in (a, b))
+    df = iv.overlap_join(da, db)
+    want = sorted((i, j) for i, c, s, e in a for j, d, t, f in b if c == d and s < f and t < e)
+    assert sorted((r.id, r.id_b) for r in df.collect()) == want
+    assert df.columns == ["id", "chrom", "start", "end", "id_b", "chrom_b", "start_b", "end_b"]
+    written, todo = [], [df._jdf.queryExecution().executedPlan().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            written.append(node.metrics().apply("shuffleRecordsWritten").value())
+        todo += [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+    assert len(written) >= 2
+    assert sum(written) < 1.7 * (len(a) + len(b))  # a row for each of its bins, and one more, before
